@@ -157,26 +157,27 @@ def directory_summary(catalog: DataFrame) -> DataFrame:
             .orderBy(F.asc_nulls_last("extension")))
 
 
-def _same_size(catalog: DataFrame, min_size: int, max_size: int) -> DataFrame:
-    """Files whose size some other file shares; only these need hashing."""
-    sized = files_only(catalog).filter(F.col("size").between(min_size, max_size))
+def same_size_files(catalog: DataFrame, min_size: int = fv.DUPLICATE_MIN_SIZE,
+                    max_size: int = fv.DUPLICATE_MAX_SIZE) -> DataFrame:
+    """Catalog rows, without content, whose size another file shares: the only ones worth reading.
+
+    Feed them to :func:`runledger.sources.filetree.file_contents` when contents lie in storage.
+    """
+    sized = files_only(catalog).drop("content").filter(F.col("size").between(min_size, max_size))
     repeated = sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size")
     return sized.join(repeated, "size", "left_semi")
 
 
 def duplicate_groups(catalog: DataFrame, min_size: int = fv.DUPLICATE_MIN_SIZE,
-                     max_size: int = fv.DUPLICATE_MAX_SIZE, presize: bool = False) -> DataFrame:
+                     max_size: int = fv.DUPLICATE_MAX_SIZE) -> DataFrame:
     """(md5, n, size, first_path) of contents held more than once, largest group first.
 
-    Copies are counted on the map side, so a content that fills a third of the catalog
-    costs one row per task.  ``presize`` reads and hashes only files whose size repeats;
-    worth it when contents are read from storage rather than at hand.
+    Contents become digests before the shuffle and copies are counted on the map side, so a
+    content that fills a third of the catalog costs one row per task.
     """
-    if presize:
-        files = _same_size(catalog, min_size, max_size)
-    else:
-        files = files_only(catalog).filter(F.col("size").between(min_size, max_size))
-    return (files.select(F.md5("content").alias("md5"), "size", "path").groupBy("md5")
+    digest = F.col("md5") if "md5" in catalog.columns else F.md5("content")
+    files = files_only(catalog).filter(F.col("size").between(min_size, max_size))
+    return (files.select(digest.alias("md5"), "size", "path").groupBy("md5")
             .agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min("path").alias("first_path"))
             .filter("n > 1").orderBy(F.desc("n"), "md5"))
 
@@ -221,13 +222,15 @@ def storage_report(catalog: DataFrame, top_k: int = 10) -> DataFrame:
 
 
 def notebook_summary(notebooks: DataFrame) -> DataFrame:
-    """(path, cell_count, code_cells, markdown_cells, last_execution_count) from notebook JSON texts."""
+    """(path, cell_count, code_cells, markdown_cells, last_execution_count) from notebook JSON texts.
+
+    A notebook is one row, so its cells are counted in place: nothing is exploded or shuffled.
+    """
     shape = "cells array<struct<cell_type: string, execution_count: bigint>>"
-    cells = (notebooks.withColumn("_nb", F.from_json("content", shape))
-             .select("path", F.posexplode_outer("_nb.cells").alias("pos", "cell")))
-    code = F.col("cell.cell_type") == "code"
-    ran = F.when(code & F.col("cell.execution_count").isNotNull(), F.col("pos"))
-    return cells.groupBy("path").agg(
-        F.count("cell").alias("cell_count"), F.count_if(code).alias("code_cells"),
-        F.count_if(F.col("cell.cell_type") == "markdown").alias("markdown_cells"),
-        F.max_by("cell.execution_count", ran).alias("last_execution_count"))
+    cells = F.coalesce(F.col("_nb.cells"), F.array())
+    code = F.filter(cells, lambda c: c["cell_type"] == "code")
+    ran = F.filter(code, lambda c: c["execution_count"].isNotNull())
+    return notebooks.select("path", F.from_json("content", shape).alias("_nb")).select(
+        "path", F.size(cells).alias("cell_count"), F.size(code).alias("code_cells"),
+        F.size(F.filter(cells, lambda c: c["cell_type"] == "markdown")).alias("markdown_cells"),
+        F.try_element_at(ran, F.lit(-1))["execution_count"].alias("last_execution_count"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import lines_of, strip
 from ..functions.fixed_values import LAYOUTS
+from ..session import local_table
 
 
 def tree_diff(a: DataFrame, b: DataFrame, key: str = "path", digest: Column | None = None) -> DataFrame:
@@ -100,7 +101,7 @@ def layout_table(spark) -> DataFrame:
     """(template, path, is_dir) of every known project layout."""
     rows = [(name, path, kind == "dirs") for name, parts in LAYOUTS.items() for kind in ("dirs", "files")
             for path in parts[kind]]
-    return spark.createDataFrame(rows, "template string, path string, is_dir boolean")
+    return local_table(spark, rows, "template string, path string, is_dir boolean")
 
 
 def layout_check(catalog: DataFrame, projects: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
@@ -114,7 +115,7 @@ def layout_check(catalog: DataFrame, projects: DataFrame, layouts: DataFrame | N
     first = unknown.first()
     if first:
         raise ValueError(f"unknown template '{first['template']}'")
-    expected = projects.join(F.broadcast(layouts), "template")
+    expected = projects.join(layouts, "template")
     return (expected.join(catalog.select("project", "path", "is_dir"), ["project", "path", "is_dir"], "left_anti")
             .select("project", "template", "path", "is_dir"))
 

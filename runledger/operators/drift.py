@@ -8,37 +8,76 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.types import StructType
 
-from ..functions.columns import col, is_integral, is_numeric, kolmogorov_p, value_of
+from ..functions.columns import is_integral, is_numeric, kolmogorov_p, value_of
 from ..functions.fixed_values import FREQUENCY_DISTANCE_LIMIT, KS_ALPHA
+from ..session import local_table
 
 NULL_CATEGORY = "<null>"
+KEYS = ["column", "whole", "real", "text"]
 REPORT = ["column", "type", "ks_statistic", "p_value", "frequency_distance", "drift_detected", "reason"]
 
 
-def shared_columns(reference: DataFrame, candidate: DataFrame) -> tuple[list[str], list[str]]:
-    """(numeric, categorical) columns found on both sides, in reference order."""
-    other = {f.name: f.dataType for f in candidate.schema.fields}
-    numeric, categorical = [], []
-    for field in reference.schema.fields:
-        if field.name in other:
-            both = is_numeric(field.dataType) and is_numeric(other[field.name])
-            (numeric if both else categorical).append(field.name)
-    return numeric, categorical
+def plan_columns(reference: StructType, candidate: StructType, columns: list[str] | None = None) -> dict[str, str]:
+    """Columns found on both sides, in reference order, and how to compare them: whole, real or text."""
+    other = {f.name: f.dataType for f in candidate.fields}
+    plan = {}
+    for field in reference.fields:
+        if field.name not in other or (columns is not None and field.name not in columns):
+            continue
+        types = (field.dataType, other[field.name])
+        # Whole numbers are compared as such: beyond 2^53 a double would merge neighbours.
+        plan[field.name] = "whole" if all(map(is_integral, types)) else "real" if all(map(is_numeric, types)) else "text"
+    return plan
 
 
-def _counted(reference: DataFrame, candidate: DataFrame, entry) -> DataFrame:
-    """(column, value.., r, c): how often each value occurs on either side.
+def _values(df: DataFrame, plan: dict[str, str]) -> DataFrame:
+    """(column, whole, real, text): one row per value, missing numbers left out."""
+    fields = {f.name: f for f in df.schema.fields}
+    entries = []
+    for name, kind in plan.items():
+        value = value_of(fields[name])
+        if kind == "text" and isinstance(fields[name].dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(value)
+        nothing = F.lit(None)
+        entries.append(F.struct(
+            F.lit(name).alias("column"), (value if kind == "whole" else nothing).cast("bigint").alias("whole"),
+            (value if kind == "real" else nothing).cast("double").alias("real"),
+            (F.coalesce(value.cast("string"), F.lit(NULL_CATEGORY)) if kind == "text" else nothing.cast("string")).alias("text")))
+    return df.select(F.inline(F.array(*entries))).filter("whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL")
+
+
+def value_counts(df: DataFrame, plan: dict[str, str]) -> DataFrame:
+    """(column, whole, real, text, n): how often each value occurs; what a fixed reference can keep."""
+    return _values(df, plan).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sizes(df: DataFrame, plan: dict[str, str]) -> dict[str, int]:
+    """Usable values per column: rows for text, non-missing values for numbers.  Reads no text column."""
+    fields = {f.name: f for f in df.schema.fields}
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.count(value_of(fields[c])).alias(f"n{i}") for i, (c, kind) in enumerate(plan.items()) if kind != "text"]).first()
+    return {c: row["rows"] if kind == "text" else row[f"n{i}"] for i, (c, kind) in enumerate(plan.items())}
+
+
+def _compared(reference: DataFrame, candidate: DataFrame, plan: dict[str, str], counted: DataFrame | None = None):
+    """Value counts of both sides with the sides' sizes, and the table of sizes.
 
     Both sides go through one aggregation, so equal values meet before the shuffle and a
     value that fills a third of a side travels as one row per task.
     """
-    def side(df: DataFrame, r: int, c: int) -> DataFrame:
-        return df.select(F.inline(F.array(*entry(df)))).withColumn("r", F.lit(r)).withColumn("c", F.lit(c))
-
-    both = side(reference, 1, 0).unionAll(side(candidate, 0, 1))
-    keys = [c for c in both.columns if c not in ("r", "c")]
-    return both.groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    if counted is None:
+        n = _sizes(reference, plan)
+        left = _values(reference, plan).withColumn("r", F.lit(1).cast("bigint"))
+    else:
+        n = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+        left = counted.withColumnRenamed("n", "r")
+    m = _sizes(candidate, plan)
+    sizes = local_table(reference.sparkSession, [(c, n.get(c, 0), m[c]) for c in plan], "column string, n bigint, m bigint")
+    both = (left.select(*KEYS, "r", F.lit(0).cast("bigint").alias("c"))
+            .unionAll(_values(candidate, plan).select(*KEYS, F.lit(0).cast("bigint").alias("r"), F.lit(1).cast("bigint").alias("c"))))
+    return both.groupBy(*KEYS).agg(F.sum("r").alias("r"), F.sum("c").alias("c")), sizes
 
 
 def _running_extremes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,99 +105,78 @@ def _running_extremes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     yield pd.DataFrame(rows, columns=["column", "part", "r", "c", "top_r", "top_c", "low_r", "low_c"])
 
 
-def drift_numeric(reference: DataFrame, candidate: DataFrame, columns: list[str]) -> DataFrame:
+def drift_numeric(reference: DataFrame, candidate: DataFrame, columns: list[str],
+                  counted: DataFrame | None = None) -> DataFrame:
     """(column, n, m, ks_statistic, p_value): two-sample KS of every column in one job.
 
     Distinct values are counted, spread over range slices and sorted; every slice reports
     its totals and the places where its own running gap peaks.  Adding the totals of the
     slices before it gives the gap of the whole column, so no slice ever needs the others.
     """
-    spark = reference.sparkSession
-    fields = {f.name: f for f in reference.schema.fields}
-    others = {f.name: f for f in candidate.schema.fields}
-
-    def sizes(df, known):
-        return df.agg(*[F.count(value_of(known[c])).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-
-    n, m = sizes(reference, fields), sizes(candidate, others)
-    totals = [(c, n[i], m[i]) for i, c in enumerate(columns)]
-    totals = spark.createDataFrame(totals, "column string, n bigint, m bigint")
-
-    def entry(df):
-        known = {f.name: f for f in df.schema.fields}
-        out = []
-        for c in columns:
-            whole = is_integral(fields[c].dataType) and is_integral(others[c].dataType)
-            value = value_of(known[c])
-            # Whole numbers are compared as such: beyond 2^53 a double would merge neighbours.
-            out.append(F.struct(F.lit(c).alias("column"),
-                                (value if whole else F.lit(None)).cast("bigint").alias("whole"),
-                                (F.lit(None) if whole else value).cast("double").alias("real")))
-        return out
-
-    counted = (_counted(reference, candidate, entry)
-               .filter(F.col("whole").isNotNull() | F.col("real").isNotNull())
-               .join(F.broadcast(totals.filter("n > 0 AND m > 0")), "column"))
+    plan = plan_columns(reference.schema, candidate.schema, columns)
+    values, sizes = _compared(reference, candidate, plan, counted)
     order = ["column", "whole", "real"]
-    slices = (counted.repartitionByRange(*order).sortWithinPartitions(*order).select("column", "r", "c", "n", "m")
+    sized = values.join(sizes.filter("n > 0 AND m > 0"), "column")
+    slices = (sized.repartitionByRange(*order).sortWithinPartitions(*order).select("column", "r", "c", "n", "m")
               .mapInPandas(_running_extremes, "column string, part int, r bigint, c bigint, top_r bigint, "
                                               "top_c bigint, low_r bigint, low_c bigint"))
     before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     r0, c0 = (F.coalesce(F.sum(x).over(before), F.lit(0)) for x in ("r", "c"))
-    placed = slices.withColumn("r0", r0).withColumn("c0", c0).join(F.broadcast(totals), "column")
+    placed = slices.withColumn("r0", r0).withColumn("c0", c0).join(sizes, "column")
 
     def gap(which):
         return F.abs((F.col("r0") + F.col(f"{which}_r")) / F.col("n") - (F.col("c0") + F.col(f"{which}_c")) / F.col("m"))
 
-    return (placed.groupBy("column", "n", "m").agg(F.max(F.greatest(gap("top"), gap("low"))).alias("ks_statistic"))
-            .join(totals, ["column", "n", "m"], "right")
+    # One row per column: small enough to be broadcast whatever the tables hold.
+    peaks = placed.groupBy("column").agg(F.max(F.greatest(gap("top"), gap("low"))).alias("ks_statistic"))
+    return (sizes.join(F.broadcast(peaks), "column", "left")
             .withColumn("p_value", kolmogorov_p(F.col("ks_statistic"), F.col("n"), F.col("m"))))
 
 
-def drift_categorical(reference: DataFrame, candidate: DataFrame, columns: list[str]) -> DataFrame:
+def drift_categorical(reference: DataFrame, candidate: DataFrame, columns: list[str],
+                      counted: DataFrame | None = None) -> DataFrame:
     """(column, frequency_distance): L1 distance of relative frequencies, values as text.
 
     Missing values form a category of their own.  Differences are added up as whole
     numbers (r*m - c*n), so the result does not depend on the order of addition.
     """
-    n, m = reference.count(), candidate.count()
-
-    def entry(df):
-        known = {f.name: f for f in df.schema.fields}
-        out = []
-        for c in columns:
-            value = value_of(known[c])
-            if isinstance(known[c].dataType, (T.ArrayType, T.MapType, T.StructType)):
-                value = F.to_json(value)
-            out.append(F.struct(F.lit(c).alias("column"),
-                                F.coalesce(value.cast("string"), F.lit(NULL_CATEGORY)).alias("value")))
-        return out
-
+    plan = {c: "text" for c in plan_columns(reference.schema, candidate.schema, columns)}
+    values, sizes = _compared(reference, candidate, plan, counted)
     wide = "decimal(18,0)"
-    scaled = F.col("r").cast(wide) * F.lit(m).cast(wide) - F.col("c").cast(wide) * F.lit(n).cast(wide)
-    if not n or not m:      # an empty side has no frequencies: everything on the other side differs
-        scaled = (F.col("r") + F.col("c")).cast("decimal(38,0)")
-    whole = float(n * m or n + m or 1)
-    return (_counted(reference, candidate, entry).groupBy("column")
-            .agg((F.sum(F.abs(scaled)).cast("double") / F.lit(whole)).alias("frequency_distance")))
-
-
-def drift_report(reference: DataFrame, candidate: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per column both sides have: which test ran, its figures and the verdict."""
-    numeric, categorical = shared_columns(reference, candidate)
-    if columns is not None:
-        numeric, categorical = ([c for c in part if c in columns] for part in (numeric, categorical))
+    gap = F.abs(F.col("r").cast(wide) * F.col("m").cast(wide) - F.col("c").cast(wide) * F.col("n").cast(wide))
+    sums = values.join(sizes, "column").groupBy("column").agg(F.sum(gap).cast("double").alias("gap"))
+    # An empty side has no frequencies: everything on the other side differs.
+    one_empty, both_empty = (F.col("n") == 0) | (F.col("m") == 0), (F.col("n") + F.col("m")) == 0
+    distance = (F.when(both_empty, 0.0).when(one_empty, 1.0)
+                .otherwise(F.col("gap") / (F.col("n").cast("double") * F.col("m").cast("double"))))
+    return sizes.join(F.broadcast(sums), "column", "left").select("column", distance.alias("frequency_distance"))
+
+
+def drift_report(reference: DataFrame, candidate: DataFrame, columns: list[str] | None = None,
+                 counted: DataFrame | None = None) -> DataFrame:
+    """One row per column both sides have: which test ran, its figures and the verdict.
+
+    ``counted`` may hold :func:`value_counts` of the reference, to compare many candidates
+    with one reference without reading it again.
+    """
+    plan = plan_columns(reference.schema, candidate.schema, columns)
+    numeric = [c for c, kind in plan.items() if kind != "text"]
+    categorical = [c for c, kind in plan.items() if kind == "text"]
+
+    def kept(names):
+        return None if counted is None else counted.filter(F.col("column").isin(names))
+
     nothing = F.lit(None)
     parts = []
     if numeric:
         empty = (F.col("n") == 0) | (F.col("m") == 0)
-        parts.append(drift_numeric(reference, candidate, numeric).select(
+        parts.append(drift_numeric(reference, candidate, numeric, kept(numeric)).select(
             "column", F.lit("numeric").alias("type"), "ks_statistic", "p_value",
             nothing.cast("double").alias("frequency_distance"),
             F.when(~empty, F.col("p_value") < KS_ALPHA).alias("drift_detected"),
             F.when(empty, "empty_series").alias("reason")))
     if categorical:
-        parts.append(drift_categorical(reference, candidate, categorical).select(
+        parts.append(drift_categorical(reference, candidate, categorical, kept(categorical)).select(
             "column", F.lit("categorical").alias("type"), nothing.cast("double").alias("ks_statistic"),
             nothing.cast("double").alias("p_value"), "frequency_distance",
             (F.col("frequency_distance") > FREQUENCY_DISTANCE_LIMIT).alias("drift_detected"),
@@ -166,6 +184,6 @@ def drift_report(reference: DataFrame, candidate: DataFrame, columns: list[str]
     if not parts:
         schema = ("column string, type string, ks_statistic double, p_value double, "
                   "frequency_distance double, drift_detected boolean, reason string")
-        return reference.sparkSession.createDataFrame([], schema)
+        return local_table(reference.sparkSession, [], schema)
     report = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return report.select(*REPORT)

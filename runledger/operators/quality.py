@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import canonical, col, is_floating, is_integral, is_numeric, seconds_between, value_of
 from ..functions.fixed_values import CONTRACT_TYPE_NAMES
+from ..session import local_table
 
 EXACT_ROWS = 2_000_000     # up to here one pass holds the distinct values of a column
 BRACKET_ROWS = 200_000     # values kept per quantile once it has been bracketed
@@ -157,7 +158,7 @@ def profile(df: DataFrame, approx: bool = False, exact_rows: int = EXACT_ROWS) -
     schema = ("column string, position int, dtype string, rows bigint, nulls bigint, bytes bigint, count bigint, "
               "mean double, std double, min double, q25 double, q50 double, q75 double, max double")
     names = [part.split()[0] for part in schema.split(", ")]
-    return df.sparkSession.createDataFrame([tuple(r.get(n) for n in names) for r in result.values()], schema)
+    return local_table(df.sparkSession, [tuple(r.get(n) for n in names) for r in result.values()], schema)
 
 
 def validate_schema(df: DataFrame, contract: DataFrame) -> DataFrame:
@@ -169,8 +170,8 @@ def validate_schema(df: DataFrame, contract: DataFrame) -> DataFrame:
     spark = df.sparkSession
     actual = [(f.name, f.dataType.simpleString(), CONTRACT_TYPE_NAMES.get(f.dataType.simpleString(), []))
               for f in df.schema.fields]
-    found = spark.createDataFrame(actual, "name string, actual string, spellings array<string>")
-    joined = contract.join(F.broadcast(found), contract["column"] == found["name"], "left")
+    found = local_table(spark, actual, "name string, actual string, spellings array<string>")
+    joined = contract.join(found, contract["column"] == found["name"], "left")
     fits = (F.col("expected") == F.col("actual")) | F.array_contains("spellings", F.col("expected"))
     return (joined.withColumn("error", F.when(F.col("name").isNull(), "missing").when(~fits, "dtype_mismatch"))
             .filter(F.col("error").isNotNull())

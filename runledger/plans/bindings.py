@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import lines_of, suffix
 from ..functions.fixed_values import LAYOUTS
+from ..session import local_table
 
 EXTENSIONS = [".csv", ".parquet", ".pt", ".onnx", ".py", ".md", ".log", ".json", ".png", ""]
 MODEL_SUFFIXES = [".pt", ".onnx", ".pkl", ".safetensors", ".bin"]
@@ -306,8 +307,8 @@ def projects(spark, folder) -> DataFrame:
 
 
 def project_tree(spark, folder) -> DataFrame:
-    entries = spark.createDataFrame(_ENTRIES, "template string, entry int, path string, is_dir boolean")
-    return (projects(spark, folder).join(F.broadcast(entries), "template")
+    entries = local_table(spark, _ENTRIES, "template string, entry int, path string, is_dir boolean")
+    return (projects(spark, folder).join(entries, "template")
             .filter("(c_custkey + entry) % 5 <> 0").select("project", "path", "is_dir"))
 
 

@@ -118,9 +118,9 @@ def search_content(spark, d):
     return catalog.search_content(b.files(spark, d), "LICENSE")
 
 
-@query(sql(["vlines"], _SEARCH.format(test="regexp_matches(text, '[a-z]+@[a-z]+', 'i') AND ends_with(path, '.md')", limit=50)))
+@query(sql(["vlines"], _SEARCH.format(test="regexp_matches(text, '[a-z]+[.][0-9]+@mail[0-9]', 'i') AND NOT ends_with(path, '.md')", limit=5)))
 def search_content_regex(spark, d):
-    return catalog.search_content(b.files(spark, d), "[a-z]+@[a-z]+", file_pattern="*.md", is_regex=True, max_matches=50)
+    return catalog.search_content(b.files(spark, d), "[A-Z]+[.][0-9]+@MAIL[0-9]", file_pattern="*[!d]", is_regex=True, max_matches=5)
 
 
 @query(sql(["vlines"], "SELECT path, CAST(line AS INTEGER) AS line, text FROM vlines"))
@@ -156,9 +156,17 @@ def duplicate_groups(spark, d):
     return catalog.duplicate_groups(b.files(spark, d))
 
 
+@query(sql(["vfiles"], """SELECT path, size FROM vfiles WHERE size BETWEEN 1024 AND 104857600
+  AND size IN (SELECT size FROM vfiles GROUP BY size HAVING count(*) > 1)"""))
+def same_size_files(spark, d):
+    return catalog.same_size_files(b.files(spark, d)).select("path", "size")
+
+
 @query(sql(["vfiles"], _GROUPS))
 def duplicate_groups_presized(spark, d):
-    return catalog.duplicate_groups(b.files(spark, d), presize=True)
+    files = b.files(spark, d)
+    digests = files.select("path", "size", "is_dir", F.md5("content").alias("md5"))
+    return catalog.duplicate_groups(digests.join(catalog.same_size_files(files).select("path"), "path", "left_semi"))
 
 
 @query(sql(["vfiles"], f"""SELECT md5(content) AS md5, path FROM vfiles WHERE size BETWEEN 1024 AND 104857600
@@ -179,7 +187,7 @@ def storage_report(spark, d):
     return catalog.storage_report(entries.unionByName(folders))
 
 
-@query(sql(["vlines"], """SELECT path, count(text) AS cell_count, count(text) FILTER (i % 3 <> 0) AS code_cells, count(text) FILTER (i % 3 = 0) AS markdown_cells,
+@query(sql(["vlines"], """SELECT path, CAST(count(text) AS INTEGER) AS cell_count, CAST(count(text) FILTER (i % 3 <> 0) AS INTEGER) AS code_cells, CAST(count(text) FILTER (i % 3 = 0) AS INTEGER) AS markdown_cells,
   max(i) FILTER (i % 3 <> 0 AND i % 2 = 1) AS last_execution_count
 FROM (SELECT f.path, l.text, l.line - 1 AS i FROM vfiles f LEFT JOIN vlines l ON l.path = f.path) GROUP BY path"""))
 def notebook_summary(spark, d):

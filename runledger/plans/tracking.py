@@ -58,19 +58,20 @@ def best_runs(spark, d):
     return runs.best_runs(b.run_events(spark, d), b.metrics(spark, d), top=3)
 
 
+_STAMP = "rtrim(rtrim(strftime({}, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.')"
 _SNAPSHOT = """snap AS (
   SELECT run_id, 'params.' || key AS key, value FROM vcurrent_params
   UNION ALL SELECT run_id, 'latest_metrics.' || key, CAST(value AS VARCHAR) FROM vlatest
   UNION ALL SELECT DISTINCT run_id, 'latest_metrics.step', CAST(step AS VARCHAR) FROM vlatest
   UNION ALL SELECT run_id, 'status.status', status FROM vstate
   UNION ALL SELECT run_id, 'status.started_at', rtrim(rtrim(strftime(started_at, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') FROM vstate WHERE started_at IS NOT NULL
-  UNION ALL SELECT run_id, 'status.ended_at', rtrim(rtrim(strftime(ended_at, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') FROM vstate WHERE ended_at IS NOT NULL)"""
+  UNION ALL SELECT run_id, 'status.ended_at', rtrim(rtrim(strftime(ended_at, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') FROM vstate WHERE ended_at IS NOT NULL
+  UNION ALL SELECT run_id, 'status.duration_seconds', CAST(duration_seconds AS VARCHAR) FROM vstate WHERE duration_seconds IS NOT NULL)"""
 
 
 @query(sql(["vstate", "vlatest", "vcurrent_params"], f", {_SNAPSHOT} SELECT * FROM snap"))
 def run_snapshot_rows(spark, d):
-    rows = runs.run_snapshot_rows(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d))
-    return rows.filter("key <> 'status.duration_seconds'")
+    return runs.run_snapshot_rows(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d))
 
 
 @query(sql(["vstate", "vlatest", "vcurrent_params"], f""", {_SNAPSHOT}, ids(run_id) AS (VALUES (8), (46), (100)),
@@ -80,18 +81,19 @@ SELECT CAST(coalesce(o.run_id, a.run_id) AS BIGINT) AS run_id, coalesce(o.key, a
 FROM others o FULL JOIN base a ON a.run_id = o.run_id AND a.key = o.key WHERE a.value IS DISTINCT FROM o.value"""))
 def compare_runs(spark, d):
     rows = runs.run_snapshot_rows(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d))
-    return runs.compare_runs(rows.filter("key <> 'status.duration_seconds'"), [8, 46, 100])
+    return runs.compare_runs(rows, [8, 46, 100])
 
 
-@query(sql(["vstate", "vlatest", "vcurrent_params"], """SELECT section, count(*) AS rows, count(DISTINCT run_id) AS runs FROM (
-  SELECT run_id, 'params' AS section FROM vcurrent_params UNION ALL SELECT run_id, 'metrics' FROM vmetrics
-  UNION ALL SELECT user_id, 'artifacts' FROM events WHERE event_type = 'purchase'
-  UNION ALL SELECT run_id, 'status' FROM vstate UNION ALL SELECT run_id, 'status' FROM vstate WHERE started_at IS NOT NULL
-  UNION ALL SELECT run_id, 'status' FROM vstate WHERE ended_at IS NOT NULL
-  UNION ALL SELECT run_id, 'status' FROM vstate WHERE duration_seconds IS NOT NULL) GROUP BY section"""))
+@query(sql(["vstate", "vmetrics", "vcurrent_params", "vartifacts"], f"""
+SELECT run_id, 'params' AS section, CAST(NULL AS BIGINT) AS seq, key, value FROM vcurrent_params
+UNION ALL SELECT run_id, 'metrics', seq, key, CAST(value AS VARCHAR) FROM vmetrics
+UNION ALL SELECT run_id, 'artifacts', seq, path, CAST(size AS VARCHAR) FROM vartifacts
+UNION ALL SELECT run_id, 'status', NULL, 'status', status FROM vstate
+UNION ALL SELECT run_id, 'status', NULL, 'started_at', {_STAMP.format('started_at')} FROM vstate WHERE started_at IS NOT NULL
+UNION ALL SELECT run_id, 'status', NULL, 'ended_at', {_STAMP.format('ended_at')} FROM vstate WHERE ended_at IS NOT NULL
+UNION ALL SELECT run_id, 'status', NULL, 'duration_seconds', CAST(duration_seconds AS VARCHAR) FROM vstate WHERE duration_seconds IS NOT NULL"""))
 def get_run(spark, d):
-    rows = runs.get_run(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d), b.artifacts(spark, d))
-    return rows.groupBy("section").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("run_id").alias("runs"))
+    return runs.get_run(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d), b.artifacts(spark, d))
 
 
 @query(sql(["vcurrent_params"], "SELECT * FROM vcurrent_params"))
@@ -191,14 +193,25 @@ WHERE run_id IN (SELECT run_id FROM vstate WHERE status = 'failed') GROUP BY run
 def run_snapshot(spark, d):
     rows = runs.run_snapshot_rows(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d))
     failed = runs.run_state(b.run_events(spark, d)).filter("status = 'failed'")
-    return mining.run_snapshot(rows.filter("key <> 'status.duration_seconds'"), failed, "2024-02-01")[1]
-
-
-@query(sql(["vstate"], """SELECT 1 AS section, count(*) AS lines FROM vstate
-UNION ALL SELECT 0, 6 UNION ALL SELECT 2, 2 UNION ALL SELECT 4, 5"""))
+    return mining.run_snapshot(rows, failed, "2024-02-01")[1]
+
+
+@query(sql(["vstate", "vlatest", "vcurrent_params"], f""", {_SNAPSHOT},
+recent AS (SELECT run_id, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, run_id) AS r FROM vstate),
+pair AS (SELECT max(run_id) FILTER (r = 1) AS a, max(run_id) FILTER (r = 2) AS b FROM recent),
+old AS (SELECT key, value FROM snap WHERE run_id = (SELECT a FROM pair)), new AS (SELECT key, value FROM snap WHERE run_id = (SELECT b FROM pair))
+SELECT 'project' AS doc, section, item, line FROM (
+  SELECT 0 AS section, printf('%012d', i - 1) AS item, line FROM (SELECT unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (
+    SELECT ['# EXPERIMENT_REPORT', '', '- Project: project', '- Run Count: ' || (SELECT count(*) FROM vstate), '', '## Runs'] AS lines))
+  UNION ALL SELECT 1, printf('%020d/%s', 1000000000000000000 - coalesce(epoch_us(updated_at), 0), run_id::VARCHAR),
+    '- ' || run_id || ': status=' || status || ', duration=' || coalesce(CAST(duration_seconds AS VARCHAR), 'None') FROM vstate
+  UNION ALL SELECT 2, printf('%012d', p), t FROM (VALUES (0, ''), (1, '## Comparison')) v(p, t)
+  UNION ALL SELECT 3, coalesce(o.key, n.key), '- ' || coalesce(o.key, n.key) || ': ' || coalesce(o.value, 'None') || ' -> ' || coalesce(n.value, 'None')
+    FROM old o FULL JOIN new n ON n.key = o.key WHERE o.value IS DISTINCT FROM n.value
+  UNION ALL SELECT 4, printf('%012d', i - 1), line FROM (SELECT unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (
+    SELECT ['```mermaid', 'graph TD', '    run1[' || a || '] --> compare', '    run2[' || b || '] --> compare', '```'] AS lines FROM pair)))"""))
 def experiment_report(spark, d):
-    lines = cards.experiment_report(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d), "project")
-    return lines.filter("section <> 3").groupBy("section").agg(F.count(F.lit(1)).alias("lines"))
+    return cards.experiment_report(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d), "project")
 
 
 # --- registry

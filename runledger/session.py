@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -13,6 +16,9 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -56,15 +62,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def local_table(spark: SparkSession, rows: list, schema: str | StructType) -> DataFrame:
+    """Rows that are already on the driver as a local relation, whose true size Catalyst knows."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    names = schema.fieldNames()
+    records = [dict(zip(names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema)
+
+
 def small_table(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Turn a result known to be small into a local relation, after checking that it is.
+    """Turn a result that should be small into a local relation, after checking that it is.
 
-    A local relation carries its true size, so Catalyst can broadcast it on its own.
-    Anything beyond ``max_rows`` stays distributed: it is checkpointed instead and
-    joined by shuffle.
+    A local relation carries its true size, so Catalyst broadcasts it without being told.
+    Anything beyond ``max_rows`` stays distributed: it is checkpointed instead and joined
+    by shuffle.
     """
-    df = cut_lineage(df)
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    rows = df.limit(max_rows + 1).toArrow()
+    return cut_lineage(df) if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows, df.schema)

@@ -17,12 +17,11 @@ from ..functions.columns import suffix
 SCHEMA = "path string, name string, is_dir boolean, size bigint, mtime timestamp, created_at timestamp, permissions string"
 
 
-class Subtree(InputPartition):
-    """One folder to list, with everything below it or on its own."""
+class Folders(InputPartition):
+    """The folders one task lists: (path, with everything below it or on its own)."""
 
-    def __init__(self, folder: str, deep: bool):
-        self.folder = folder
-        self.deep = deep
+    def __init__(self, folders: list[tuple[str, bool]]):
+        self.folders = folders
 
 
 def open_root(root: str) -> tuple[fs.FileSystem, str]:
@@ -45,31 +44,33 @@ def _utc(seconds: float | None) -> datetime | None:
 class FileTreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
-        self.target = int(options.get("partitions", "256"))
+        self.tasks = int(options.get("partitions", "64"))
 
     def partitions(self):
-        """Open the shallowest folders until there are enough to share out; only those are listed here."""
+        """Open the shallowest folders until a few per task can be dealt out; only those are listed here."""
         system, base = open_root(self.root)
         if system.get_file_info(base).type != fs.FileType.Directory:
             raise ValueError(f"directory not found: {self.root}")
         opened, waiting = [], [base]
-        while waiting and len(opened) + len(waiting) < self.target:
+        while waiting and len(waiting) < 4 * self.tasks:
             folder = waiting.pop(0)
             opened.append(folder)
             waiting.extend(e.path for e in _children(system, folder) if _is_folder(system, e))
-        return [Subtree(f, False) for f in opened] + [Subtree(f, True) for f in waiting]
+        shares = [(f, False) for f in opened] + [(f, True) for f in waiting]
+        return [Folders(shares[i::self.tasks]) for i in range(min(self.tasks, len(shares)))]
 
-    def read(self, partition: Subtree) -> Iterator[tuple]:
+    def read(self, partition: Folders) -> Iterator[tuple]:
         system, base = open_root(self.root)
         local = isinstance(system, fs.LocalFileSystem)
-        stack = [partition.folder]
+        stack = list(partition.folders)
         while stack:
-            for entry in _children(system, stack.pop()):
+            folder, deep = stack.pop()
+            for entry in _children(system, folder):
                 if entry.type not in (fs.FileType.File, fs.FileType.Directory):
                     continue             # a dangling link: neither file nor folder
                 is_dir = entry.type == fs.FileType.Directory
-                if partition.deep and _is_folder(system, entry):
-                    stack.append(entry.path)
+                if deep and _is_folder(system, entry):
+                    stack.append((entry.path, True))
                 created, mode = None, None
                 if local:
                     stat = os.stat(entry.path)
@@ -87,7 +88,7 @@ def _is_folder(system: fs.FileSystem, entry: fs.FileInfo) -> bool:
 
 
 class FileTreeSource(DataSource):
-    """``spark.read.format("filetree").option("partitions", 256).load(root)``"""
+    """``spark.read.format("filetree").option("partitions", 64).load(root)``"""
 
     @classmethod
     def name(cls):
@@ -100,12 +101,13 @@ class FileTreeSource(DataSource):
         return FileTreeReader(self.options)
 
 
-def file_catalog(spark: SparkSession, root: str, partitions: int = 256) -> DataFrame:
+def file_catalog(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
     """(path, name, ext, is_dir, size, mtime, created_at, permissions) of everything below ``root``.
 
     ``root`` is a folder every executor sees: a shared mount, or a URI that Arrow can open.
     """
     spark.dataSource.register(FileTreeSource)
+    partitions = partitions or 2 * spark.sparkContext.defaultParallelism
     listed = spark.read.format("filetree").option("partitions", partitions).load(root)
     ext = F.when(F.col("is_dir"), "").otherwise(suffix(F.col("name")))
     return listed.select("path", "name", ext.alias("ext"), "is_dir", "size", "mtime", "created_at", "permissions")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.drift import drift_report
+from ..operators.drift import drift_report, plan_columns, value_counts
+from ..session import cut_lineage
 
 
 def read_log_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
@@ -51,10 +52,15 @@ def stream_dedup(texts: DataFrame, late: str = "1 day", ts: str = "ts", content:
 
 
 def stream_drift(stream: DataFrame, reference: DataFrame, columns: list[str], out_path: str) -> DataStreamWriter:
-    """Every micro-batch against a fixed reference; reports are appended with their batch number."""
+    """Every micro-batch against a fixed reference; reports are appended with their batch number.
+
+    The reference is counted once and stored; batches meet its counts, not its rows.
+    """
+    counted = cut_lineage(value_counts(reference, plan_columns(reference.schema, stream.schema, columns)))
+
     def report(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        (drift_report(reference, batch, columns).withColumn("batch_id", F.lit(batch_id))
+        (drift_report(reference, batch, columns, counted).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}"))
         batch.unpersist()
 
