@@ -147,7 +147,12 @@ def split(df: DataFrame, key: list[str] | None = None, train_ratio: float = 0.7,
             F.first("digest").alias("digest"), F.first("k").alias("k"), F.first("n").alias("n")),
         "stratum", "left"))
     digest = F.col("_digest")
-    labelled = marked.join(cuts.withColumnRenamed("stratum", "_stratum"), "_stratum")
+    if stratify_column is None:     # a single pair of borders: constants, no join
+        border = cuts.first() or {}
+        labelled = marked.withColumns({f.name: F.lit(border[f.name] if border else None).cast(f.dataType)
+                                       for f in cuts.schema.fields if f.name != "stratum"})
+    else:
+        labelled = marked.join(cuts.withColumnRenamed("stratum", "_stratum"), "_stratum")
     label = (F.when(digest <= F.col("train_digest"), "train")
              .when(digest <= F.col("val_digest"), "val").otherwise("test"))
     if borders.filter("k < n").isEmpty():

@@ -53,7 +53,7 @@ def read_run_documents(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     run = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+\.json$", 1).alias("run_id")
 
     def documents(name: str) -> DataFrame:
-        return spark.read.option("wholetext", "true").text(f"{root}/*/{name}").select(run, F.col("value").alias("doc"))
+        return spark.read.text(f"{root}/*/{name}", wholetext=True).select(run, F.col("value").alias("doc"))
 
     params = documents("params.json").select("run_id", F.explode(F.from_json("doc", "map<string,string>")).alias("key", "value"))
     entries = documents("metrics.json").select(
