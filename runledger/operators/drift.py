@@ -15,7 +15,8 @@ from ..functions.fixed_values import FREQUENCY_DISTANCE_LIMIT, KS_ALPHA
 from ..session import local_table
 
 NULL_CATEGORY = "<null>"
-KEYS = ["column", "whole", "real", "text"]
+# What tells values apart: numbers are either whole or real, everything else is text.
+NUMBER_KEYS, TEXT_KEYS = ["column", "whole", "real"], ["column", "text"]
 REPORT = ["column", "type", "ks_statistic", "p_value", "frequency_distance", "drift_detected", "reason"]
 
 
@@ -32,8 +33,8 @@ def plan_columns(reference: StructType, candidate: StructType, columns: list[str
     return plan
 
 
-def _values(df: DataFrame, plan: dict[str, str]) -> DataFrame:
-    """(column, whole, real, text): one row per value, missing numbers left out."""
+def _values(df: DataFrame, plan: dict[str, str], keys: list[str]) -> DataFrame:
+    """One row per value with the given keys; missing numbers are left out."""
     fields = {f.name: f for f in df.schema.fields}
     entries = []
     for name, kind in plan.items():
@@ -41,16 +42,18 @@ def _values(df: DataFrame, plan: dict[str, str]) -> DataFrame:
         if kind == "text" and isinstance(fields[name].dataType, (T.ArrayType, T.MapType, T.StructType)):
             value = F.to_json(value)
         nothing = F.lit(None)
-        entries.append(F.struct(
-            F.lit(name).alias("column"), (value if kind == "whole" else nothing).cast("bigint").alias("whole"),
-            (value if kind == "real" else nothing).cast("double").alias("real"),
-            (F.coalesce(value.cast("string"), F.lit(NULL_CATEGORY)) if kind == "text" else nothing.cast("string")).alias("text")))
-    return df.select(F.inline(F.array(*entries))).filter("whole IS NOT NULL OR real IS NOT NULL OR text IS NOT NULL")
+        parts = {"column": F.lit(name), "whole": (value if kind == "whole" else nothing).cast("bigint"),
+                 "real": (value if kind == "real" else nothing).cast("double"),
+                 "text": F.coalesce(value.cast("string"), F.lit(NULL_CATEGORY)) if kind == "text" else nothing.cast("string")}
+        entries.append(F.struct(*[parts[k].alias(k) for k in keys]))
+    some = " OR ".join(f"{k} IS NOT NULL" for k in keys if k != "column")
+    return df.select(F.inline(F.array(*entries))).filter(some)
 
 
 def value_counts(df: DataFrame, plan: dict[str, str]) -> DataFrame:
     """(column, whole, real, text, n): how often each value occurs; what a fixed reference can keep."""
-    return _values(df, plan).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    keys = [*NUMBER_KEYS, "text"]
+    return _values(df, plan, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _sizes(df: DataFrame, plan: dict[str, str]) -> dict[str, int]:
@@ -61,7 +64,7 @@ def _sizes(df: DataFrame, plan: dict[str, str]) -> dict[str, int]:
     return {c: row["rows"] if kind == "text" else row[f"n{i}"] for i, (c, kind) in enumerate(plan.items())}
 
 
-def _compared(reference: DataFrame, candidate: DataFrame, plan: dict[str, str], counted: DataFrame | None = None):
+def _compared(reference: DataFrame, candidate: DataFrame, plan: dict[str, str], keys: list[str], counted: DataFrame | None):
     """Value counts of both sides with the sides' sizes, and the table of sizes.
 
     Both sides go through one aggregation, so equal values meet before the shuffle and a
@@ -69,15 +72,16 @@ def _compared(reference: DataFrame, candidate: DataFrame, plan: dict[str, str],
     """
     if counted is None:
         n = _sizes(reference, plan)
-        left = _values(reference, plan).withColumn("r", F.lit(1).cast("bigint"))
+        left = _values(reference, plan, keys).withColumn("r", F.lit(1).cast("bigint"))
     else:
         n = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.sum("n").alias("n")).collect()}
         left = counted.withColumnRenamed("n", "r")
     m = _sizes(candidate, plan)
     sizes = local_table(reference.sparkSession, [(c, n.get(c, 0), m[c]) for c in plan], "column string, n bigint, m bigint")
-    both = (left.select(*KEYS, "r", F.lit(0).cast("bigint").alias("c"))
-            .unionAll(_values(candidate, plan).select(*KEYS, F.lit(0).cast("bigint").alias("r"), F.lit(1).cast("bigint").alias("c"))))
-    return both.groupBy(*KEYS).agg(F.sum("r").alias("r"), F.sum("c").alias("c")), sizes
+    right = _values(candidate, plan, keys)
+    both = left.select(*keys, "r", F.lit(0).cast("bigint").alias("c")).unionAll(
+        right.select(*keys, F.lit(0).cast("bigint").alias("r"), F.lit(1).cast("bigint").alias("c")))
+    return both.groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("c").alias("c")), sizes
 
 
 def _running_extremes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,8 +118,8 @@ def drift_numeric(reference: DataFrame, candidate: DataFrame, columns: list[str]
     slices before it gives the gap of the whole column, so no slice ever needs the others.
     """
     plan = plan_columns(reference.schema, candidate.schema, columns)
-    values, sizes = _compared(reference, candidate, plan, counted)
-    order = ["column", "whole", "real"]
+    values, sizes = _compared(reference, candidate, plan, NUMBER_KEYS, counted)
+    order = NUMBER_KEYS
     sized = values.join(sizes.filter("n > 0 AND m > 0"), "column")
     slices = (sized.repartitionByRange(*order).sortWithinPartitions(*order).select("column", "r", "c", "n", "m")
               .mapInPandas(_running_extremes, "column string, part int, r bigint, c bigint, top_r bigint, "
@@ -141,7 +145,7 @@ def drift_categorical(reference: DataFrame, candidate: DataFrame, columns: list[
     numbers (r*m - c*n), so the result does not depend on the order of addition.
     """
     plan = {c: "text" for c in plan_columns(reference.schema, candidate.schema, columns)}
-    values, sizes = _compared(reference, candidate, plan, counted)
+    values, sizes = _compared(reference, candidate, plan, TEXT_KEYS, counted)
     wide = "decimal(18,0)"
     gap = F.abs(F.col("r").cast(wide) * F.col("m").cast(wide) - F.col("c").cast(wide) * F.col("n").cast(wide))
     sums = values.join(sizes, "column").groupBy("column").agg(F.sum(gap).cast("double").alias("gap"))

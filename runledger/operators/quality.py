@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -11,8 +12,8 @@ from ..functions.columns import canonical, col, is_floating, is_integral, is_num
 from ..functions.fixed_values import CONTRACT_TYPE_NAMES
 from ..session import local_table
 
-EXACT_ROWS = 2_000_000     # up to here one pass holds the distinct values of a column
-BRACKET_ROWS = 200_000     # values kept per quantile once it has been bracketed
+BUCKETS = 1024             # slices of an interval that may hold a quartile, per pass
+FEW_VALUES = 2048          # an interval with at most so many values is listed value by value
 COLUMNS_PER_PASS = 24
 ACCURACY = 10_000
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -51,84 +52,87 @@ def dataset_stats(df: DataFrame) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(entries))
 
 
-def _exact_quantiles(df: DataFrame, fields: list[T.StructField], counts: dict[str, int]) -> dict:
-    """Exact linear-interpolated quartiles of very long columns.
+def _exact_quartiles(df: DataFrame, fields: list[T.StructField], facts: dict[str, tuple]) -> dict:
+    """Exact, linearly interpolated quartiles of any number of rows; facts: column -> (n, min, max).
 
-    Each wanted rank is bracketed between two approximate quantiles whose rank error is
-    bounded; one pass counts what lies below and inside the brackets.  Brackets shrink about
-    2,500-fold a pass, until one holds few values (or only one).  Every pass is one
-    aggregation that combines on the map side: no row is shuffled.
+    Every wanted rank starts in the interval from minimum to maximum.  One pass counts the
+    equal-width slices of all such intervals, which tells the slice each rank lies in; its
+    true bounds are the next interval.  Intervals shrink about a thousandfold a pass until
+    they hold one value.  A pass is one aggregation that combines on the map side, so no
+    row is shuffled and at most (intervals x slices) rows come back.
     """
-    wanted = {}      # (column, rank) -> [low, high] of the bracket
-    for field in fields:
-        n = counts[field.name]
-        for p in QUARTILES.values():
-            place = p * (n - 1)
-            for rank in {math.floor(place), math.ceil(place)}:
-                wanted[(field.name, rank)] = [None, None]
     by_name = {f.name: f for f in fields}
-    solved: dict[tuple[str, int], float] = {}
-    while wanted:
-        keys = list(wanted)
-        aggregates = []
-        for i, (name, _) in enumerate(keys):
-            value, (low, high) = value_of(by_name[name]), wanted[keys[i]]
-            inside = value.isNotNull()
-            if low is not None:
-                inside = (value >= F.lit(low)) & (value <= F.lit(high))
-                aggregates.append(F.count_if(value < F.lit(low)).alias(f"below{i}"))
-            aggregates += [F.count_if(inside).alias(f"inside{i}"),
-                           F.min(F.when(inside, value)).alias(f"min{i}"), F.max(F.when(inside, value)).alias(f"max{i}")]
-        row = _one_row(df, aggregates)
-        final, narrow = [], []
-        for i, key in enumerate(keys):
-            local = key[1] - row.get(f"below{i}", 0)
-            if not 0 <= local < row[f"inside{i}"]:
-                raise RuntimeError(f"quantile bracket of column {key[0]} missed its rank")
-            if row[f"min{i}"] == row[f"max{i}"]:
-                solved[key] = float(row[f"min{i}"])
-                wanted.pop(key)
-            else:
-                (final if row[f"inside{i}"] <= BRACKET_ROWS else narrow).append((key, local, row[f"inside{i}"]))
-        aggregates = []
-        for i, (key, local, n) in enumerate(final + narrow):
-            value, (low, high) = value_of(by_name[key[0]]), wanted[key]
-            kept = value if low is None else F.when((value >= F.lit(low)) & (value <= F.lit(high)), value)
-            if i < len(final):
-                aggregates.append(F.percentile(kept, local / (n - 1)).alias(f"v{i}"))
-            else:
-                edges = [max(0.0, local / n - 2 / ACCURACY), min(1.0, (local + 1) / n + 2 / ACCURACY)]
-                aggregates.append(F.percentile_approx(kept, edges, ACCURACY).alias(f"v{i}"))
-        if aggregates:
-            row = _one_row(df, aggregates)
-            for i, (key, _, _) in enumerate(final):
-                solved[key] = float(row[f"v{i}"])
-                wanted.pop(key)
-            for i, (key, _, _) in enumerate(narrow, start=len(final)):
-                wanted[key] = list(row[f"v{i}"])
+    biggest = sys.float_info.max
+    wanted, solved = {}, {}
+    for name, (n, low, high) in facts.items():
+        for p in QUARTILES.values():
+            for rank in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}:
+                wanted[(name, rank)] = (low, high, 0, n)
+    while True:
+        for key in [k for k, (low, high, _, _) in wanted.items() if low == high]:
+            solved[key] = wanted.pop(key)[0]
+        if not wanted:
+            break
+        intervals = sorted({(name, low, high, n) for (name, _), (low, high, _, n) in wanted.items()})
+        # Bounds sit in constant arrays, looked up by column and interval: one short expression
+        # for all columns stays small enough to be compiled well.
+        starts, scales, by_column = [], [], {}
+        for i, (name, low, high, n) in enumerate(intervals):
+            # Halves keep the span finite even between the two ends of the number range.
+            start, end = max(low, -biggest) / 2, min(high, biggest) / 2
+            scale = BUCKETS / (end - start) if end > start else math.inf
+            starts.append(start)
+            scales.append(None if n <= FEW_VALUES or math.isinf(scale) else scale)   # None: list value by value
+            by_column.setdefault(name, []).append((low, high, i))
+
+        def at(constants: list, index: str, kind: str) -> Column:
+            return F.element_at(F.array(*[F.lit(x).cast(kind) for x in constants]), F.col(index) + 1)
+
+        value = F.col("value")
+        tests = []
+        for j in range(max(map(len, by_column.values()))):
+            low, high, i = zip(*[spans[j] if j < len(spans) else (None, None, None) for spans in by_column.values()])
+            tests.append(F.when((value >= at(low, "c", "double")) & (value <= at(high, "c", "double")), at(i, "c", "int")))
+        finite = F.greatest(F.lit(-biggest), F.least(F.lit(biggest), value))
+        part = F.floor((finite / 2 - at(starts, "id", "double")) * F.col("scale")).cast("int")
+        found = (df.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("c"), value_of(by_name[name]).cast("double").alias("value")) for c, name in enumerate(by_column)])))
+            .filter("value IS NOT NULL").withColumn("id", F.coalesce(*tests)).filter("id IS NOT NULL")
+            .withColumn("scale", at(scales, "id", "double"))
+            .select("id", "value", F.least(F.lit(BUCKETS - 1), part).alias("part"), F.when(F.col("scale").isNull(), value).alias("single"))
+            .groupBy("id", "part", "single")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect())
+        slices: dict[int, list] = {}
+        for row in sorted(found, key=lambda r: r["low"]):
+            slices.setdefault(row["id"], []).append(row)
+        place = {(name, low, high): i for i, (name, low, high, _) in enumerate(intervals)}
+        for key, (low, high, below, _) in wanted.items():
+            for row in slices[place[(key[0], low, high)]]:
+                if key[1] < below + row["n"]:
+                    wanted[key] = (row["low"], row["high"], below, row["n"])
+                    break
+                below += row["n"]
     out = {}
-    for field in fields:
+    for name, (n, _, _) in facts.items():
         for label, p in QUARTILES.items():
-            place = p * (counts[field.name] - 1)
-            low, high = solved[(field.name, math.floor(place))], solved[(field.name, math.ceil(place))]
-            out[(field.name, label)] = low + (high - low) * (place - math.floor(place))
+            at = p * (n - 1)
+            low, high = solved[(name, math.floor(at))], solved[(name, math.ceil(at))]
+            out[(name, label)] = low if low == high else low + (high - low) * (at - math.floor(at))
     return out
 
 
-def profile(df: DataFrame, approx: bool = False, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: dtype, rows, nulls, bytes and, for numbers, the usual summary.
 
-    ``std`` is the sample deviation and quartiles interpolate linearly.  Up to ``exact_rows``
-    rows everything comes from one aggregation; longer tables get their quartiles from
-    bracketing passes, or from a sketch when ``approx`` is set.
+    ``std`` is the sample deviation and quartiles interpolate linearly.  Everything but the
+    quartiles comes from one aggregation; quartiles take a few counting passes, or a sketch
+    when ``approx`` is set.
     """
     fields = df.schema.fields
-    rows = df.count()
-    wide = rows <= exact_rows
-    result: dict[str, dict] = {}
+    result: list[dict] = []
     for start in range(0, len(fields), COLUMNS_PER_PASS):
         group = fields[start:start + COLUMNS_PER_PASS]
-        aggregates = []
+        aggregates = [F.count(F.lit(1)).alias("rows")]
         for i, field in enumerate(group):
             value = value_of(field)
             aggregates += [F.count(value).alias(f"count{i}"), F.sum(_bytes(field)).alias(f"bytes{i}")]
@@ -138,27 +142,24 @@ def profile(df: DataFrame, approx: bool = False, exact_rows: int = EXACT_ROWS) -
                                F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}")]
                 if approx:
                     aggregates.append(F.percentile_approx(value, list(QUARTILES.values()), ACCURACY).alias(f"q{i}"))
-                elif wide:
-                    aggregates.append(F.percentile(value, F.array(*[F.lit(p) for p in QUARTILES.values()])).alias(f"q{i}"))
         row = _one_row(df, aggregates)
-        numeric = [f for i, f in enumerate(group) if is_numeric(f.dataType) and row[f"count{i}"]]
-        exact = {}
-        if not approx and not wide and numeric:
-            exact = _exact_quantiles(df, numeric, {f.name: row[f"count{i}"] for i, f in enumerate(group)})
+        numeric = {f.name: (row[f"count{i}"], row[f"min{i}"], row[f"max{i}"]) for i, f in enumerate(group)
+                   if is_numeric(f.dataType) and row[f"count{i}"]}
+        exact = {} if approx or not numeric else _exact_quartiles(df, group, numeric)
         for i, field in enumerate(group):
             entry = {"column": field.name, "position": start + i, "dtype": field.dataType.simpleString(),
-                     "rows": rows, "nulls": rows - row[f"count{i}"], "bytes": row[f"bytes{i}"] or 0}
+                     "rows": row["rows"], "nulls": row["rows"] - row[f"count{i}"], "bytes": row[f"bytes{i}"] or 0}
             if is_numeric(field.dataType):
                 entry.update(count=row[f"count{i}"], mean=row[f"mean{i}"], std=row[f"std{i}"],
                              min=row[f"min{i}"], max=row[f"max{i}"])
-                quartiles = row.get(f"q{i}")
+                sketch = row.get(f"q{i}")
                 for j, label in enumerate(QUARTILES):
-                    entry[label] = quartiles[j] if quartiles else exact.get((field.name, label))
-            result[field.name] = entry
+                    entry[label] = sketch[j] if sketch else exact.get((field.name, label))
+            result.append(entry)
     schema = ("column string, position int, dtype string, rows bigint, nulls bigint, bytes bigint, count bigint, "
               "mean double, std double, min double, q25 double, q50 double, q75 double, max double")
     names = [part.split()[0] for part in schema.split(", ")]
-    return local_table(df.sparkSession, [tuple(r.get(n) for n in names) for r in result.values()], schema)
+    return local_table(df.sparkSession, [tuple(r.get(n) for n in names) for r in result], schema)
 
 
 def validate_schema(df: DataFrame, contract: DataFrame) -> DataFrame:

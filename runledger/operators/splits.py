@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import canonical, col, is_floating, row_digest, value_of
-from ..session import cut_lineage, small_table
+from ..session import local_table, small_table
 from .ranks import running_total
 
 PREFIX = 3             # hex digits per counting level: 4096 prefixes
@@ -127,15 +127,17 @@ def split(df: DataFrame, key: list[str] | None = None, train_ratio: float = 0.7,
               .withColumn("_stratum", stratum))
     base = marked.select(F.col("_stratum").alias("stratum"), F.col("_digest").alias("digest"))
 
-    counts = cut_lineage(base.groupBy("stratum", F.substring("digest", 1, PREFIX).alias("prefix"))
+    counts = small_table(base.groupBy("stratum", F.substring("digest", 1, PREFIX).alias("prefix"))
                          .agg(F.count(F.lit(1)).alias("n")))
-    strata = counts.groupBy("stratum").agg(F.sum("n").alias("rows"))
-    total = strata.agg(F.sum("rows")).first()[0] or 0
+    total = counts.agg(F.sum("n")).first()[0] or 0
     n_train, n_val, n_test = split_sizes(total, train_ratio, val_ratio, test_ratio)
-    shares = quotas(strata, "rows", n_train, total, "train")
-    shares = shares.withColumn("rest", F.col("rows") - F.col("train"))
-    shares = small_table(quotas(shares, "rest", n_test, n_val + n_test, "test")
-                         .withColumn("val", F.col("rest") - F.col("test")))
+    if stratify_column is None:
+        shares = local_table(df.sparkSession, [("all", n_train, n_val)] if total else [], "stratum string, train bigint, val bigint")
+    else:
+        strata = small_table(counts.groupBy("stratum").agg(F.sum("n").alias("rows")))
+        shares = quotas(strata, "rows", n_train, total, "train").withColumn("rest", F.col("rows") - F.col("train"))
+        shares = small_table(quotas(shares, "rest", n_test, n_val + n_test, "test")
+                             .withColumn("val", F.col("rest") - F.col("test")))
     wanted = shares.select("stratum", F.inline(F.array(
         F.struct(F.lit("train").alias("border"), F.col("train").alias("k")),
         F.struct(F.lit("val").alias("border"), (F.col("train") + F.col("val")).alias("k")))))

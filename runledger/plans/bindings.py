@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import lines_of, suffix
 from ..functions.fixed_values import LAYOUTS
-from ..session import local_table
+from ..session import local_table, spread
 
 EXTENSIONS = [".csv", ".parquet", ".pt", ".onnx", ".py", ".md", ".log", ".json", ".png", ""]
 MODEL_SUFFIXES = [".pt", ".onnx", ".pkl", ".safetensors", ".bin"]
@@ -320,7 +320,7 @@ SOURCE_TEXT = ("concat('import os, json\\nimport ', lower(p_type), '_lib.core as
 
 
 def sources(spark, folder) -> DataFrame:
-    return table(spark, folder, "part").selectExpr("concat('src/p', p_partkey, '.py') AS path", f"{SOURCE_TEXT} AS content")
+    return spread(table(spark, folder, "part")).selectExpr("concat('src/p', p_partkey, '.py') AS path", f"{SOURCE_TEXT} AS content")
 
 
 # --- pairs of neighbouring documents, notebooks made of document lines
@@ -335,7 +335,7 @@ VIEWS["vlines"] = f"""
 
 
 def pairs(spark, folder) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     later = docs.select((F.col("doc_id") - 1).alias("key"), F.col("text").alias("text_b"))
     return docs.select(F.col("doc_id").alias("key"), F.col("text").alias("text_a")).join(later, "key").select(
         "key", F.concat(F.lit("doc_"), "key").alias("name_a"),
@@ -347,7 +347,7 @@ def notebooks(spark, folder) -> DataFrame:
     cells = F.transform(lines_of(F.col("content")), lambda line, i: F.struct(
         F.when(i % 3 == 0, "markdown").otherwise("code").alias("cell_type"),
         F.when(i % 2 == 1, i.cast("bigint")).alias("execution_count"), line.alias("source")))
-    return files(spark, folder).select("path", F.to_json(F.struct(cells.alias("cells"))).alias("content"))
+    return spread(files(spark, folder)).select("path", F.to_json(F.struct(cells.alias("cells"))).alias("content"))
 
 
 def with_ext(df: DataFrame) -> DataFrame:

@@ -71,6 +71,16 @@ def local_table(spark: SparkSession, rows: list, schema: str | StructType) -> Da
     return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share a table read in very few pieces among all cores, before work that is heavy per row.
+
+    A table with at least as many pieces as cores is left alone, so big inputs are never
+    shuffled for this.  Meant for plain scans: asking for their pieces runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_table(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Turn a result that should be small into a local relation, after checking that it is.
 

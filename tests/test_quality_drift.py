@@ -79,14 +79,14 @@ def test_p_value_of_the_limit(spark):
     assert row["p"] == pytest.approx(0.05, abs=1e-4)
 
 
-@pytest.mark.parametrize("exact_rows", [10_000, 1])
-def test_profile_equals_pandas(monkeypatch, make, exact_rows):
-    monkeypatch.setattr(quality, "BRACKET_ROWS", 20)
-    monkeypatch.setattr(quality, "ACCURACY", 100)
+@pytest.mark.parametrize("few,buckets", [(2048, 1024), (5, 3), (0, 2)])
+def test_profile_equals_pandas(monkeypatch, make, few, buckets):
+    monkeypatch.setattr(quality, "FEW_VALUES", few)
+    monkeypatch.setattr(quality, "BUCKETS", buckets)
     rng = random.Random(5)
     rows = [(None if i % 9 == 0 else rng.randint(0, 40), 7.5 if i % 3 == 0 else rng.random(), float("nan") if i % 4 == 0 else 1.0, f"t{i}")
             for i in range(700)]
-    got = {r["column"]: r for r in quality.profile(make(rows, "a int, b double, c double, t string"), exact_rows=exact_rows).collect()}
+    got = {r["column"]: r for r in quality.profile(make(rows, "a int, b double, c double, t string")).collect()}
     frame = pd.DataFrame(rows, columns=["a", "b", "c", "t"])
     for name in ("a", "b", "c"):
         want = frame[name].describe()
@@ -97,6 +97,21 @@ def test_profile_equals_pandas(monkeypatch, make, exact_rows):
     assert got["t"]["count"] is None and got["t"]["bytes"] == sum(len(f"t{i}") for i in range(700))
 
 
+@pytest.mark.parametrize("few", [0, 2048])
+@pytest.mark.parametrize("numbers", [
+    [float("inf"), 1.0, 2.0, 3.0, float("-inf")], [1e308, -1e308, 5.0, 6.0, 7.0], [5e-324, 0.0, -5e-324, 1e-320, -0.0], [1.0, 1.0 + 2 ** -52, 1.0, 1.0],
+    [1e-300 * i for i in range(50)] + [1e300], [3.0], [float("inf")] * 4, [2.0 ** 53 + 2 * i for i in range(9)]])
+def test_quartiles_of_extreme_numbers(monkeypatch, make, numbers, few):
+    monkeypatch.setattr(quality, "FEW_VALUES", few)
+    monkeypatch.setattr(quality, "BUCKETS", 4)
+    row = quality.profile(make([(x,) for x in numbers], "x double")).first()
+    ordered = sorted(numbers)
+    for label, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+        at = p * (len(ordered) - 1)
+        low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+        assert row[label] == (low if low == high else low + (high - low) * (at - math.floor(at)))
+
+
 def test_profile_of_odd_and_empty_columns(make):
     got = {r["column"]: r for r in quality.profile(make([(None, 1.0), (None, None)], "`a|b.c` int, x double")).collect()}
     assert got["a|b.c"]["count"] == 0 and got["a|b.c"]["q50"] is None and got["x"]["std"] is None
