@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import artifact_type, category, framework, glob_to_regex, lines_of, suffix
+from ..session import cut_lineage, small_table
+from .ranks import HOT_ROWS
 
 # Content types by suffix; anything else is application/octet-stream.
 CONTENT_TYPES = {
@@ -183,17 +185,19 @@ def duplicate_groups(catalog: DataFrame, min_size: int = fv.DUPLICATE_MIN_SIZE,
 
 
 def duplicate_members(catalog: DataFrame, min_size: int = fv.DUPLICATE_MIN_SIZE,
-                      max_size: int = fv.DUPLICATE_MAX_SIZE, salts: int = 64) -> DataFrame:
+                      max_size: int = fv.DUPLICATE_MAX_SIZE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(md5, path) of every file that has a copy: one row per member instead of lists.
 
-    The group table is repeated once per salt and members spread over the salts, so a huge
-    group is joined by many tasks.
+    Groups above ``hot_rows`` members, of which there can only be few, are matched by a
+    broadcast of their digests and never shuffled; the rest is an ordinary semi-join.
     """
-    files = files_only(catalog).filter(F.col("size").between(min_size, max_size)).select(
-        F.md5("content").alias("md5"), "path", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int").alias("_salt"))
-    groups = (files.groupBy("md5").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-              .select("md5", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")))
-    return files.join(groups, ["md5", "_salt"], "left_semi").select("md5", "path")
+    files = files_only(catalog).filter(F.col("size").between(min_size, max_size)).select(F.md5("content").alias("md5"), "path")
+    groups = cut_lineage(files.groupBy("md5").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    hot = small_table(groups.filter(F.col("n") > hot_rows).select("md5"))
+    if hot.isEmpty():
+        return files.join(groups, "md5", "left_semi")
+    rest = files.join(hot, "md5", "left_anti").join(groups.filter(F.col("n") <= hot_rows), "md5", "left_semi")
+    return files.join(hot, "md5", "left_semi").unionAll(rest)
 
 
 def largest_files(catalog: DataFrame, top_k: int = 10) -> DataFrame:

@@ -56,32 +56,42 @@ def value_counts(df: DataFrame, plan: dict[str, str]) -> DataFrame:
     return _values(df, plan, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _sizes(df: DataFrame, plan: dict[str, str]) -> dict[str, int]:
-    """Usable values per column: rows for text, non-missing values for numbers.  Reads no text column."""
-    fields = {f.name: f for f in df.schema.fields}
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *[
-        F.count(value_of(fields[c])).alias(f"n{i}") for i, (c, kind) in enumerate(plan.items()) if kind != "text"]).first()
-    return {c: row["rows"] if kind == "text" else row[f"n{i}"] for i, (c, kind) in enumerate(plan.items())}
+def side_sizes(reference: DataFrame, candidate: DataFrame, plan: dict[str, str], counted: DataFrame | None = None) -> DataFrame:
+    """(column, n, m): usable values per side; rows for text, non-missing values for numbers.
+
+    One job for both sides that reads no text column.
+    """
+    def side(df: DataFrame) -> DataFrame:
+        fields = {f.name: f for f in df.schema.fields}
+        return df.agg(F.count(F.lit(1)).alias("rows"), *[
+            F.count(value_of(fields[c])).alias(f"n{i}") for i, (c, kind) in enumerate(plan.items()) if kind != "text"])
 
+    def usable(row) -> dict[str, int]:
+        return {c: row["rows"] if kind == "text" else row[f"n{i}"] for i, (c, kind) in enumerate(plan.items())}
 
-def _compared(reference: DataFrame, candidate: DataFrame, plan: dict[str, str], keys: list[str], counted: DataFrame | None):
-    """Value counts of both sides with the sides' sizes, and the table of sizes.
+    if counted is None:
+        both = side(reference).withColumn("side", F.lit(0)).unionAll(side(candidate).withColumn("side", F.lit(1)))
+        n, m = (usable(row) for row in sorted(both.collect(), key=lambda r: r["side"]))
+    else:
+        n = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+        m = usable(side(candidate).first())
+    return local_table(reference.sparkSession, [(c, n.get(c, 0), m[c]) for c in plan], "column string, n bigint, m bigint")
+
+
+def _compared(reference: DataFrame, candidate: DataFrame, plan: dict[str, str], keys: list[str], counted: DataFrame | None) -> DataFrame:
+    """(keys, r, c): how often each value occurs on either side.
 
     Both sides go through one aggregation, so equal values meet before the shuffle and a
     value that fills a third of a side travels as one row per task.
     """
     if counted is None:
-        n = _sizes(reference, plan)
         left = _values(reference, plan, keys).withColumn("r", F.lit(1).cast("bigint"))
     else:
-        n = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.sum("n").alias("n")).collect()}
         left = counted.withColumnRenamed("n", "r")
-    m = _sizes(candidate, plan)
-    sizes = local_table(reference.sparkSession, [(c, n.get(c, 0), m[c]) for c in plan], "column string, n bigint, m bigint")
     right = _values(candidate, plan, keys)
     both = left.select(*keys, "r", F.lit(0).cast("bigint").alias("c")).unionAll(
         right.select(*keys, F.lit(0).cast("bigint").alias("r"), F.lit(1).cast("bigint").alias("c")))
-    return both.groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("c").alias("c")), sizes
+    return both.groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
 
 
 def _running_extremes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +120,7 @@ def _running_extremes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 
 def drift_numeric(reference: DataFrame, candidate: DataFrame, columns: list[str],
-                  counted: DataFrame | None = None) -> DataFrame:
+                  counted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(column, n, m, ks_statistic, p_value): two-sample KS of every column in one job.
 
     Distinct values are counted, spread over range slices and sorted; every slice reports
@@ -118,7 +128,8 @@ def drift_numeric(reference: DataFrame, candidate: DataFrame, columns: list[str]
     slices before it gives the gap of the whole column, so no slice ever needs the others.
     """
     plan = plan_columns(reference.schema, candidate.schema, columns)
-    values, sizes = _compared(reference, candidate, plan, NUMBER_KEYS, counted)
+    sizes = side_sizes(reference, candidate, plan, counted) if sizes is None else sizes
+    values = _compared(reference, candidate, plan, NUMBER_KEYS, counted)
     order = NUMBER_KEYS
     sized = values.join(sizes.filter("n > 0 AND m > 0"), "column")
     slices = (sized.repartitionByRange(*order).sortWithinPartitions(*order).select("column", "r", "c", "n", "m")
@@ -138,14 +149,15 @@ def drift_numeric(reference: DataFrame, candidate: DataFrame, columns: list[str]
 
 
 def drift_categorical(reference: DataFrame, candidate: DataFrame, columns: list[str],
-                      counted: DataFrame | None = None) -> DataFrame:
+                      counted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(column, frequency_distance): L1 distance of relative frequencies, values as text.
 
     Missing values form a category of their own.  Differences are added up as whole
     numbers (r*m - c*n), so the result does not depend on the order of addition.
     """
     plan = {c: "text" for c in plan_columns(reference.schema, candidate.schema, columns)}
-    values, sizes = _compared(reference, candidate, plan, TEXT_KEYS, counted)
+    sizes = side_sizes(reference, candidate, plan, counted) if sizes is None else sizes
+    values = _compared(reference, candidate, plan, TEXT_KEYS, counted)
     wide = "decimal(18,0)"
     gap = F.abs(F.col("r").cast(wide) * F.col("m").cast(wide) - F.col("c").cast(wide) * F.col("n").cast(wide))
     sums = values.join(sizes, "column").groupBy("column").agg(F.sum(gap).cast("double").alias("gap"))
@@ -167,20 +179,25 @@ def drift_report(reference: DataFrame, candidate: DataFrame, columns: list[str]
     numeric = [c for c, kind in plan.items() if kind != "text"]
     categorical = [c for c, kind in plan.items() if kind == "text"]
 
+    sizes = side_sizes(reference, candidate, plan, counted)
+
     def kept(names):
         return None if counted is None else counted.filter(F.col("column").isin(names))
 
+    def sized(names):
+        return sizes.filter(F.col("column").isin(names))
+
     nothing = F.lit(None)
     parts = []
     if numeric:
         empty = (F.col("n") == 0) | (F.col("m") == 0)
-        parts.append(drift_numeric(reference, candidate, numeric, kept(numeric)).select(
+        parts.append(drift_numeric(reference, candidate, numeric, kept(numeric), sized(numeric)).select(
             "column", F.lit("numeric").alias("type"), "ks_statistic", "p_value",
             nothing.cast("double").alias("frequency_distance"),
             F.when(~empty, F.col("p_value") < KS_ALPHA).alias("drift_detected"),
             F.when(empty, "empty_series").alias("reason")))
     if categorical:
-        parts.append(drift_categorical(reference, candidate, categorical, kept(categorical)).select(
+        parts.append(drift_categorical(reference, candidate, categorical, kept(categorical), sized(categorical)).select(
             "column", F.lit("categorical").alias("type"), nothing.cast("double").alias("ks_statistic"),
             nothing.cast("double").alias("p_value"), "frequency_distance",
             (F.col("frequency_distance") > FREQUENCY_DISTANCE_LIMIT).alias("drift_detected"),

@@ -57,9 +57,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store ``df`` as a table in the shared folder and go on from there.
+
+    Lost executors then cost no recomputation, plans stay short, and the optimizer knows
+    the true size.  (``checkpoint()`` would compute its last stage twice.)
+    """
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_table(spark: SparkSession, rows: list, schema: str | StructType) -> DataFrame:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import io
+import json
 import posixpath
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.feather as feather
 import yaml
-import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -20,10 +20,11 @@ def extension(path: str) -> str:
     return posixpath.splitext(path.rstrip("/"))[1].lower()
 
 
-def read_table(spark: SparkSession, path: str | list[str], schema=None) -> DataFrame:
+def read_table(spark: SparkSession, path: str | list[str], schema=None, quoted_breaks: bool = False) -> DataFrame:
     """A table from .csv, .tsv, .json, .jsonl, .parquet or .feather files (globs and lists work).
 
     Give ``schema`` for big text inputs: without it Spark reads them once more to infer types.
+    ``quoted_breaks`` allows line ends inside quoted CSV fields; such files are not split.
     """
     paths = [path] if isinstance(path, str) else list(path)
     kinds = {extension(p) for p in paths}
@@ -35,7 +36,7 @@ def read_table(spark: SparkSession, path: str | list[str], schema=None) -> DataF
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind in (".csv", ".tsv"):
         return reader.csv(paths, header=True, inferSchema=schema is None, sep="\t" if kind == ".tsv" else ",",
-                          quote='"', escape='"', multiLine=False)
+                          quote='"', escape='"', multiLine=quoted_breaks)
     if kind in (".json", ".jsonl"):
         return reader.json(paths, multiLine=kind == ".json")
     return reader.parquet(*paths)

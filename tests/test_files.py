@@ -54,7 +54,8 @@ def test_contents_and_duplicates(spark, tree):
     loaded = filetree.file_contents(candidates, str(tree))
     group = catalog.duplicate_groups(loaded).collect()
     assert [(r["n"], r["size"], r["first_path"]) for r in group] == [(2, 2000, "models/m.pt")]
-    assert values(catalog.duplicate_members(loaded), "path") == [("models/m.pt",), ("models/m2.pt",)]
+    for hot_rows in (1, 100):
+        assert values(catalog.duplicate_members(loaded, hot_rows=hot_rows), "path") == [("models/m.pt",), ("models/m2.pt",)]
     readable = filetree.text_contents(filetree.file_contents(listed, str(tree)))
     assert "bad.txt" not in {r["path"] for r in readable.collect()}
 
@@ -194,6 +195,8 @@ def test_read_write_tables(spark, make, tmp_path):
     assert values(tables.read_table(spark, str(tmp_path / "t.tsv"))) == [("a", 1.5)]
     assert values(tables.read_table(spark, str(tmp_path / "j.json"))) == values(tables.read_table(spark, str(tmp_path / "j.jsonl"))) == [(1,), (2,)]
     assert tables.read_table(spark, str(tmp_path / "odd.csv")).columns == ["NSE_EQ|INE585B01010", "b.c"]
+    (tmp_path / "q.csv").write_text('a,b\n1,"x\ny"\n')
+    assert values(tables.read_table(spark, str(tmp_path / "q.csv"), quoted_breaks=True)) == [(1, "x\ny")]
     tables.export_csv(df, str(tmp_path / "one.csv"))
     assert len(list((tmp_path / "one.csv").glob("part-*"))) == 1
 
