@@ -25,7 +25,7 @@ def ancestors(records: DataFrame, roots: DataFrame, max_rounds: int = 10_000) ->
     """(root, node): everything each root was made from, the root itself included.
 
     Many roots advance together, one join per level.  Nodes already seen are dropped, so
-    cycles end and diamonds are visited once.  Each level is checkpointed to the shared
+    cycles end and diamonds are visited once.  Each level is stored in the shared
     folder: plans stay short and a lost executor costs one level, not the whole walk.
     """
     links = cut_lineage(records.select("output", F.explode("inputs").alias("input")).distinct())

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import lines_of
 
@@ -96,3 +97,24 @@ def append_log(df: DataFrame, path: str, bucket_by: str | None = None, buckets:
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     log = spark.read.parquet(path)
     return log.drop("bucket")
+
+
+def read_registry_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Existing ``{"models": {name: [entry, ...]}}`` documents as the logs of ``operators.registry``."""
+    entry = ("name string, version bigint, stage string, run_id string, path string, size bigint, framework string, "
+             "registered_at timestamp, tags map<string,string>, deprecation_reason string, "
+             "stage_history array<struct<stage: string, timestamp: timestamp>>")
+    docs = spark.read.text(path, wholetext=True)
+    models = F.from_json("value", f"models map<string, array<struct<{_struct_fields(entry)}>>>")["models"]
+    listed = docs.select(F.explode(models).alias("model", "entries")).select(F.explode("entries").alias("e")).select("e.*")
+    versions = listed.select("name", "version", "run_id", "path", "size", "framework", "registered_at", F.col("version").alias("seq"))
+    steps = listed.select("name", "version", "deprecation_reason", F.posexplode("stage_history").alias("pos", "h"))
+    stages = steps.select("name", "version", F.col("pos").cast("bigint").alias("seq"), "h.stage", F.col("h.timestamp").alias("ts"),
+                          F.when(F.col("h.stage") == "deprecated", F.col("deprecation_reason")).alias("reason"))
+    tags = listed.select("name", "version", F.lit(0).cast("bigint").alias("seq"), F.explode("tags").alias("key", "value"))
+    return {"model_versions": versions, "stage_events": stages, "tag_log": tags}
+
+
+def _struct_fields(ddl: str) -> str:
+    """Top-level DDL fields (name type) in the form a nested struct wants (name: type)."""
+    return StructType.fromDDL(ddl).simpleString()[len("struct<"):-1]

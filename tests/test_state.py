@@ -196,3 +196,17 @@ def test_stages_tags_and_deletion(make):
     card = [r["line"] for r in cards.model_card(info, tags, hints).filter("doc = 'net/1'").orderBy("section", "item").collect()]
     assert card == ["# MODEL_CARD", "", "- Name: net", "- Version: 1", "- Stage: prod", "- Framework: pytorch", "- Path: n1.pt", "- Run ID: r1", "",
                     "## Tags", "- k: b", "- m: c", "", "## Dataset Hints", "- trainData=x.csv"]
+
+
+def test_existing_registry_loads(spark, tmp_path):
+    stamp = "2024-01-01T00:00:00+00:00"
+    entry = {"name": "net", "version": 1, "stage": "deprecated", "run_id": "r1", "path": "/m/net.pt", "size": 16, "framework": "pytorch",
+             "registered_at": stamp, "tags": {"k": "v"}, "deprecation_reason": "old",
+             "stage_history": [{"stage": "dev", "timestamp": stamp}, {"stage": "deprecated", "from": "dev", "timestamp": stamp}]}
+    (tmp_path / "models.json").write_text(json.dumps({"models": {"net": [entry, {**entry, "version": 2, "tags": {}, "stage_history": entry["stage_history"][:1]}]}}, indent=2))
+    logs = texts.read_registry_document(spark, str(tmp_path / "models.json"))
+    assert values(registry.list_models(logs["model_versions"], logs["stage_events"])) == [("net", 2, 2, "dev")]
+    assert values(registry.current_stage(logs["stage_events"])) == [("net", 1, "deprecated", "old"), ("net", 2, "dev", None)]
+    assert values(registry.stage_history(logs["stage_events"]), "version", "stage", "from_stage") == [
+        (1, "deprecated", "dev"), (1, "dev", None), (2, "dev", None)]
+    assert values(registry.current_tags(logs["tag_log"])) == [("net", 1, "k", "v")]
