@@ -46,7 +46,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
             .when(last.rlike(r"\.[A-Za-z0-9]{1,5}$"), F.concat(F.lit("."), F.regexp_extract(last, r"\.([A-Za-z0-9]{1,5})$", 1))).otherwise("name"))
     kinds = {"scheme": F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^([A-Za-z][A-Za-z0-9+.-]{0,15})://", 1)),
              "top": F.element_at(labels, -1), "site": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), "."),
-             "label": F.element_at(labels, 1), "folder": F.regexp_extract(path, r"^/([^/]+)/", 1), "form": form,
+             "first": F.element_at(labels, 1), "folder": F.regexp_extract(path, r"^/([^/]+)/", 1), "form": form,
              "query": F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^=&#]{1,40})", 1),
              "mark": F.when(F.instr(F.coalesce(url, F.lit("")), "#") > 0, "yes").otherwise("")}
     return F.filter(F.array(*[F.when(v != "", F.concat(F.lit(k + "="), v)) for k, v in kinds.items()]), lambda t: t.isNotNull())
@@ -55,7 +55,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_lift: float = 1.05,
          min_rows: int = 5) -> DataFrame:
     """Rules (antecedent, label, confidence, support, key) from rows (tokens, label); ``key`` is the rarest token."""
-    baskets = cut_lineage(labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items")))
+    baskets = cut_lineage(labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), "label"))).alias("items")))
     rows = baskets.count()
     none = labelled.sparkSession.createDataFrame(
         [], "antecedent array<string>, label string, confidence double, support double, key string")
@@ -63,9 +63,9 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
         return none
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("_item"), "freq")
-    kept = (model.associationRules.filter(F.col("consequent")[0].startswith("label=") & (F.col("lift") >= min_lift)
+    kept = (model.associationRules.filter(F.col("consequent")[0].startswith("verdict=") & (F.col("lift") >= min_lift)
                                           & (F.col("support") * rows >= min_rows - 1e-6))
-            .select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 7, 1000).alias("label"),
+            .select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 9, 1000).alias("label"),
                     "confidence", "support"))
     rarest = (kept.select("antecedent", F.explode("antecedent").alias("_item")).join(single, "_item").groupBy("antecedent")
               .agg(F.min(F.struct("freq", "_item"))["_item"].alias("key")))
