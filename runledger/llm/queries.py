@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import kd_shards, mixing, token_files, url_rules
-from .common import scratch_path, table
+from . import ann, decontaminate, kd_shards, langid, licenses, mixing, near_dups, quality_nbsvm, token_files, url_rules
+from .common import fold, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,6 +15,39 @@ ORACLES: dict[str, str] = {}
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op5_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+wins AS (SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(words[k:k + 9], ' ') AS win
+         FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS k FROM i WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT n FROM wins),
+runs AS (SELECT row, n, p, array_to_string(words[p:p + n - 1], ' ') AS win
+         FROM (SELECT row, words, n, unnest(range(1, len(words) - n + 2)) AS p FROM d, sizes WHERE len(words) >= n)),
+hits AS (SELECT row, p, n, item_id FROM runs JOIN wins USING (n, win)),
+covered AS (SELECT row, count(DISTINCT q) AS n_hit FROM (SELECT row, unnest(range(p, p + n)) AS q FROM hits) GROUP BY row),
+named AS (SELECT row, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items
+          FROM hits GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
+"""
+
+ORACLES["op6_near_dups"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[k:k + 3], ' ') || CASE WHEN len(words) < 4 THEN ' ' || len(words) ELSE '' END AS shingle
+      FROM (SELECT *, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS k FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT doc_id, b FROM reach JOIN edges ON other = a),
+named AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM named LEFT JOIN n USING (doc_id)
+"""
+
+
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[function.__name__] = function
     return function
@@ -25,6 +58,11 @@ def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(table(spark, folder, "pages"), URL_RULES)
 
 
+@query
+def op2_quality_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_nbsvm.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -39,7 +77,41 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.manifest(token_files.read_tokens(spark, path))
 
 
+@query
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=10).drop("hits", "items")
+
+
+@query
+def op6_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
+
+
 @query
 def op7_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     return (kd_shards.shard(table(spark, folder, "documents"), shards=8)
             .withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")))
+
+
+@query
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: its licenses, how many places, the least similar place, and whether every place has a template's exact words."""
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", F.size("found").cast("bigint").alias("n_found"),
+                        F.array_join(F.array_sort(F.array_distinct(F.col("found.license"))), ",").alias("licenses"),
+                        F.array_min("found.similarity").alias("least_similarity"),
+                        F.forall("found", lambda x: x["similarity"] == 1.0).alias("exact"))
+
+
+@query
+def op9_ann(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query
+def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = langid.fit(documents.filter(fold("doc_id", 3) != 1))
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return langid.predict(documents, model, [F.col("doc_id"), held_out]).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
