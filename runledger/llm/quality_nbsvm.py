@@ -1,6 +1,6 @@
 """Quality scores by a linear model over n-gram indicators scaled by naive Bayes log-count ratios.
 
-* Features: which byte n-grams (1 to 4 bytes) a text has, hashed to 2^17 buckets; a bucket's value is the log ratio of the
+* Features: which byte n-grams (1 to 4 bytes) a text has, hashed to 2^17 buckets, and whether a word repeats; a bucket's value is the log ratio of the
   shares of high and low quality training rows that have it, and rows have length one.
 * Fit: hinge loss by dual coordinate descent.  Training rows lie in one stored table; each task fits a model on every
   ``block_rows`` rows it reads and adds up the weights, and the mean over all blocks is the model.  So all labelled rows are
@@ -20,19 +20,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut_lineage, fold
-from .textblocks import blocks
+from .textblocks import RunHash, blocks, rows_of, spans
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (1, 2, 3, 4)
+#: Buckets of the word n-grams "x x" and "x x x": the same word, whichever it is, two or three times in a row.
+TWICE, THRICE = BUCKETS - 1, BUCKETS - 2
+WORD_BYTES = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 HELD_OUT, CURVE_FOLD, FOLDS = 0, 1, 5
 BINS, REACH = 4000, 8.0
 
 
 def indicators(column: pa.Array) -> Iterator[np.ndarray]:
     """The distinct buckets of each text, ascending."""
-    seen = np.zeros(BUCKETS, bool)
+    seen, words = np.zeros(BUCKETS, bool), RunHash(404)
     for low, high, rows, data in blocks(column):
+        starts, ends = spans(data, rows, WORD_BYTES)
+        word, owner = words(data, starts, ends), rows_of(starts, rows)
+        again = (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])
+        repeats = np.bincount(owner[1:][again], minlength=high - low)
+        thrice = np.bincount(owner[2:][again[1:] & again[:-1]], minlength=high - low)
         codes = []
         for n in ORDERS:
             size = max(len(data) - n + 1, 0)
@@ -41,9 +49,10 @@ def indicators(column: pa.Array) -> Iterator[np.ndarray]:
                 code = code * np.uint32(0x01000193) ^ data[k:k + size]
             code *= np.uint32(0x9E3779B1)
             codes.append((code ^ code >> np.uint32(15)) >> np.uint32(32 - BUCKET_BITS))
-        for start, end in zip(rows[:-1].tolist(), rows[1:].tolist()):
+        for start, end, two, three in zip(rows[:-1].tolist(), rows[1:].tolist(), repeats.tolist(), thrice.tolist()):
             for n, code in zip(ORDERS, codes):
                 seen[code[start:max(end - n + 1, start)]] = True
+            seen[TWICE], seen[THRICE] = two > 0, three > 0
             at = np.flatnonzero(seen)
             seen[at] = False
             yield at.astype(np.int32)
@@ -182,7 +191,7 @@ def _score(shared):
     return run
 
 
-def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, block_rows: int = 4000, cost: float = 1.0,
+def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, block_rows: int = 4000, cost: float = 10.0,
             rounds: int = 15) -> DataFrame:
     """doc_id, held_out, score, predicted for each document; learns from ``labels`` (doc_id, quality) outside fold 0."""
     context = documents.sparkSession.sparkContext
