@@ -11,12 +11,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runledger.llm import mixing, token_files
-from runledger.llm.common import scratch_path, table
+from runledger.llm import decontaminate, langid, mixing, near_dups, token_files
+from runledger.llm.common import fold, scratch_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accepted(docs, langid.fit(docs.filter(fold("doc_id", 3) != 1)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dups.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
@@ -29,7 +41,9 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_files.manifest(token_files.read_tokens(spark, path))
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mixing_sources), ("token_output", token_output)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing_sources),
+    ("token_output", token_output)]
 ORACLE_SQL: str | None = None
 
 

@@ -271,3 +271,12 @@ def contamination(documents: DataFrame, items: DataFrame, size: int = 10) -> Dat
             .withColumn("items_sha256", F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256))
             .withColumn("contaminated", F.col("n_hit") > 0)
             .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items"))
+
+
+def decontaminated(documents: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The documents, all columns, without those that hold a phrase of an item. Texts, not ids, are looked up."""
+    text = F.col("text").cast("string")
+    asked = documents.filter("text IS NOT NULL").select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
+    hit = contamination(asked, items, size).filter("contaminated").select(F.col("doc_id").alias("_hash")).distinct()
+    rows = documents.select(F.struct("*").alias("_row"), F.when(text.isNotNull(), F.xxhash64(text)).alias("_mine"))
+    return rows.join(hit, F.col("_mine") == F.col("_hash"), "left_anti").select("_row.*")

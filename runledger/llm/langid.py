@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pyspark.sql.types import StructType
+
 from .common import cut_lineage
 from .textblocks import blocks
 
@@ -194,8 +196,19 @@ def predict(documents: DataFrame, model: Model | None, keep: list[Column], near:
         named = rows.select(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"), "_kept", "_lettered")
     else:
         shared = documents.sparkSession.sparkContext.broadcast(model)
-        kind = rows.schema["_kept"].dataType.simpleString()
-        named = rows.select("text", "_kept", "_lettered").mapInArrow(
-            _predict(shared, near, few), f"lang_pred STRING, score DOUBLE, ambiguous BOOLEAN, _kept {kind}, _lettered BOOLEAN")
+        out = StructType.fromDDL("lang_pred STRING, score DOUBLE, ambiguous BOOLEAN")
+        out = StructType([*out, rows.schema["_kept"], rows.schema["_lettered"]])
+        named = rows.select("text", "_kept", "_lettered").mapInArrow(_predict(shared, near, few), out)
     return named.select(F.when(F.col("_lettered"), F.col("lang_pred")).otherwise("und").alias("lang_pred"),
-                        F.when(F.col("_lettered"), F.col("score")).otherwise(0.0).alias("score"), "ambiguous", "_lettered", "_kept.*")
+                        F.when(F.col("_lettered"), F.col("score")).otherwise(0.0).alias("score"), "ambiguous", "_kept.*")
+
+
+def accepted(documents: DataFrame, model: Model | None, unsure: float = 0.4) -> DataFrame:
+    """The documents, all columns, without those that have no letter or are ambiguous with a score below ``unsure``.
+
+    Without a model only texts without a letter are rejected.
+    """
+    named = predict(documents, model, [F.struct("*").alias("_row")])
+    doubtful = F.col("ambiguous") & (F.col("score") < unsure) if model is not None else F.lit(False)
+    lettered = F.coalesce(F.col("_row.text").cast("string").rlike(r"\p{L}"), F.lit(False))
+    return named.filter(lettered & ~doubtful).select("_row.*")

@@ -252,3 +252,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     return (sets.select("doc_id", "n_shingles", "cls").join(final, "cls", "left")
             .select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
+
+
+def deduplicated(documents: DataFrame, **options) -> DataFrame:
+    """One document of each group, all columns kept; repeated rows (same id and text) come once."""
+    kept = near_duplicates(documents, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = documents.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    return (rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_doc", "_text"]).select("_row.*"))
