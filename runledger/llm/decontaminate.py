@@ -31,7 +31,7 @@ WORD_BYTES = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >=
 SEGMENT_WORDS = 1 << 20
 CHUNK_PHRASES = 100_000
 CHUNK_ITEMS = 20_000
-SEGMENT = ("doc_ids ARRAY<BIGINT>, firsts ARRAY<BIGINT>, words ARRAY<BIGINT>, terms ARRAY<INT>, ends ARRAY<BIGINT>, "
+SEGMENT = ("part INT, segment BIGINT, doc_ids ARRAY<BIGINT>, firsts ARRAY<BIGINT>, words ARRAY<BIGINT>, terms ARRAY<INT>, ends ARRAY<BIGINT>, "
            "postings ARRAY<INT>")
 
 
@@ -100,7 +100,7 @@ def _index(shared, gap: int):
         docs: list[tuple[int, int, int]] = []
         found: list[np.ndarray] = []
         places: list[np.ndarray] = []
-        at = 0
+        at, part, made = 0, TaskContext.get().partitionId(), 0
 
         def segment() -> pa.RecordBatch:
             term = np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -113,7 +113,7 @@ def _index(shared, gap: int):
             docs.clear()
             found.clear()
             places.clear()
-            return pa.RecordBatch.from_arrays(lists, ["doc_ids", "firsts", "words", "terms", "ends", "postings"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made], pa.int64()), *lists], ["part", "segment", "doc_ids", "firsts", "words", "terms", "ends", "postings"])
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -130,7 +130,7 @@ def _index(shared, gap: int):
                 at = int(starts[-1] + counts[-1] + gap)
                 if at >= SEGMENT_WORDS:
                     yield segment()
-                    at = 0
+                    at, made = 0, made + 1
         if docs:
             yield segment()
     return run
@@ -170,10 +170,10 @@ def _search(shared, slop: int):
         table = np.full((len(phrases.phrases), longest), -1)
         for i, p in enumerate(phrases.phrases):
             table[i, :len(p)] = p
-        part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for r in range(len(batch)):
-                ids, firsts, words, terms, ends, postings = (batch.column(c)[r].values for c in range(6))
+                part, made = batch.column(0)[r].as_py(), batch.column(1)[r].as_py() << 32
+                ids, firsts, words, terms, ends, postings = (batch.column(c)[r].values for c in range(2, 8))
                 firsts, words, terms, ends, postings = (x.to_numpy() for x in (firsts, words, terms, ends, postings))
                 begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 lists = {int(t): postings[a:b] for t, a, b in zip(terms, begin, ends)}
@@ -189,11 +189,10 @@ def _search(shared, slop: int):
                         names.setdefault(d, set()).update(phrases.items[i])
                 runs = [_merge(hits.get(d, [])) for d in range(len(firsts))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(firsts), pa.int32()), pa.array(range(number, number + len(firsts)), pa.int64()), ids, pa.array(words),
+                    [pa.array([part] * len(firsts), pa.int32()), pa.array(range(made, made + len(firsts)), pa.int64()), ids, pa.array(words),
                      pa.array([[{"start": a, "end": b} for a, b in x] for x in runs], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                      pa.array([sorted(names.get(d, ())) for d in range(len(firsts))], pa.list_(pa.string()))],
                     ["part", "number", "doc_id", "n_words", "hits", "items"])
-                number += len(firsts)
     return run
 
 
@@ -251,7 +250,7 @@ def matches(documents: DataFrame, items: DataFrame, size: int = 10, slop: int =
         every = every.unionByName(more)
     if len(found) == 1:
         return every.drop("part", "number")
-    # the documents of a stored index come in the same order in every pass
+    # a document is known by its place in the stored index
     merged = every.groupBy("part", "number").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
                                                  F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
                                                  F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))

@@ -113,8 +113,8 @@ def _sketch(width: int):
                 n = np.diff(borders)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, len(n)), pa.array(n), pa.array(_names(borders, values), pa.binary()), lists],
-                    ["doc_id", "n_shingles", "cls", "bands"])
+                    [batch.column(0).slice(low, len(n)), batch.column(2).slice(low, len(n)), pa.array(n), pa.array(_names(borders, values), pa.binary()),
+                     lists], ["doc_id", "text_hash", "n_shingles", "cls", "bands"])
     return run
 
 
@@ -190,11 +190,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("cls").join(labels, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each document; kept: its id is the component's."""
+def groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept for each document; kept: its id is the component's."""
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sets = cut_lineage(rows.mapInArrow(_sketch(width), f"doc_id {kind}, n_shingles BIGINT, cls BINARY, bands ARRAY<BIGINT>"))
+    sets = cut_lineage(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        _sketch(width), f"doc_id {kind}, text_hash BIGINT, n_shingles BIGINT, cls BINARY, bands ARRAY<BIGINT>"))
     classes = cut_lineage(sets.filter("cls IS NOT NULL").groupBy("cls").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     # buckets of at least two classes
@@ -249,13 +250,19 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     named = classes.join(comps, "cls").select("cls", "comp", "first_id")
     smallest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     final = named.join(smallest, "comp").select("cls", "component_id")
-    return (sets.select("doc_id", "n_shingles", "cls").join(final, "cls", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return (sets.select("doc_id", "text_hash", "n_shingles", "cls").join(final, "cls", "left")
+            .select("doc_id", "text_hash", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
 
 
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each document."""
+    return groups(documents, width, percent).drop("text_hash")
+
+
 def deduplicated(documents: DataFrame, **options) -> DataFrame:
     """One document of each group, all columns kept; repeated rows (same id and text) come once."""
-    kept = near_duplicates(documents, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = documents.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
-    return (rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["_doc", "_text"]).select("_row.*"))
+    kept = groups(documents, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    rows = documents.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept_hash"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_doc", "_hash"]).select("_row.*")
