@@ -91,11 +91,6 @@ LAYOUTS = {
 }
 
 # --- fixed values: limits and thresholds
-HASH_SIZE_LIMIT = 104857600      # files above this are listed without a hash
-DUPLICATE_MIN_SIZE = 1024
-DUPLICATE_MAX_SIZE = 104857600
-SEARCH_MAX_MATCHES = 200
-HISTORY_LIMIT = 1000
 KS_ALPHA = 0.05
 FREQUENCY_DISTANCE_LIMIT = 0.2
 

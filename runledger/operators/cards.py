@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import col
 from ..session import cut_lineage
 from .quality import dataset_stats, sample_rows
-from .runs import compare_runs, run_snapshot_rows, run_state
+from .runs import compare_runs, run_snapshot_rows, run_state, without_deleted
 
 ORDER = ["section", "item"]
 
@@ -92,8 +92,10 @@ def dataset_card(df: DataFrame, name: str, path: str, sample_key: list[str] | No
     return lines
 
 
-def experiment_report(run_events: DataFrame, params: DataFrame, metrics: DataFrame, project: str) -> DataFrame:
+def experiment_report(run_events: DataFrame, params: DataFrame, metrics: DataFrame, project: str,
+                      tombstones: DataFrame | None = None) -> DataFrame:
     """Report lines: every run, then how the two most recently updated ones differ."""
+    run_events, params, metrics = (without_deleted(log, tombstones) for log in (run_events, params, metrics))
     state = cut_lineage(run_state(run_events))
     doc = F.lit(project)
     recent = state.orderBy(F.desc_nulls_last("updated_at"), "run_id").limit(2).collect()
@@ -109,7 +111,9 @@ def experiment_report(run_events: DataFrame, params: DataFrame, metrics: DataFra
     if len(recent) < 2:
         return lines.unionByName(_fixed(one, doc, 3, ["No comparison available"]))
     first, second = recent[0]["run_id"], recent[1]["run_id"]
-    diff = compare_runs(run_snapshot_rows(run_events, params, metrics), [first, second])
+    # the two runs' rows of each log, found before anything is folded
+    pair = [log.filter(F.col("run_id").isin(first, second)) for log in (run_events, params, metrics)]
+    diff = compare_runs(run_snapshot_rows(*pair), [first, second])
     changes = _listed(diff, doc, 3, F.col("key"), F.format_string(
         "- %s: %s -> %s", "key", F.coalesce("old", F.lit("None")), F.coalesce("new", F.lit("None"))))
     return lines.unionByName(changes).unionByName(_fixed(one, doc, 4, [

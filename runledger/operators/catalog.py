@@ -7,12 +7,11 @@ the root and uses ``/``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import artifact_type, category, framework, glob_to_regex, lines_of, suffix
-from ..session import cut_lineage, small_table
-from .ranks import HOT_ROWS
+from ..session import cut_lineage
 
 # Content types by suffix; anything else is application/octet-stream.
 CONTENT_TYPES = {
@@ -25,6 +24,17 @@ CONTENT_TYPES = {
 }
 
 
+def _digest(catalog: DataFrame) -> Column:
+    return F.col("md5") if "md5" in catalog.columns else F.md5("content")
+
+
+def _sized(files: DataFrame, min_size: int | None, max_size: int | None) -> DataFrame:
+    """Files within inclusive bounds; all files without bounds."""
+    if min_size is not None:
+        files = files.filter(F.col("size") >= min_size)
+    return files if max_size is None else files.filter(F.col("size") <= max_size)
+
+
 def files_only(catalog: DataFrame) -> DataFrame:
     return catalog.filter(~F.col("is_dir"))
 
@@ -45,23 +55,19 @@ def search_files(catalog: DataFrame, name_pattern: str = "*", extension: str | N
         hits = hits.filter(F.col("name").rlike(glob_to_regex(name_pattern)))
     if extension:
         hits = hits.filter(F.col("ext") == extension.lower())
-    if min_size is not None:
-        hits = hits.filter(F.col("size") >= min_size)
-    if max_size is not None:
-        hits = hits.filter(F.col("size") <= max_size)
-    return hits.select("path", "size").orderBy("path")
+    return _sized(hits, min_size, max_size).select("path", "size").orderBy("path")
 
 
 def file_info(catalog: DataFrame) -> DataFrame:
-    """Size, time, content type and, up to the hash limit, the MD5 of every file."""
-    small = F.col("size") <= fv.HASH_SIZE_LIMIT
+    """Size, time, content type and MD5 of every file; a catalog may bring ``md5`` ready made instead of contents."""
+    md5 = _digest(catalog)
     content_type = F.lit("application/octet-stream")
     for label, extensions in CONTENT_TYPES.items():
         content_type = F.when(F.col("ext").isin(extensions), label).otherwise(content_type)
     extra = [c for c in ("created_at", "permissions") if c in catalog.columns]
     return files_only(catalog).select(
         "path", "size", "mtime", *extra, content_type.alias("mime_type"),
-        F.when(small, F.md5("content")).alias("md5"), (~small).alias("md5_skipped"))
+        md5.alias("md5"), md5.isNull().alias("md5_skipped"))
 
 
 def classify(catalog: DataFrame) -> DataFrame:
@@ -114,10 +120,10 @@ def discover_models(registry: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def search_content(texts: DataFrame, query: str, file_pattern: str = "*", is_regex: bool = False,
-                   case_sensitive: bool = False, max_matches: int = fv.SEARCH_MAX_MATCHES) -> DataFrame:
-    """Matching lines (path, line, text, truncated), first ``max_matches`` by path and line.
+                   case_sensitive: bool = False, max_matches: int | None = None) -> DataFrame:
+    """Matching lines (path, line, text, truncated): all, or the first ``max_matches`` by path and line.
 
-    ``truncated`` is set as soon as the limit is reached, also when nothing more follows.
+    ``truncated`` is set as soon as a limit is reached, also when nothing more follows.
     """
     source = texts if file_pattern == "*" else texts.filter(F.col("name").rlike(glob_to_regex(file_pattern)))
 
@@ -129,18 +135,19 @@ def search_content(texts: DataFrame, query: str, file_pattern: str = "*", is_reg
     if not is_regex:     # a text without the words has no such line: skip the line split
         source = source.filter(hit(F.col("content")))
     lines = source.select("path", F.posexplode(lines_of(F.col("content"))).alias("line", "text"))
-    matches = (lines.filter(hit(F.col("text"))).withColumn("line", F.col("line") + 1)
-               .orderBy("path", "line").limit(max_matches))
-    # Count the kept lines once more, at most max_matches of them, to set the flag.
-    reached = matches.agg((F.count(F.lit(1)) >= max_matches).alias("truncated"), F.lit(1).alias("_one"))
-    return matches.withColumn("_one", F.lit(1)).join(F.broadcast(reached), "_one").drop("_one")
+    matches = lines.filter(hit(F.col("text"))).withColumn("line", F.col("line") + 1).orderBy("path", "line")
+    if max_matches is None:
+        return matches.withColumn("truncated", F.lit(False))
+    # Only the kept lines are counted: as many as the caller asked for.
+    kept = Window.partitionBy(F.lit(0))
+    return matches.limit(max_matches).withColumn("truncated", F.count(F.lit(1)).over(kept) >= max_matches)
 
 
-def operation_history(audit: DataFrame, limit: int = 50) -> DataFrame:
-    """The last ``limit`` operations, oldest first; at most the newest 1,000 are kept."""
-    if limit < 0:
+def operation_history(audit: DataFrame, limit: int | None = 50) -> DataFrame:
+    """The last ``limit`` operations, oldest first; all of them with ``limit=None``."""
+    if limit is not None and limit < 0:
         raise ValueError("limit must be >= 0")
-    last = audit.orderBy(F.desc("seq")).limit(min(limit, fv.HISTORY_LIMIT))
+    last = audit if limit is None else audit.orderBy(F.desc("seq")).limit(limit)
     return last.orderBy("seq")
 
 
@@ -159,66 +166,63 @@ def directory_summary(catalog: DataFrame) -> DataFrame:
             .orderBy(F.asc_nulls_last("extension")))
 
 
-def same_size_files(catalog: DataFrame, min_size: int = fv.DUPLICATE_MIN_SIZE,
-                    max_size: int = fv.DUPLICATE_MAX_SIZE) -> DataFrame:
+def same_size_files(catalog: DataFrame, min_size: int | None = None, max_size: int | None = None) -> DataFrame:
     """Catalog rows, without content, whose size another file shares: the only ones worth reading.
 
     Feed them to :func:`runledger.sources.filetree.file_contents` when contents lie in storage.
     """
-    sized = files_only(catalog).drop("content").filter(F.col("size").between(min_size, max_size))
+    sized = _sized(files_only(catalog).drop("content"), min_size, max_size)
     repeated = sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size")
     return sized.join(repeated, "size", "left_semi")
 
 
-def duplicate_groups(catalog: DataFrame, min_size: int = fv.DUPLICATE_MIN_SIZE,
-                     max_size: int = fv.DUPLICATE_MAX_SIZE) -> DataFrame:
+def duplicate_groups(catalog: DataFrame, min_size: int | None = None, max_size: int | None = None) -> DataFrame:
     """(md5, n, size, first_path) of contents held more than once, largest group first.
 
     Contents become digests before the shuffle and copies are counted on the map side, so a
     content that fills a third of the catalog costs one row per task.
     """
-    digest = F.col("md5") if "md5" in catalog.columns else F.md5("content")
-    files = files_only(catalog).filter(F.col("size").between(min_size, max_size))
-    return (files.select(digest.alias("md5"), "size", "path").groupBy("md5")
+    files = _sized(files_only(catalog), min_size, max_size)
+    return (files.select(_digest(catalog).alias("md5"), "size", "path").groupBy("md5")
             .agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min("path").alias("first_path"))
             .filter("n > 1").orderBy(F.desc("n"), "md5"))
 
 
-def duplicate_members(catalog: DataFrame, min_size: int = fv.DUPLICATE_MIN_SIZE,
-                      max_size: int = fv.DUPLICATE_MAX_SIZE, hot_rows: int = HOT_ROWS) -> DataFrame:
+def duplicate_members(catalog: DataFrame, min_size: int | None = None, max_size: int | None = None) -> DataFrame:
     """(md5, path) of every file that has a copy: one row per member instead of lists.
 
-    Groups above ``hot_rows`` members, of which there can only be few, are matched by a
-    broadcast of their digests and never shuffled; the rest is an ordinary semi-join.
+    Contents are read and digested once, into a stored table of digests and paths.  The semi-join's large side is the one
+    adaptive execution can split, so a digest with very many members is shared among tasks.
     """
-    files = files_only(catalog).filter(F.col("size").between(min_size, max_size)).select(F.md5("content").alias("md5"), "path")
-    groups = cut_lineage(files.groupBy("md5").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    hot = small_table(groups.filter(F.col("n") > hot_rows).select("md5"))
-    if hot.isEmpty():
-        return files.join(groups, "md5", "left_semi")
-    rest = files.join(hot, "md5", "left_anti").join(groups.filter(F.col("n") <= hot_rows), "md5", "left_semi")
-    return files.join(hot, "md5", "left_semi").unionAll(rest)
+    files = cut_lineage(_sized(files_only(catalog), min_size, max_size).select(_digest(catalog).alias("md5"), "path"))
+    groups = files.groupBy("md5").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return files.join(groups, "md5", "left_semi")
 
 
 def largest_files(catalog: DataFrame, top_k: int = 10) -> DataFrame:
     return files_only(catalog).select("path", "size").orderBy(F.desc("size"), "path").limit(top_k)
 
 
-def storage_report(catalog: DataFrame, top_k: int = 10) -> DataFrame:
-    """One table of figures (section, item, count, bytes): totals, suffixes, largest files, savings."""
-    summary = directory_summary(catalog)
-    by_ext = summary.filter("extension IS NOT NULL").select(
-        F.lit("extension").alias("section"), F.col("extension").alias("item"),
-        F.col("file_count").alias("count"), F.col("total_bytes").alias("bytes"))
-    totals = summary.filter("extension IS NULL").select(F.inline(F.array(
-        F.struct(F.lit("total").alias("section"), F.lit("files").alias("item"),
-                 F.col("file_count").alias("count"), F.col("total_bytes").alias("bytes")),
-        F.struct(F.lit("total").alias("section"), F.lit("directories").alias("item"),
-                 F.col("directory_count").alias("count"), F.lit(0).cast("bigint").alias("bytes")))))
-    largest = largest_files(catalog, top_k).select(
+def storage_report(catalog: DataFrame, top_k: int = 10, min_size: int | None = None, max_size: int | None = None) -> DataFrame:
+    """One table of figures (section, item, count, bytes): totals, suffixes, largest files, savings.
+
+    The catalog is read once, into a stored table without contents; ``min_size`` and ``max_size`` bound the copies counted as
+    savings.
+    """
+    narrow = cut_lineage(catalog.select("path", "ext", "is_dir", "size", _digest(catalog).alias("md5")))
+    ext = F.when(F.col("ext") == "", "<no_ext>").otherwise(F.col("ext"))
+    figures = narrow.groupBy(F.when(~F.col("is_dir"), ext).alias("item"), "is_dir").agg(
+        F.count(F.lit(1)).alias("count"), F.coalesce(F.sum(F.when(~F.col("is_dir"), F.col("size"))), F.lit(0)).alias("bytes"))
+    by_ext = figures.filter("NOT is_dir").select(F.lit("extension").alias("section"), "item", "count", "bytes")
+    totals = narrow.agg(F.count_if(~F.col("is_dir")).alias("files"), F.count_if("is_dir").alias("directories"),
+                        F.coalesce(F.sum(F.when(~F.col("is_dir"), F.col("size"))), F.lit(0)).alias("bytes")).select(F.inline(F.array(
+        F.struct(F.lit("total").alias("section"), F.lit("files").alias("item"), F.col("files").alias("count"), "bytes"),
+        F.struct(F.lit("total").alias("section"), F.lit("directories").alias("item"), F.col("directories").alias("count"),
+                 F.lit(0).cast("bigint").alias("bytes")))))
+    largest = largest_files(narrow, top_k).select(
         F.lit("largest").alias("section"), F.col("path").alias("item"),
         F.lit(1).cast("bigint").alias("count"), F.col("size").alias("bytes"))
-    savings = duplicate_groups(catalog).agg(
+    savings = duplicate_groups(narrow, min_size, max_size).agg(
         F.count(F.lit(1)).alias("count"),
         F.coalesce(F.sum(F.col("size") * (F.col("n") - 1)), F.lit(0)).alias("bytes")).select(
         F.lit("duplicates").alias("section"), F.lit("groups").alias("item"), "count", "bytes")

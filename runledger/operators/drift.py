@@ -14,7 +14,8 @@ from ..functions.columns import is_integral, is_numeric, kolmogorov_p, value_of
 from ..functions.fixed_values import FREQUENCY_DISTANCE_LIMIT, KS_ALPHA
 from ..session import local_table
 
-NULL_CATEGORY = "<null>"
+# Real values carry a mark, so no text can be taken for the missing one.
+NULL_CATEGORY, VALUE_MARK = "<null>", "="
 # What tells values apart: numbers are either whole or real, everything else is text.
 NUMBER_KEYS, TEXT_KEYS = ["column", "whole", "real"], ["column", "text"]
 REPORT = ["column", "type", "ks_statistic", "p_value", "frequency_distance", "drift_detected", "reason"]
@@ -44,7 +45,7 @@ def _values(df: DataFrame, plan: dict[str, str], keys: list[str]) -> DataFrame:
         nothing = F.lit(None)
         parts = {"column": F.lit(name), "whole": (value if kind == "whole" else nothing).cast("bigint"),
                  "real": (value if kind == "real" else nothing).cast("double"),
-                 "text": F.coalesce(value.cast("string"), F.lit(NULL_CATEGORY)) if kind == "text" else nothing.cast("string")}
+                 "text": F.coalesce(F.concat(F.lit(VALUE_MARK), value.cast("string")), F.lit(NULL_CATEGORY)) if kind == "text" else nothing.cast("string")}
         entries.append(F.struct(*[parts[k].alias(k) for k in keys]))
     some = " OR ".join(f"{k} IS NOT NULL" for k in keys if k != "column")
     return df.select(F.inline(F.array(*entries))).filter(some)

@@ -3,24 +3,27 @@
   model_versions (name, version, run_id, path, size, framework, registered_at, seq)
   stage_events   (name, version, seq, stage, ts, reason)
   tag_log        (name, version, seq, key, value)
-  tombstones     (name, version)
+  tombstones     (name, version[, seq])   with seq, only what was logged up to it is gone: the number may be used again
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import base_name, framework, suffix
-from .ranks import HOT_ROWS, latest_by, previous_in_group, running_total
+from ..session import cut_lineage
+from .runs import without_deleted
+from .ranks import latest_by, previous_in_group, running_total
 
 ID = ["name", "version"]
 
 
 def live(versions: DataFrame, tombstones: DataFrame | None) -> DataFrame:
-    return versions if tombstones is None else versions.join(tombstones.select(*ID).distinct(), ID, "left_anti")
+    """Versions, stage events or tags without what tombstones cover."""
+    return without_deleted(versions, tombstones, ID)
 
 
-def register_models(batch: DataFrame, existing: DataFrame, catalog: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def register_models(batch: DataFrame, existing: DataFrame, catalog: DataFrame) -> DataFrame:
     """Number a batch (name, seq, path, run_id, version, stage, ts) as if registered one by one.
 
     A row without version gets the highest version so far plus one.  With ``autos`` as the
@@ -35,9 +38,9 @@ def register_models(batch: DataFrame, existing: DataFrame, catalog: DataFrame, h
     usable = sized.filter("_size IS NOT NULL").join(top, "name", "left")
     order = [F.col("seq")]
     auto = F.when(F.col("version").isNull(), 1).otherwise(0).cast("bigint")
-    counted = running_total(usable, ["name"], order, auto, "_autos", hot_rows)
+    counted = running_total(usable, ["name"], order, auto, "_autos")
     floor = F.greatest(F.coalesce(F.col("_top"), F.lit(0)), F.col("version") - F.col("_autos")).cast("bigint")
-    folded = running_total(counted, ["name"], order, floor, "_floor", hot_rows, how="max")
+    folded = running_total(counted, ["name"], order, floor, "_floor", how="max")
     numbered = folded.withColumn("_asked", F.col("version").isNotNull()).withColumn(
         "version", F.coalesce(F.col("version"), F.col("_autos") + F.col("_floor")).cast("bigint"))
     # Versions of the batch that occur twice or already exist: the earliest holder keeps them.
@@ -61,13 +64,13 @@ def initial_stages(registered: DataFrame) -> DataFrame:
         *ID, "seq", "stage", F.col("registered_at").alias("ts"), F.lit(None).cast("string").alias("reason"))
 
 
-def stage_history(stage_events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def stage_history(stage_events: DataFrame) -> DataFrame:
     """Stage events in order with the stage they came ``from_stage``: one row per event."""
-    return previous_in_group(stage_events, ID, "seq", "stage", "from_stage", hot_rows)
+    return previous_in_group(stage_events, ID, "seq", "stage", "from_stage")
 
 
-def current_stage(stage_events: DataFrame) -> DataFrame:
-    return latest_by(stage_events, ID, "seq", ["stage", "reason"]).select(
+def current_stage(stage_events: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
+    return latest_by(live(stage_events, tombstones), ID, "seq", ["stage", "reason"]).select(
         *ID, "stage", F.col("reason").alias("deprecation_reason"))
 
 
@@ -77,7 +80,9 @@ def promote_models(batch: DataFrame, stage_events: DataFrame, versions: DataFram
         batch = batch.withColumn("reason", F.lit(None).cast("string"))
     known = versions.select(*ID).distinct()
     good = batch.join(known, ID, "left_semi").select(*stage_events.columns).withColumn("_new", F.lit(True))
-    moved = stage_history(stage_events.withColumn("_new", F.lit(False)).unionByName(good)).filter("_new").drop("_new")
+    # only the history of what is promoted
+    past = stage_events.join(good.select(*ID).distinct(), ID, "left_semi").select(*stage_events.columns)
+    moved = stage_history(past.withColumn("_new", F.lit(False)).unionByName(good)).filter("_new").drop("_new")
     bad = batch.join(known, ID, "left_anti").select(*stage_events.columns).withColumn(
         "from_stage", F.lit(None).cast("string"))
     return moved.withColumn("error", F.lit(None).cast("string")).unionByName(
@@ -96,16 +101,21 @@ def tag_models(batch: DataFrame, versions: DataFrame) -> DataFrame:
         "error", F.when(F.col("_known").isNull(), "model/version not found")).drop("_known")
 
 
-def current_tags(tag_log: DataFrame) -> DataFrame:
+def current_tags(tag_log: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
     """(name, version, key, value): last value per key."""
-    return latest_by(tag_log, [*ID, "key"], "seq", ["value"]).select(*ID, "key", "value")
+    return latest_by(live(tag_log, tombstones), [*ID, "key"], "seq", ["value"]).select(*ID, "key", "value")
 
 
-def delete_model_versions(versions: DataFrame, ids: DataFrame) -> DataFrame:
-    """Tombstones for the versions that exist; unknown ones get an ``error``."""
-    known = versions.select(*ID).distinct().withColumn("_known", F.lit(True))
+def delete_model_versions(versions: DataFrame, ids: DataFrame, seq: Column | int | None = None,
+                          tombstones: DataFrame | None = None) -> DataFrame:
+    """Tombstones for the versions that exist; unknown and already deleted ones get an ``error``.
+
+    ``seq`` is the place of the delete in the logs; without it the number can never be used again.
+    """
+    known = live(versions, tombstones).select(*ID).distinct().withColumn("_known", F.lit(True))
+    place = [] if seq is None else [(F.lit(seq) if isinstance(seq, int) else seq).cast("bigint").alias("seq")]
     return ids.select(*ID).distinct().join(known, ID, "left").select(
-        *ID, F.when(F.col("_known").isNull(), "model/version not found").alias("error"))
+        *ID, *place, F.when(F.col("_known").isNull(), "model/version not found").alias("error"))
 
 
 def list_models(versions: DataFrame, stage_events: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
@@ -115,16 +125,17 @@ def list_models(versions: DataFrame, stage_events: DataFrame, tombstones: DataFr
     """
     folded = live(versions, tombstones).groupBy("name").agg(
         F.count(F.lit(1)).alias("version_count"), F.max("version").alias("version"))
-    return (folded.join(current_stage(stage_events), ID, "left")
+    return (folded.join(current_stage(stage_events, tombstones), ID, "left")
             .select("name", "version_count", F.col("version").alias("latest_version"),
                     F.coalesce("stage", F.lit("unknown")).alias("current_stage"))
             .orderBy("name"))
 
 
-def model_versions_with_files(versions: DataFrame, catalog: DataFrame, stage_events: DataFrame) -> DataFrame:
+def model_versions_with_files(versions: DataFrame, catalog: DataFrame, stage_events: DataFrame,
+                              tombstones: DataFrame | None = None) -> DataFrame:
     """Versions with stage, ``file_exists`` and the size on disk (else the recorded one)."""
     files = catalog.filter(~F.col("is_dir")).select("path", F.col("size").alias("_disk"))
-    return (versions.join(files, "path", "left").join(current_stage(stage_events), ID, "left")
+    return (live(versions, tombstones).join(files, "path", "left").join(current_stage(stage_events, tombstones), ID, "left")
             .select(*ID, "stage", "run_id", "path", F.coalesce("_disk", "size").alias("size"), "framework",
                     F.col("_disk").isNotNull().alias("file_exists"), "deprecation_reason"))
 
@@ -146,6 +157,7 @@ def compare_model_versions(facts: DataFrame, pairs: DataFrame) -> DataFrame:
         return one.select("name", "version_a", "version_b", "field", F.col("value").alias(which),
                           F.lit(None).cast("string").alias(other))
 
+    facts = cut_lineage(facts)  # both sides read the facts once made
     both = side("a", "b").unionByName(side("b", "a"))
     return both.groupBy("name", "version_a", "version_b", "field").agg(F.max("a").alias("a"), F.max("b").alias("b"))
 

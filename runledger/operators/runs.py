@@ -5,7 +5,7 @@ Logs (all append-only):
   params     (run_id, seq, key, value)             value as text
   metrics    (run_id, seq, step, ts, key, value)   one row per metric of an entry; seq numbers entries
   artifacts  (run_id, seq, source, path, size, logged_at)
-  tombstones (run_id)
+  tombstones (run_id[, seq])                       with seq, only what was logged up to it is gone
 
 Operators that append take a batch and return it with a column ``reason``: NULL for rows
 to append, otherwise why the row is refused.
@@ -38,8 +38,20 @@ def _check_runs(batch: DataFrame, runs: DataFrame, *extra: tuple[Column, str]) -
     return batch.join(known, "run_id", "left").withColumn("reason", reason).drop("_known")
 
 
-def without_deleted(log: DataFrame, tombstones: DataFrame | None) -> DataFrame:
-    return log if tombstones is None else log.join(tombstones.select("run_id").distinct(), "run_id", "left_anti")
+def without_deleted(log: DataFrame, tombstones: DataFrame | None, ids: list[str] = ["run_id"]) -> DataFrame:  # noqa: B006
+    """The one reader of deletes: a log without what its tombstones cover."""
+    if tombstones is None:
+        return log
+    if "seq" not in tombstones.columns or "seq" not in log.columns:
+        return log.join(tombstones.select(*ids).distinct(), ids, "left_anti")
+    dead = tombstones.groupBy(*ids).agg(F.max("seq").alias("_dead"))
+    return log.join(dead, ids, "left").filter(F.col("_dead").isNull() | (F.col("seq") > F.col("_dead"))).drop("_dead").select(*log.columns)
+
+
+def unknown_runs(run_events: DataFrame, ids: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
+    """(run_id, reason) of the wanted runs that do not exist or were deleted."""
+    known = without_deleted(run_events, tombstones).select("run_id").distinct()
+    return ids.select("run_id").distinct().join(known, "run_id", "left_anti").withColumn("reason", F.lit("run not found"))
 
 
 def create_runs(ids: DataFrame, seq: Column | int = 0, ts: Column | None = None) -> DataFrame:
@@ -78,11 +90,12 @@ def run_state(run_events: DataFrame, tombstones: DataFrame | None = None) -> Dat
     """(run_id, status, started_at, ended_at, duration_seconds, updated_at), one row per run.
 
     Statuses are folded as small numbers: with only fixed-width buffers the aggregation
-    hashes and combines on the map side, however long one run's log is.
+    hashes and combines on the map side, however long one run's log is.  Events of other names say nothing about a run.
     """
-    code = F.when(F.col("event") == "start", 0).when(F.col("event") == "success", 1).otherwise(2)
+    code = F.when(F.col("event") == "start", 0).when(F.col("event") == "success", 1).when(F.col("event") == "failed", 2)
     ended = F.col("event") != "start"
-    folded = without_deleted(run_events, tombstones).groupBy("run_id").agg(
+    known = run_events.filter(F.col("event").isin("start", "success", "failed"))
+    folded = without_deleted(known, tombstones).groupBy("run_id").agg(
         F.max_by(code, "seq").alias("_code"),
         F.min(F.when(~ended, F.col("ts"))).alias("started_at"),
         F.max_by(F.when(ended, F.col("ts")), F.when(ended, F.col("seq"))).alias("ended_at"))
@@ -114,7 +127,7 @@ def latest_metrics(metrics: DataFrame) -> DataFrame:
 
 def list_runs(run_events: DataFrame, metrics: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
     """Runs with state and latest metrics map, most recently updated first."""
-    latest = latest_metrics(metrics).groupBy("run_id").agg(
+    latest = latest_metrics(without_deleted(metrics, tombstones)).groupBy("run_id").agg(
         F.max("step").alias("step"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("latest_metrics"))
     return (run_state(run_events, tombstones).join(latest, "run_id", "left")
@@ -129,7 +142,7 @@ def latest_run_ids(run_events: DataFrame, tombstones: DataFrame | None = None) -
 def _ranked_runs(run_events, metrics, direction, tombstones):
     if direction not in ("max", "min"):
         raise ValueError("direction must be one of: max, min")
-    usable = latest_metrics(metrics).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    usable = latest_metrics(without_deleted(metrics, tombstones)).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     order = [F.desc("value") if direction == "max" else F.asc("value"), F.desc_nulls_last("updated_at"), F.asc("run_id")]
     candidates = usable.join(run_state(run_events, tombstones), "run_id").select(
         F.col("key").alias("metric"), "run_id", "value", "status", "updated_at")
@@ -150,20 +163,25 @@ def best_runs(run_events: DataFrame, metrics: DataFrame, direction: str = "max",
     return newest(candidates, ["metric"], order, top)
 
 
-def run_snapshot_rows(run_events: DataFrame, params: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Flattened state (run_id, key, value) with dotted keys: params., latest_metrics., status."""
+def run_snapshot_rows(run_events: DataFrame, params: DataFrame, metrics: DataFrame,
+                      tombstones: DataFrame | None = None) -> DataFrame:
+    """Flattened state (run_id, key, value) with dotted keys: params., latest_metrics., status. One scan per log."""
+    run_events, params, metrics = (without_deleted(log, tombstones) for log in (run_events, params, metrics))
+
     def dotted(prefix, key):
         return F.concat(F.lit(prefix + "."), key).alias("key")
 
-    latest = latest_metrics(metrics)
-    values = latest.select("run_id", dotted("latest_metrics", F.col("key")), F.col("value").cast("string").alias("value"))
-    steps = latest.select("run_id", F.lit("latest_metrics.step").alias("key"),
-                          F.col("step").cast("string").alias("value")).distinct()
+    # The step is the entry's, so the row with the entry's smallest key carries it.
+    first = F.row_number().over(Window.partitionBy("run_id").orderBy("key")) == 1
+    values = latest_metrics(metrics).withColumn("_first", first).select("run_id", F.inline(F.filter(F.array(
+        F.struct(dotted("latest_metrics", F.col("key")), F.col("value").cast("string").alias("value")),
+        F.when(F.col("_first"), F.struct(F.lit("latest_metrics.step").alias("key"), F.col("step").cast("string").alias("value")))),
+        lambda x: x.isNotNull())))
     state = run_state(run_events).select("run_id", F.inline(F.array(*[
         F.struct(F.lit(f"status.{c}").alias("key"), F.col(c).cast("string").alias("value"))
         for c in ("status", "started_at", "ended_at", "duration_seconds")])))
     chosen = current_params(params).select("run_id", dotted("params", F.col("key")), "value")
-    return chosen.unionAll(values).unionAll(steps).unionAll(state).filter("value IS NOT NULL")
+    return chosen.unionAll(values).unionAll(state).filter("value IS NOT NULL")
 
 
 def compare_runs(snapshots: DataFrame, run_ids: list) -> DataFrame:
@@ -187,8 +205,11 @@ def compare_runs(snapshots: DataFrame, run_ids: list) -> DataFrame:
 
 
 def get_run(run_events: DataFrame, params: DataFrame, metrics: DataFrame, artifacts: DataFrame | None = None,
-            run_ids: list | None = None) -> DataFrame:
+            run_ids: list | None = None, tombstones: DataFrame | None = None) -> DataFrame:
     """Full state as rows (run_id, section, seq, key, value); a long history stays many rows."""
+    run_events, params, metrics = (without_deleted(log, tombstones) for log in (run_events, params, metrics))
+    artifacts = None if artifacts is None else without_deleted(artifacts, tombstones)
+
     def part(df: DataFrame, section: str, seq, key, value) -> DataFrame:
         df = df if run_ids is None else df.filter(F.col("run_id").isin(run_ids))
         return df.select("run_id", F.lit(section).alias("section"), seq.cast("bigint").alias("seq"),
@@ -198,8 +219,10 @@ def get_run(run_events: DataFrame, params: DataFrame, metrics: DataFrame, artifa
     none = F.lit(None)
     rows = part(current_params(params), "params", none, F.col("key"), F.col("value"))
     rows = rows.unionAll(part(metrics, "metrics", F.col("seq"), F.col("key"), F.col("value")))
-    for c in ("status", "started_at", "ended_at", "duration_seconds"):
-        rows = rows.unionAll(part(state.filter(F.col(c).isNotNull()), "status", none, F.lit(c), F.col(c)))
+    facts = state.select("run_id", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))
+        for c in ("status", "started_at", "ended_at", "duration_seconds")]))).filter("value IS NOT NULL")
+    rows = rows.unionAll(part(facts, "status", none, F.col("key"), F.col("value")))
     if artifacts is not None:
         rows = rows.unionAll(part(artifacts, "artifacts", F.col("seq"), F.col("path"), F.col("size")))
     return rows
@@ -211,23 +234,18 @@ def delete_runs(run_events: DataFrame, ids: DataFrame, dry_run: bool = False) ->
     return known.join(ids.select("run_id").distinct(), "run_id", "left_semi").withColumn("deleted", F.lit(not dry_run))
 
 
-def export_runs(run_events: DataFrame, params: DataFrame, metrics: DataFrame, max_keys: int = 2000) -> DataFrame:
+def export_runs(run_events: DataFrame, params: DataFrame, metrics: DataFrame, tombstones: DataFrame | None = None,
+                param_keys: list[str] | None = None, metric_keys: list[str] | None = None) -> DataFrame:
     """Wide table: one row per run, one column per parameter and per latest metric.
 
-    The key lists are looked up first and given to the pivot.  A table with more than
-    ``max_keys`` such columns is refused, not cut; :func:`run_snapshot_rows` has all of it.
+    Keys that are not given are looked up among the current parameters and latest metrics: one name per column, so the list
+    is as long as the table is wide.  :func:`run_snapshot_rows` is the long form.
     """
-    chosen, latest = current_params(params), latest_metrics(metrics)
-
-    def keys(df: DataFrame) -> list[str]:
-        found = [r["key"] for r in df.select("key").distinct().orderBy("key").limit(max_keys + 1).collect()]
-        if len(found) > max_keys:
-            raise ValueError(f"more than {max_keys} keys do not make a table; use run_snapshot_rows")
-        return found
-
+    run_events, params, metrics = (without_deleted(log, tombstones) for log in (run_events, params, metrics))
     wide = run_state(run_events).select("run_id", "status", "started_at", "duration_seconds")
-    for prefix, source, log in (("param_", chosen, params), ("metric_", latest, metrics)):
-        names = keys(log)
+    for prefix, source, names in (("param_", current_params(params), param_keys), ("metric_", latest_metrics(metrics), metric_keys)):
+        if names is None:
+            names = [r["key"] for r in source.select("key").distinct().orderBy("key").collect()]
         if names:
             table = source.groupBy("run_id").pivot("key", names).agg(F.first("value"))
             wide = wide.join(table.select("run_id", *[F.col(f"`{n}`").alias(prefix + n) for n in names]), "run_id", "left")

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import canonical, col, is_floating, row_digest, value_of
-from ..session import local_table, small_table
+from ..session import cut_lineage, local_table
 from .ranks import running_total
 
 PREFIX = 3             # hex digits per counting level: 4096 prefixes
@@ -58,7 +58,7 @@ def _border_digests(base: DataFrame, counts: DataFrame, wanted: DataFrame) -> Da
     """(stratum, border, digest, k, n): the digest at each wanted rank, and its place among equals."""
     keys = ["stratum", "border"]
     depth = PREFIX
-    found = small_table(_straddling(counts.join(wanted, "stratum"), keys, "prefix"))
+    found = cut_lineage(_straddling(counts.join(wanted, "stratum"), keys, "prefix"))
     while (found.agg(F.max("n")).first()[0] or 0) > FINE_ROWS and depth + PREFIX <= 30:
         deeper = (base.withColumn("prefix", F.substring("digest", 1, depth))
                   .join(found.select("stratum", "border", "prefix", "k"), ["stratum", "prefix"])
@@ -66,13 +66,13 @@ def _border_digests(base: DataFrame, counts: DataFrame, wanted: DataFrame) -> Da
                   .agg(F.count(F.lit(1)).alias("n")))
         depth += PREFIX
         before = found.agg(F.max("n")).first()[0]
-        found = small_table(_straddling(deeper, keys, "prefix"))
+        found = cut_lineage(_straddling(deeper, keys, "prefix"))
         if found.agg(F.max("n")).first()[0] == before:
             break      # one key holds the whole prefix; the count by digest below collapses it
     exact = (base.withColumn("prefix", F.substring("digest", 1, depth))
              .join(found.select("stratum", "border", "prefix", "k"), ["stratum", "prefix"])
              .groupBy("stratum", "border", "k", "digest").agg(F.count(F.lit(1)).alias("n")))
-    return small_table(_straddling(exact, keys, "digest"))
+    return cut_lineage(_straddling(exact, keys, "digest"))
 
 
 def _share_out(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -127,16 +127,16 @@ def split(df: DataFrame, key: list[str] | None = None, train_ratio: float = 0.7,
               .withColumn("_stratum", stratum))
     base = marked.select(F.col("_stratum").alias("stratum"), F.col("_digest").alias("digest"))
 
-    counts = small_table(base.groupBy("stratum", F.substring("digest", 1, PREFIX).alias("prefix"))
+    counts = cut_lineage(base.groupBy("stratum", F.substring("digest", 1, PREFIX).alias("prefix"))
                          .agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     n_train, n_val, n_test = split_sizes(total, train_ratio, val_ratio, test_ratio)
     if stratify_column is None:
         shares = local_table(df.sparkSession, [("all", n_train, n_val)] if total else [], "stratum string, train bigint, val bigint")
     else:
-        strata = small_table(counts.groupBy("stratum").agg(F.sum("n").alias("rows")))
+        strata = cut_lineage(counts.groupBy("stratum").agg(F.sum("n").alias("rows")))
         shares = quotas(strata, "rows", n_train, total, "train").withColumn("rest", F.col("rows") - F.col("train"))
-        shares = small_table(quotas(shares, "rest", n_test, n_val + n_test, "test")
+        shares = cut_lineage(quotas(shares, "rest", n_test, n_val + n_test, "test")
                              .withColumn("val", F.col("rest") - F.col("test")))
     wanted = shares.select("stratum", F.inline(F.array(
         F.struct(F.lit("train").alias("border"), F.col("train").alias("k")),
@@ -144,7 +144,7 @@ def split(df: DataFrame, key: list[str] | None = None, train_ratio: float = 0.7,
     borders = _border_digests(base, counts, wanted)
 
     # One row per stratum: both border digests, how many equals each has, how many stay below.
-    cuts = small_table(shares.select("stratum").join(
+    cuts = cut_lineage(shares.select("stratum").join(
         borders.groupBy("stratum").pivot("border", ["train", "val"]).agg(
             F.first("digest").alias("digest"), F.first("k").alias("k"), F.first("n").alias("n")),
         "stratum", "left"))

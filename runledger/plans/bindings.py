@@ -128,7 +128,7 @@ VIEWS["vstate"] = """
 VIEWS["vcurrent_params"] = """
   SELECT run_id, key, arg_max(value, seq) AS value FROM vparams GROUP BY run_id, key"""
 VIEWS["vlatest"] = """
-  SELECT * FROM vmetrics m WHERE seq = (SELECT max(seq) FROM vmetrics x WHERE x.run_id = m.run_id)"""
+  SELECT * FROM vmetrics QUALIFY seq = max(seq) OVER (PARTITION BY run_id)"""
 
 
 # --- model registry: every part is a registered version of its brand

@@ -1,12 +1,8 @@
 """Queries over the file catalog and over texts."""
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import cards, catalog, diffs, mining, retention
+from ..operators import cards, catalog, diffs, mining, registry, retention
 from ..sources import filetree, tables, texts
 from ..session import scratch_path
 from . import bindings as b
@@ -108,16 +104,29 @@ def discover_models(spark, d):
     return catalog.discover_models(empty, b.files(spark, d).drop("content"))
 
 
+@query(sql(["vversions", "vcurrent_stage"], """SELECT 'registry' AS source, l.name AS model, s.stage AS detail
+FROM (SELECT name, max(version) AS top FROM vversions GROUP BY name) l JOIN vcurrent_stage s ON s.name = l.name AND s.version = l.top"""))
+def discover_registered_models(spark, d):
+    models = registry.list_models(b.versions(spark, d), b.stage_events(spark, d))
+    return catalog.discover_models(models, b.files(spark, d).drop("content"))
+
+
 # --- content search
 
 _SEARCH = "SELECT path, line, text, count(*) OVER () >= {limit} AS truncated FROM (SELECT * FROM vlines WHERE {test} ORDER BY path, line LIMIT {limit})"
 
 
-@query(sql(["vlines"], _SEARCH.format(test="contains(lower(text), 'license')", limit=200)))
+@query(sql(["vlines"], "SELECT path, line, text, FALSE AS truncated FROM vlines WHERE contains(lower(text), 'license')"))
 def search_content(spark, d):
     return catalog.search_content(b.files(spark, d), "LICENSE")
 
 
+@query(sql(["vlines"], "SELECT path, line, text, FALSE AS truncated FROM vlines WHERE contains(text, 'the')"))
+def search_content_all(spark, d):
+    """Far more matches than any report would show."""
+    return catalog.search_content(b.files(spark, d), "the", case_sensitive=True)
+
+
 @query(sql(["vlines"], _SEARCH.format(test="regexp_matches(text, '[a-z]+[.][0-9]+@mail[0-9]', 'i') AND NOT ends_with(path, '.md')", limit=5)))
 def search_content_regex(spark, d):
     return catalog.search_content(b.files(spark, d), "[A-Z]+[.][0-9]+@MAIL[0-9]", file_pattern="*[!d]", is_regex=True, max_matches=5)
@@ -134,6 +143,12 @@ def operation_history(spark, d):
     return catalog.operation_history(audit, 50)
 
 
+@query("SELECT event_id AS seq, ts, event_type AS operation FROM events")
+def operation_history_all(spark, d):
+    audit = table(spark, d, "events").selectExpr("event_id AS seq", "ts", "event_type AS operation")
+    return catalog.operation_history(audit, None)
+
+
 # --- roll-ups and duplicates
 
 _SUMMARY = """SELECT CASE WHEN grouping(x) = 1 THEN NULL ELSE x END AS extension, CAST(count(*) FILTER (NOT is_dir) AS BIGINT) AS file_count,
@@ -148,16 +163,21 @@ def directory_summary(spark, d):
 
 
 _GROUPS = """SELECT md5(content) AS md5, count(*) AS n, max(size) AS size, min(path) AS first_path FROM vfiles
-  WHERE size BETWEEN 1024 AND 104857600 GROUP BY md5(content) HAVING count(*) > 1"""
+  GROUP BY md5(content) HAVING count(*) > 1"""
 
 
-@query(sql(["vfiles"], _GROUPS))
+@query(sql(["vfiles"], _GROUPS.replace("GROUP BY", "WHERE size BETWEEN 1024 AND 104857600 GROUP BY")))
 def duplicate_groups(spark, d):
+    """Within the bounds a caller gives."""
+    return catalog.duplicate_groups(b.files(spark, d), 1024, 104857600)
+
+
+@query(sql(["vfiles"], _GROUPS))
+def duplicate_groups_all_sizes(spark, d):
     return catalog.duplicate_groups(b.files(spark, d))
 
 
-@query(sql(["vfiles"], """SELECT path, size FROM vfiles WHERE size BETWEEN 1024 AND 104857600
-  AND size IN (SELECT size FROM vfiles GROUP BY size HAVING count(*) > 1)"""))
+@query(sql(["vfiles"], "SELECT path, size FROM vfiles WHERE size IN (SELECT size FROM vfiles GROUP BY size HAVING count(*) > 1)"))
 def same_size_files(spark, d):
     return catalog.same_size_files(b.files(spark, d)).select("path", "size")
 
@@ -169,8 +189,7 @@ def duplicate_groups_presized(spark, d):
     return catalog.duplicate_groups(digests.join(catalog.same_size_files(files).select("path"), "path", "left_semi"))
 
 
-@query(sql(["vfiles"], f"""SELECT md5(content) AS md5, path FROM vfiles WHERE size BETWEEN 1024 AND 104857600
-  AND md5(content) IN (SELECT md5 FROM ({_GROUPS}))"""))
+@query(sql(["vfiles"], f"SELECT md5(content) AS md5, path FROM vfiles WHERE md5(content) IN (SELECT md5 FROM ({_GROUPS}))"))
 def duplicate_members(spark, d):
     return catalog.duplicate_members(b.files(spark, d))
 
@@ -207,13 +226,6 @@ def tree_diff(spark, d):
                            docs.selectExpr("concat('doc_', doc_id + 1) AS path", "text AS content"))
 
 
-@query()
-def text_diff(spark, d):
-    """Ordered diff of neighbouring documents; its line matching has no SQL form."""
-    return diffs.text_diff(b.pairs(spark, d)).select(
-        "key", "identical", "added", "removed", F.size("diff_lines").alias("diff_line_count"))
-
-
 @query(sql(["vpairs"], f"""SELECT key, CAST(sum(greatest(net, 0)) AS BIGINT) AS added, CAST(sum(greatest(-net, 0)) AS BIGINT) AS removed FROM (
   SELECT key, text, sum(d) AS net FROM (
     SELECT key, unnest(CASE WHEN p[len(p)] = '' THEN p[:len(p) - 1] ELSE p END) AS text, d
@@ -293,25 +305,6 @@ def api_index(spark, d):
     return mining.api_index(b.sources(spark, d)).withColumn("args", F.concat_ws(",", "args"))
 
 
-def _zipped(batches):
-    for batch in batches:
-        rows = []
-        for key, name, text in zip(batch["doc_id"], batch["lang"], batch["text"]):
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w") as handle:
-                handle.writestr(f"{name}/doc_{key}.txt", text)
-                handle.writestr("../escape.txt" if key % 10 == 0 else "notes/readme.md", name)
-            rows.append((f"doc_{key}.zip", buffer.getvalue()))
-        yield pd.DataFrame(rows, columns=["path", "content"])
-
-
-@query("""SELECT 'doc_' || doc_id || '.zip' AS archive, 'zip' AS archive_type, 0 AS position, lang || '/doc_' || doc_id || '.txt' AS entry, FALSE AS unsafe FROM documents
-UNION ALL SELECT 'doc_' || doc_id || '.zip', 'zip', 1, CASE WHEN doc_id % 10 = 0 THEN '../escape.txt' ELSE 'notes/readme.md' END, doc_id % 10 = 0 FROM documents""")
-def archive_entries(spark, d):
-    archives = table(spark, d, "documents").select("doc_id", "lang", "text").mapInPandas(_zipped, "path string, content binary")
-    return mining.archive_entries(archives).drop("error")
-
-
 # --- retention
 
 _JUNK = """vjunk AS (SELECT DISTINCT path, is_dir FROM (
@@ -442,6 +435,16 @@ def read_jsonl(spark, d):
     return _round_trip(spark, d, "part", ".jsonl").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
 
 
+@query("SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
+def read_json(spark, d):
+    """Files that each hold one array of objects, as .json datasets do."""
+    path = scratch_path(spark, "table") + ".json"
+    part = table(spark, d, "part")
+    arrays = part.groupBy(F.floor(F.col("p_partkey") / 500).alias("file")).agg(F.to_json(F.collect_list(F.struct(*part.columns))).alias("value"))
+    arrays.repartition(F.col("file")).select("file", "value").write.partitionBy("file").text(path)
+    return tables.read_table(spark, path).select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def read_parquet(spark, d):
     return _round_trip(spark, d, "orders", ".parquet")

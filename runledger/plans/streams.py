@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..streaming import logs
-from .bindings import table
+from .bindings import sql, table
 from .quality import _ks_sql
 from .registry import query
 
@@ -27,11 +27,11 @@ def _metrics(spark, d):
     return _events(spark, d).selectExpr("user_id AS run_id", "event_id AS seq", "event_id AS step", "ts", "event_type AS key", "value")
 
 
-@query("""SELECT user_id AS run_id, event_type AS key, max(event_id) AS seq, max(event_id) AS step, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type""")
+@query(sql(["vlatest"], "SELECT run_id, seq, step, ts, key, value FROM vlatest"))
 def stream_latest_metrics(spark, d):
-    changed = _drain(spark, logs.stream_latest_metrics(_metrics(spark, d)), "update")
-    return changed.groupBy("run_id", "key").agg(F.max("seq").alias("seq"), F.max_by("step", "batch_id").alias("step"),
-                                                F.max_by("value", "batch_id").alias("value"))
+    entries = _metrics(spark, d).select("run_id", "seq", "step", "ts", F.create_map("key", "value").alias("metrics"))
+    changed = _drain(spark, logs.stream_latest_metrics(entries), "update")
+    return logs.latest_rows(changed).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("""SELECT date_trunc('day', ts) AS start, event_type AS key, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events

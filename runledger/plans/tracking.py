@@ -122,19 +122,19 @@ def log_params(spark, d):
 
 
 @query(sql(["vstate", "vmetrics"], f"""{_KNOWN} SELECT run_id, seq, CASE WHEN key = 'error' THEN 'step' ELSE key END AS key,
-CASE WHEN run_id NOT IN (SELECT run_id FROM known) THEN 'run not found' WHEN key = 'error' THEN 'reserved metric name' END AS reason FROM vmetrics"""))
+step, ts, value, CASE WHEN run_id NOT IN (SELECT run_id FROM known) THEN 'run not found' WHEN key = 'error' THEN 'reserved metric name' END AS reason FROM vmetrics"""))
 def log_metrics(spark, d):
     batch = b.metrics(spark, d).withColumn("key", F.when(F.col("key") == "error", "step").otherwise(F.col("key")))
-    return runs.log_metrics(batch, _known(spark, d)).select("run_id", "seq", "key", "reason")
+    return runs.log_metrics(batch, _known(spark, d))
 
 
-@query(sql(["vstate", "vfiles"], f"""{_KNOWN} SELECT user_id AS run_id, event_id AS seq, 'doc_' || event_id AS source, 'artifacts/doc_' || event_id AS path, size,
+@query(sql(["vstate", "vfiles"], f"""{_KNOWN} SELECT user_id AS run_id, event_id AS seq, 'doc_' || event_id AS source, 'artifacts/doc_' || event_id AS path, size, ts AS logged_at,
 CASE WHEN user_id NOT IN (SELECT run_id FROM known) THEN 'run not found' WHEN size IS NULL THEN 'artifact file not found' END AS reason
 FROM events LEFT JOIN vfiles ON doc_id = event_id"""))
 def log_artifacts(spark, d):
     batch = table(spark, d, "events").selectExpr("user_id AS run_id", "event_id AS seq", "concat('doc_', event_id) AS source", "ts AS logged_at")
     files = b.files(spark, d).selectExpr("concat('doc_', doc_id) AS path", "size", "is_dir")
-    return runs.log_artifacts(batch, _known(spark, d), files).drop("logged_at")
+    return runs.log_artifacts(batch, _known(spark, d), files)
 
 
 @query(sql(["vstate"], f"""{_KNOWN} SELECT user_id AS run_id, event_id AS seq, event_type AS event, ts,
@@ -172,6 +172,40 @@ def export_runs(spark, d):
     return runs.export_runs(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d))
 
 
+def _deleted(spark, d):
+    return table(spark, d, "events").selectExpr("user_id * 3 AS run_id")
+
+
+@query(sql(["vstate", "vmetrics", "vcurrent_params", "vartifacts"], f""", every AS (
+SELECT run_id, 'params' AS section, CAST(NULL AS BIGINT) AS seq, key, value FROM vcurrent_params
+UNION ALL SELECT run_id, 'metrics', seq, key, CAST(value AS VARCHAR) FROM vmetrics
+UNION ALL SELECT run_id, 'artifacts', seq, path, CAST(size AS VARCHAR) FROM vartifacts
+UNION ALL SELECT run_id, 'status', NULL, 'status', status FROM vstate
+UNION ALL SELECT run_id, 'status', NULL, 'started_at', {_STAMP.format('started_at')} FROM vstate WHERE started_at IS NOT NULL
+UNION ALL SELECT run_id, 'status', NULL, 'ended_at', {_STAMP.format('ended_at')} FROM vstate WHERE ended_at IS NOT NULL
+UNION ALL SELECT run_id, 'status', NULL, 'duration_seconds', CAST(duration_seconds AS VARCHAR) FROM vstate WHERE duration_seconds IS NOT NULL)
+SELECT * FROM every WHERE run_id NOT IN (SELECT user_id * 3 FROM events)"""))
+def get_run_without_deleted(spark, d):
+    return runs.get_run(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d), b.artifacts(spark, d), tombstones=_deleted(spark, d))
+
+
+@query(sql(["vstate", "vlatest", "vcurrent_params"], "SELECT s.run_id, s.status, s.started_at, s.duration_seconds, " + ", ".join(
+    [f"p.\"param_{k}\"" for k in _EXPORT_PARAMS] + [f"m.\"metric_{k}\"" for k in _EXPORT_METRICS]) + " FROM vstate s LEFT JOIN (SELECT run_id, "
+    + ", ".join(f"max(value) FILTER (key = '{k}') AS \"param_{k}\"" for k in _EXPORT_PARAMS) + " FROM vcurrent_params GROUP BY run_id) p ON p.run_id = s.run_id LEFT JOIN (SELECT run_id, "
+    + ", ".join(f"max(value) FILTER (key = '{k}') AS \"metric_{k}\"" for k in _EXPORT_METRICS) + " FROM vlatest GROUP BY run_id) m ON m.run_id = s.run_id"
+    + " WHERE s.run_id NOT IN (SELECT user_id * 3 FROM events)"))
+def export_runs_without_deleted(spark, d):
+    return runs.export_runs(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d), _deleted(spark, d), _EXPORT_PARAMS, _EXPORT_METRICS)
+
+
+@query(sql(["vstate"], """SELECT DISTINCT user_id * 2 AS run_id, 'run not found' AS reason FROM events
+WHERE user_id * 2 NOT IN (SELECT run_id FROM vstate) OR user_id * 2 IN (SELECT user_id * 3 FROM events)"""))
+def unknown_runs(spark, d):
+    """Wanted runs that never were or are deleted."""
+    wanted = table(spark, d, "events").selectExpr("user_id * 2 AS run_id")
+    return runs.unknown_runs(b.run_events(spark, d), wanted, _deleted(spark, d))
+
+
 @query(sql(["vstate"], "SELECT run_id, status FROM vstate"))
 def export_csv(spark, d):
     from ..session import scratch_path
@@ -288,6 +322,32 @@ def delete_model_versions(spark, d):
     return registry.delete_model_versions(versions, ids)
 
 
+# Every sixth version is deleted after all events so far; every second of those is registered and staged again later.
+_AGAIN = """, gone AS (SELECT name, version, 3 * version + 100 AS dead FROM vversions WHERE version % 6 = 0),
+again AS (SELECT name, version, 3 * version + 200 AS seq FROM vversions WHERE version % 12 = 0),
+alive AS (SELECT v.name, v.version FROM vversions v WHERE version % 6 <> 0 UNION ALL SELECT name, version FROM again),
+stage AS (SELECT name, version, stage FROM vcurrent_stage WHERE version % 6 <> 0 UNION ALL SELECT name, version, 'staging' FROM again),
+tags AS (SELECT name, version, count(*) AS n FROM vcurrent_tags WHERE version % 6 <> 0 GROUP BY name, version)
+SELECT a.name, a.version, s.stage, coalesce(t.n, 0) AS tag_count FROM alive a JOIN stage s ON s.name = a.name AND s.version = a.version
+LEFT JOIN tags t ON t.name = a.name AND t.version = a.version"""
+
+
+@query(sql(["vversions", "vcurrent_stage", "vcurrent_tags"], _AGAIN))
+def reregistered_models(spark, d):
+    """Delete, then register the number again: it is visible, without the stage and tags of the deleted one."""
+    versions = b.versions(spark, d)
+    ids = versions.filter("version % 6 = 0").select("name", "version")
+    gone = registry.delete_model_versions(versions, ids, F.col("version") * 3 + 100).filter("error IS NULL")
+    again = versions.filter("version % 12 = 0").withColumn("seq", F.col("version") * 3 + 200)
+    events = b.stage_events(spark, d)
+    events = events.unionByName(again.select("name", "version", "seq", F.lit("staging").alias("stage"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+                                             F.lit(None).cast("string").alias("reason")))
+    alive = registry.live(versions.unionByName(again), gone).select("name", "version")
+    tags = registry.current_tags(b.tag_log(spark, d), gone).groupBy("name", "version").agg(F.count(F.lit(1)).alias("tag_count"))
+    return (alive.join(registry.current_stage(events, gone), ["name", "version"]).join(tags, ["name", "version"], "left")
+            .select("name", "version", "stage", F.coalesce("tag_count", F.lit(0)).alias("tag_count")))
+
+
 @query(sql(["vversions", "vcurrent_stage"], """SELECT l.name, l.n AS version_count, l.top AS latest_version, s.stage AS current_stage
 FROM (SELECT name, count(*) AS n, max(version) AS top FROM vversions WHERE version % 6 <> 0 GROUP BY name) l
 JOIN vcurrent_stage s ON s.name = l.name AND s.version = l.top"""))

@@ -84,14 +84,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def small_table(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Turn a result that should be small into a local relation, after checking that it is.
-
-    A local relation carries its true size, so Catalyst broadcasts it without being told.
-    Anything beyond ``max_rows`` stays distributed: it is stored instead and joined
-    by shuffle.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    return cut_lineage(df) if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows, df.schema)

@@ -23,10 +23,19 @@ def event_time(stream: DataFrame, column: str = "ts") -> DataFrame:
     return stream.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def stream_latest_metrics(metrics: DataFrame) -> DataFrame:
-    """Last value per (run, key) as the log grows; run it in update mode."""
-    return metrics.groupBy("run_id", "key").agg(
-        F.max("seq").alias("seq"), F.max_by("step", "seq").alias("step"), F.max_by("value", "seq").alias("value"))
+def stream_latest_metrics(entries: DataFrame) -> DataFrame:
+    """The metrics of each run's last entry as the log grows, as the batch form gives them; run it in update mode.
+
+    ``entries`` has one row per entry: (run_id, seq, step, ts, metrics MAP).  State is one entry per run, however many keys
+    older entries had.
+    """
+    return entries.groupBy("run_id").agg(F.max("seq").alias("seq"), *[F.max_by(c, "seq").alias(c) for c in ("step", "ts", "metrics")])
+
+
+def latest_rows(changes: DataFrame) -> DataFrame:
+    """(run_id, seq, step, ts, key, value) from the drained changes of :func:`stream_latest_metrics`."""
+    last = changes.groupBy("run_id").agg(F.max("seq").alias("seq"), *[F.max_by(c, "seq").alias(c) for c in ("step", "ts", "metrics")])
+    return last.select("run_id", "seq", "step", "ts", F.explode("metrics").alias("key", "value"))
 
 
 def stream_metric_windows(metrics: DataFrame, length: str = "1 day", slide: str | None = None,

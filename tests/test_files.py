@@ -49,13 +49,12 @@ def test_missing_root(spark, tmp_path):
 
 def test_contents_and_duplicates(spark, tree):
     listed = filetree.file_catalog(spark, f"file://{tree}", 4)
-    candidates = catalog.same_size_files(listed)
+    candidates = catalog.same_size_files(listed, 1024)
     assert values(candidates, "path") == [("models/m.pt",), ("models/m2.pt",), ("models/other.pt",)]
     loaded = filetree.file_contents(candidates, str(tree))
     group = catalog.duplicate_groups(loaded).collect()
     assert [(r["n"], r["size"], r["first_path"]) for r in group] == [(2, 2000, "models/m.pt")]
-    for hot_rows in (1, 100):
-        assert values(catalog.duplicate_members(loaded, hot_rows=hot_rows), "path") == [("models/m.pt",), ("models/m2.pt",)]
+    assert values(catalog.duplicate_members(loaded), "path") == [("models/m.pt",), ("models/m2.pt",)]
     readable = filetree.text_contents(filetree.file_contents(listed, str(tree)))
     assert "bad.txt" not in {r["path"] for r in readable.collect()}
 
@@ -116,7 +115,8 @@ def test_search_content(make):
 def test_history(make):
     audit = make([(i, f"op{i}") for i in range(1200)], "seq bigint, operation string")
     assert [r["seq"] for r in catalog.operation_history(audit, 3).collect()] == [1197, 1198, 1199]
-    assert catalog.operation_history(audit, 5000).count() == 1000 and catalog.operation_history(audit, 0).isEmpty()
+    assert catalog.operation_history(audit, 5000).count() == 1200 and catalog.operation_history(audit, 0).isEmpty()
+    assert catalog.operation_history(audit, None).count() == 1200
     with pytest.raises(ValueError):
         catalog.operation_history(audit, -1)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from runledger.operators import catalog, drift, quality, retention, runs, splits
 from runledger.plans import bindings as b
-from runledger.session import small_table
+from runledger.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -68,13 +68,16 @@ def test_schema_check_reads_no_data(spark):
     assert "parquet" not in text.lower()
 
 
-def test_small_tables_are_checked(spark):
-    df = spark.range(30).repartition(3)
-    assert "LocalTableScan" in plan_of(small_table(df, 30))
-    big = small_table(df, 29)
-    assert "LocalTableScan" not in plan_of(big) and big.count() == 30
+def test_report_reads_the_catalog_once(spark):
+    entries = b.files(spark, FOLDER).select("path", "name", "ext", "is_dir", "size", "mtime", "content")
+    assert "documents.parquet" not in plan_of(catalog.storage_report(entries))
+
+
+def test_comparisons_read_each_log_once(spark):
+    facts = runs.run_snapshot_rows(b.run_events(spark, FOLDER), b.params(spark, FOLDER), b.metrics(spark, FOLDER))
+    assert plan_of(facts).count("FileScan") <= 3
 
 
 def test_entry_names():
-    for name in entry.queries():
-        assert "pipeline" not in name and not name.startswith("op") or name == "operation_history"
+    for name in QUERIES:
+        assert "pipeline" not in name and not name.startswith("op") or name.startswith("operation_history")

@@ -153,3 +153,8 @@ def test_freshness_boundary(make):
     assert got == {"at": (86400.0, False), "late": (86401.0, True), "ahead": (0.0, False)}
     with pytest.raises(ValueError):
         quality.freshness(df, ["k"], "t", "2024-01-02", -1)
+
+
+def test_missing_and_the_text_null_are_two_categories(make):
+    a, b = make([(None,)] * 4, "c string"), make([("<null>",)] * 4, "c string")
+    assert drift.drift_report(a, b).first()["frequency_distance"] == 2.0

@@ -17,10 +17,9 @@ def skewed(make):
     return make(rows, "key string, pos bigint, weight bigint")
 
 
-@pytest.mark.parametrize("hot_rows", [20, 10_000])
 @pytest.mark.parametrize("how", ["sum", "max"])
-def test_running_total_is_the_same_for_hot_groups(skewed, hot_rows, how):
-    got = running_total(skewed, ["key"], [F.col("pos")], F.col("weight"), "total", hot_rows, how)
+def test_running_total_is_the_same_for_hot_groups(skewed, how):
+    got = running_total(skewed, ["key"], [F.col("pos")], F.col("weight"), "total", how)
     state, expected = {}, []
     for key, pos, weight in sorted(values(skewed), key=lambda r: r[1]):
         state[key] = weight if key not in state else (state[key] + weight if how == "sum" else max(state[key], weight))
@@ -30,13 +29,12 @@ def test_running_total_is_the_same_for_hot_groups(skewed, hot_rows, how):
 
 def test_running_total_keeps_null_groups(make):
     df = make([(None, i) for i in range(50)] + [("a", i) for i in range(50)], "key string, pos int")
-    got = running_total(df, ["key"], [F.col("pos")], hot_rows=5)
+    got = running_total(df, ["key"], [F.col("pos")])
     assert values(got) == sorted([(k, i, i + 1) for k in (None, "a") for i in range(50)], key=repr)
 
 
-@pytest.mark.parametrize("hot_rows", [20, 10_000])
-def test_previous_in_group(skewed, hot_rows):
-    got = previous_in_group(skewed, ["key"], "pos", "weight", "before", hot_rows)
+def test_previous_in_group(skewed):
+    got = previous_in_group(skewed, ["key"], "pos", "weight", "before")
     last, expected = {}, []
     for key, pos, weight in sorted(values(skewed), key=lambda r: r[1]):
         expected.append((key, pos, last.get(key)))

@@ -66,8 +66,13 @@ def test_compare_export_and_state_rows(logs):
     wide = {r["run_id"]: r.asDict() for r in runs.export_runs(*logs).collect()}
     assert wide["a"]["param_lr"] == "0.1" and wide["a"]["metric_acc"] == 0.8 and wide["b"]["metric_val_loss"] is None
     assert set(wide) == {"a", "b", "c", "d"}
-    with pytest.raises(ValueError, match="more than 1 keys"):
-        runs.export_runs(*logs, max_keys=1)
+    chosen = runs.export_runs(*logs, param_keys=["lr"], metric_keys=[])
+    assert chosen.columns == ["run_id", "status", "started_at", "duration_seconds", "param_lr"]
+    gone = logs[0].sparkSession.createDataFrame([("a",)], "run_id string")
+    assert {r["run_id"] for r in runs.export_runs(*logs, tombstones=gone).collect()} == {"b", "c", "d"}
+    assert runs.run_snapshot_rows(*logs, gone).filter("run_id = 'a'").isEmpty() and runs.get_run(*logs, tombstones=gone).filter("run_id = 'a'").isEmpty()
+    asked = logs[0].sparkSession.createDataFrame([("a",), ("b",), ("zz",)], "run_id string")
+    assert values(runs.unknown_runs(logs[0], asked, gone)) == [("a", "run not found"), ("zz", "run not found")]
     state = runs.get_run(*logs, run_ids=["a"])
     assert values(state.filter("section = 'metrics'"), "seq", "key", "value") == [(0, "val_loss", "0.42"), (1, "acc", "0.8"), (1, "val_loss", "0.3")]
 
@@ -152,14 +157,14 @@ def register_by_hand(batch, existing, files):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot_rows", [7, 1_000_000])
-def test_registration_equals_one_by_one(make, hot_rows):
-    rng = random.Random(hot_rows)
+@pytest.mark.parametrize("seed", [7, 1_000_000])
+def test_registration_equals_one_by_one(make, seed):
+    rng = random.Random(seed)
     batch = [("hot" if i % 3 == 0 else rng.choice("xyz"), i, rng.choice(["m.pt", "gone"]) if i % 5 == 0 else "m.pt", "r",
               rng.randint(1, 25) if rng.random() < 0.3 else None, "dev", at(i)) for i in range(90)]
     existing = [("hot", 1), ("hot", 5), ("x", 3)]
     got = registry.register_models(make(batch, BATCH), make(existing, "name string, version bigint"),
-                                   make([("m.pt", 16, False), ("gone", 0, True)], "path string, size bigint, is_dir boolean"), hot_rows)
+                                   make([("m.pt", 16, False), ("gone", 0, True)], "path string, size bigint, is_dir boolean"))
     assert values(got, "name", "version", "seq", "reason") == register_by_hand(batch, existing, {"m.pt"})
     first = got.filter("reason IS NULL").first()
     assert (first["framework"], first["size"]) == ("pytorch", 16)
@@ -210,3 +215,22 @@ def test_existing_registry_loads(spark, tmp_path):
     assert values(registry.stage_history(logs["stage_events"]), "version", "stage", "from_stage") == [
         (1, "deprecated", "dev"), (1, "dev", None), (2, "dev", None)]
     assert values(registry.current_tags(logs["tag_log"])) == [("net", 1, "k", "v")]
+
+
+def test_old_only_metrics_make_no_column_and_odd_events_no_status(make):
+    events = make([("a", 0, "start", at(0)), ("a", 1, "paused", at(1))], "run_id string, seq bigint, event string, ts timestamp")
+    params = make([("a", 0, "lr", "1")], "run_id string, seq bigint, key string, value string")
+    metrics = make([("a", 0, 0, at(0), "old", 1.0), ("a", 1, 1, at(1), "new", 2.0)], "run_id string, seq bigint, step bigint, ts timestamp, key string, value double")
+    wide = runs.export_runs(events, params, metrics)
+    assert "metric_new" in wide.columns and "metric_old" not in wide.columns
+    assert wide.first()["status"] == "running"
+
+
+def test_a_version_number_can_be_used_again(make):
+    log = make([("m", 2, 5), ("m", 2, 20), ("m", 3, 6)], "name string, version bigint, seq bigint")
+    gone = registry.delete_model_versions(log, make([("m", 2), ("m", 3)], "name string, version bigint"), 10)
+    assert values(registry.live(log, gone), "version", "seq") == [(2, 20)]
+    stages = log.selectExpr("*", "concat('s', seq) AS stage", "CAST(NULL AS STRING) AS reason")
+    assert values(registry.current_stage(stages, gone), "version", "stage") == [(2, "s20")]
+    forever = gone.select("name", "version")
+    assert registry.live(log, forever).isEmpty()

@@ -32,10 +32,10 @@ def stream(spark, path):
 
 def test_latest_metrics(spark, log, tmp_path):
     path, batch = log
-    out = logs.run_to_table(logs.stream_latest_metrics(stream(spark, path)), str(tmp_path / "o"), str(tmp_path / "c"), "update")
-    newest = out.groupBy("run_id", "key").agg(F.max("seq").alias("seq"), F.max_by("value", "batch_id").alias("value"))
-    want = batch.groupBy("run_id", "key").agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"))
-    assert values(newest) == values(want)
+    entries = stream(spark, path).select("run_id", "seq", "step", "ts", F.create_map("key", "value").alias("metrics"))
+    out = logs.run_to_table(logs.stream_latest_metrics(entries), str(tmp_path / "o"), str(tmp_path / "c"), "update")
+    columns = ["run_id", "seq", "step", "ts", "key", "value"]
+    assert values(logs.latest_rows(out), *columns) == values(runs.latest_metrics(batch), *columns)
     assert values(runs.latest_metrics(batch), "run_id", "seq") == [("hot", 57), ("late", 60), ("r1", 59)]
 
 
