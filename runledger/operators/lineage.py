@@ -21,24 +21,37 @@ def edges(records: DataFrame) -> DataFrame:
     return records.select("seq", "output", F.explode("inputs").alias("input"), "run_id", "ts")
 
 
-def ancestors(records: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes (node) that any root reaches, the roots included: a walk of distinct nodes, level by level."""
+    seen = frontier = cut_lineage(roots.select(F.col("root").alias("node")).distinct())
+    while not frontier.isEmpty():
+        ahead = frontier.join(links, frontier["node"] == links["output"]).select(F.col("input").alias("node")).distinct()
+        frontier = cut_lineage(ahead.join(seen, "node", "left_anti"))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def ancestors(records: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node): everything each root was made from, the root itself included.
 
-    Many roots advance together, one join per level.  Nodes already seen are dropped, so
-    cycles end and diamonds are visited once.  Each level is stored in the shared
-    folder: plans stay short and a lost executor costs one level, not the whole walk.
+    What many roots share is walked once: the closure is computed for the nodes that are inputs of others, by doubling the
+    length of the known paths (a chain of n steps takes log n rounds, a cycle ends as soon as nothing is new), and fanned out
+    to the roots by one join over their direct inputs.  Rounds are stored in the shared folder, so a lost executor costs one.
     """
     links = cut_lineage(records.select("output", F.explode("inputs").alias("input")).distinct())
-    frontier = cut_lineage(roots.select("root", F.col("root").alias("node")).distinct())
-    visited = frontier
-    for _ in range(max_rounds):
-        reached = (frontier.join(links, frontier["node"] == links["output"])
-                   .select("root", F.col("input").alias("node")).distinct())
-        frontier = cut_lineage(reached.join(visited, ["root", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return visited
-        visited = visited.unionByName(frontier)
-    raise RuntimeError(f"lineage deeper than {max_rounds} levels")
+    near = links.join(_reachable(links, roots), F.col("output") == F.col("node"), "left_semi")
+    inner = near.join(near.select(F.col("input").alias("output")).distinct(), "output", "left_semi")
+    paths = cut_lineage(inner.select(F.col("output").alias("node"), F.col("input").alias("ancestor")))
+    known, before = paths.count(), -1
+    while known != before:
+        longer = paths.select(F.col("node").alias("_from"), F.col("ancestor").alias("_over"))
+        longer = longer.join(paths, F.col("_over") == F.col("node")).select(F.col("_from").alias("node"), "ancestor")
+        paths = cut_lineage(paths.union(longer).distinct())
+        known, before = paths.count(), known
+    asked = roots.select("root").distinct()
+    direct = asked.join(links, asked["root"] == links["output"]).select("root", F.col("input").alias("node"))
+    beyond = direct.join(paths, "node").select("root", F.col("ancestor").alias("node"))
+    return asked.select("root", F.col("root").alias("node")).union(direct).union(beyond).distinct()
 
 
 def provenance(records: DataFrame, roots: DataFrame) -> DataFrame:

@@ -36,10 +36,13 @@ def test_provenance_on_random_graphs(make, seed):
     assert values(lineage.provenance(df, starts), "root", "seq") == sorted(expected, key=repr)
 
 
-def test_too_deep_is_an_error_not_a_cut(make):
-    chain = make([(i, f"n{i}", [f"n{i + 1}"], "r", i) for i in range(6)], RECORDS)
-    with pytest.raises(RuntimeError, match="deeper than 3"):
-        lineage.ancestors(chain, make([("n0",)], "root string"), max_rounds=3)
+def test_long_chains_and_shared_nodes(make):
+    chain = make([(i, f"n{i}", [f"n{i + 1}"], "r", i) for i in range(12)], RECORDS)
+    assert values(lineage.ancestors(chain, make([("n0",)], "root string"))) == sorted(("n0", f"n{i}") for i in range(13))
+    # one node that every root is made from
+    shared = make([(i, f"root{i}", ["hub"], "r", i) for i in range(500)] + [(600, "hub", ["a", "b"], "r", 1)], RECORDS)
+    roots = make([(f"root{i}",) for i in range(500)], "root string")
+    assert lineage.ancestors(shared, roots).groupBy("root").count().filter("count = 4").count() == 500
 
 
 def test_lineage_details(make):
