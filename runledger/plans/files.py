@@ -483,3 +483,18 @@ def read_stage_files(spark, d):
     return texts.read_pipelines(yaml_texts).select(
         "pipeline", "ord", "stage", "cmd", F.concat_ws(",", "deps").alias("deps"), F.concat_ws(",", "outs").alias("outs"),
         F.col("error").isNotNull().alias("failed"))
+
+
+@query("""SELECT 'c' || c_custkey || '.pipeline.yaml' AS pipeline, 0 AS ord, 'prep' AS stage, 'run "' || c_mktsegment || '"' AS cmd, '' AS deps, 'data_' || c_custkey || '.csv' AS outs FROM customer
+UNION ALL SELECT 'c' || c_custkey || '.pipeline.yaml', 1, 'train: x', NULL, 'data_' || c_custkey || '.csv', 'm_' || c_custkey || '.pkl,log' FROM customer""")
+def write_stage_files(spark, d):
+    """Stages written as files and parsed again."""
+    path = scratch_path(spark, "stages")
+    base = table(spark, d, "customer").selectExpr("concat('c', c_custkey) AS pipeline", "c_custkey", "c_mktsegment")
+    stages = base.selectExpr("pipeline", "inline(array(struct(0 AS ord, 'prep' AS stage, concat('run \"', c_mktsegment, '\"') AS cmd, "
+                             "CAST(array() AS ARRAY<STRING>) AS deps, array(concat('data_', c_custkey, '.csv')) AS outs), "
+                             "struct(1 AS ord, 'train: x' AS stage, CAST(NULL AS STRING) AS cmd, array(concat('data_', c_custkey, '.csv')) AS deps, "
+                             "array(concat('m_', c_custkey, '.pkl'), 'log') AS outs)))")
+    texts.write_pipelines(stages, path)
+    return texts.read_pipelines(spark.read.parquet(path)).select("pipeline", "ord", "stage", "cmd", F.concat_ws(",", "deps").alias("deps"),
+                                                F.concat_ws(",", "outs").alias("outs"))

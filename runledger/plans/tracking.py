@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import cards, mining, registry, retention, runs
+from ..session import scratch_path
+from ..sources import texts
 from . import bindings as b
 from .bindings import sql, table
 from .registry import query
@@ -96,6 +98,25 @@ def get_run(spark, d):
     return runs.get_run(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d), b.artifacts(spark, d))
 
 
+def _logged(spark, d):
+    """The metric log appended to in two parts, in folders by run."""
+    path = scratch_path(spark, "log")
+    for part in (0, 1):
+        texts.append_log(b.metrics(spark, d).filter(F.col("seq") % 2 == part), path, bucket_by="run_id")
+    return path
+
+
+@query(sql(["vlatest"], "SELECT run_id, seq, step, ts, key, value FROM vlatest"))
+def state_logs(spark, d):
+    return runs.latest_metrics(texts.read_log(spark, _logged(spark, d)))
+
+
+@query(sql(["vmetrics"], "SELECT * FROM vmetrics WHERE run_id IN (8, 46, 100)"))
+def state_logs_of_runs(spark, d):
+    """Only the folders of the wanted runs are read."""
+    return texts.read_log(spark, _logged(spark, d), [8, 46, 100])
+
+
 @query(sql(["vcurrent_params"], "SELECT * FROM vcurrent_params"))
 def current_params(spark, d):
     return runs.current_params(b.params(spark, d))

@@ -94,11 +94,34 @@ def append_log(df: DataFrame, path: str, bucket_by: str | None = None, buckets:
     df.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str, ids: list | None = None, key: str = "run_id", buckets: int = 64) -> DataFrame:
+    """The log, or the rows of some ids: of a log written with ``bucket_by=key`` only their folders are listed and read."""
     log = spark.read.parquet(path)
+    if ids is not None:
+        kind = log.schema[key].dataType
+        if "bucket" in log.columns:
+            wanted = spark.range(1).select(F.explode(F.array(*[F.lit(i).cast(kind) for i in ids])).alias(key))
+            found = wanted.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")).distinct().collect()
+            log = log.filter(F.col("bucket").isin([r["bucket"] for r in found]))
+        log = log.filter(F.col(key).isin(ids))
     return log.drop("bucket")
 
 
+def write_pipelines(stages: DataFrame, path: str) -> None:
+    """A parquet table of texts (path, content): each pipeline's stages as a map in flow style, which YAML reads.
+
+    Texts are rows, as they are for :func:`read_pipelines`: a folder of one small file per pipeline would not scale.  A
+    pipeline's stages are put together in one row; they are as many as someone wrote by hand.
+    """
+    fields = F.struct("ord", "stage", "cmd", "deps", "outs")
+    listed = stages.groupBy("pipeline").agg(F.sort_array(F.collect_list(fields)).alias("s"))
+    entry = F.transform("s", lambda x: F.concat(
+        F.regexp_extract(F.to_json(F.array(x["stage"])), r"(?s)^\[(.*)\]$", 1), F.lit(": "),
+        F.to_json(F.struct(x["cmd"].alias("cmd"), x["deps"].alias("deps"), x["outs"].alias("outs")))))
+    content = F.concat(F.lit('{"stages": {'), F.array_join(entry, ", "), F.lit("}}"))
+    listed.select(F.concat("pipeline", F.lit(".pipeline.yaml")).alias("path"), content.alias("content")).write.mode("overwrite").parquet(path)
+
+
 def read_registry_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Existing ``{"models": {name: [entry, ...]}}`` documents as the logs of ``operators.registry``."""
     entry = ("name string, version bigint, stage string, run_id string, path string, size bigint, framework string, "
