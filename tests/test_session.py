@@ -37,3 +37,13 @@ def test_spread_leaves_wide_tables_alone(spark):
     assert session.spread(spark.range(100, numPartitions=2)).rdd.getNumPartitions() == 8
     wide = spark.range(100, numPartitions=9)
     assert session.spread(wide) is wide
+
+
+def test_stored_tables_go_with_their_owner(spark, make):
+    import pathlib
+    folder = pathlib.Path(session.shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    with session.scratch(spark):
+        kept = session.cut_lineage(make([(1,), (2,)], "a int"))
+        assert kept.count() == 2 and {p.name for p in folder.iterdir()} - before
+    assert {p.name for p in folder.iterdir()} == before
