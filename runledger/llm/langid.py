@@ -177,9 +177,10 @@ def fit(examples: DataFrame, max_languages: int = 500) -> Model | None:
     if not languages:
         return None
     docs = {r["lang"]: r["n"] for r in sizes}
-    found = counts.filter((F.col("bucket") >= 0) & F.col("lang").isin(languages)).toPandas()
+    number = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int") - 1
+    found = counts.filter((F.col("bucket") >= 0) & F.col("lang").isin(languages)).select(number.alias("lang"), "bucket", "n").toPandas()
     table = np.zeros((len(languages), BUCKETS))
-    table[np.searchsorted(languages, found["lang"].to_numpy(dtype=str)), found["bucket"].to_numpy()] = found["n"].to_numpy()
+    table[found["lang"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
     model = Model(languages, table)
     if model.code.shape[1]:
         shared = examples.sparkSession.sparkContext.broadcast(model)
