@@ -4,9 +4,11 @@
   that reached it; from round ``SLOTS`` on, round r fills slot r - SLOTS from all shingles, so after 2 x SLOTS rounds every
   coordinate is filled.  Documents stop as soon as they are full: about one round for long ones.
 * Equal shingle sets are one class (counts and hashes, combined before the shuffle); only classes go on.
-* Bands of ``ROWS`` coordinates make buckets.  In each bucket every class is checked against a leader, never all pairs; after
-  some rounds of new leaders, classes of a bucket that still lie in different components and haven't been compared are
-  compared pair by pair.  So no candidate pair is left out, and large groups of near copies cost a few comparisons per member.
+* Bands of ``ROWS`` coordinates make buckets.  In each bucket every class is checked against a leader, the class that shares most
+  bands with others, never all pairs.  Classes that have too many shingles of their own to be similar to any other are then
+  set aside; while leaders of the remaining components still find links, up to ``STAR_ROUNDS`` times, they are asked too; pairs
+  that are left, in different components, uncompared, and not excluded by their own shingles, are compared one by one.  So no
+  candidate pair is left out, and large groups of near copies cost a few comparisons per member.
 * Verification counts common shingles of the two whole texts.  A leader with many members is dealt to chunks of them.
 * Components take the smallest id over confirmed links, by label passing with shortcuts over stored tables.
 
@@ -190,6 +192,39 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("cls").join(labels, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
 
 
+def _shared(width: int):
+    """(cls, shingle) rows of texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for batch in batches:
+            for low, borders, values in shingles(batch.column(1)):
+                owner = np.repeat(np.arange(len(borders) - 1), np.diff(borders)) + low
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(values.view(np.int64))], ["cls", "shingle"])
+    return run
+
+
+def _linkable(active: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows of buckets whose class may still be similar enough to another class of the bucket.
+
+    A shingle that one class alone has is in no intersection.  With s others, an intersection has at most s shingles and the
+    union at least n + m - s, where m is the smallest size of a partner.  Adds ``s``.
+    """
+    wanted = active.select("cls").distinct()
+    alone = (texts.join(wanted, "cls", "left_semi").mapInArrow(_shared(width), "cls BINARY, shingle BIGINT")
+             .groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("cls").alias("cls")).filter("_n = 1")
+             .groupBy("cls").agg(F.count(F.lit(1)).alias("_alone")))
+    least = active.groupBy("key").agg(F.min("n").alias("_least"))
+    rows = active.drop("s").join(alone, "cls", "left").withColumn("s", F.col("n") - F.coalesce("_alone", F.lit(0))).join(least, "key")
+    partner = F.greatest(F.col("_least") * F.lit(100), F.col("n") * percent) / 100
+    return rows.filter(100 * F.col("s") >= percent * (F.col("n") + partner - F.col("s"))).drop("_alone", "_least")
+
+
+def _open(active: DataFrame) -> DataFrame:
+    """Rows of the buckets that still hold more than one component."""
+    several = active.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("key")
+    return active.join(several, "key", "left_semi")
+
+
 def groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for each document; kept: its id is the component's."""
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -198,53 +233,51 @@ def groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         _sketch(width), f"doc_id {kind}, text_hash BIGINT, n_shingles BIGINT, cls BINARY, bands ARRAY<BIGINT>"))
     classes = cut_lineage(sets.filter("cls IS NOT NULL").groupBy("cls").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    # buckets of at least two classes
-    banded = classes.select("cls", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_k"), F.min("cls").alias("leader")).filter("_k > 1")
-    buckets = cut_lineage(banded.join(sizes, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "band", "key", "cls", "n", "leader"))
-    wanted = buckets.select("cls").distinct().join(classes.select("cls", "first_id"), "cls")
+    # buckets of at least two classes; a key tells its band too
+    banded = classes.select("cls", "n", F.explode("bands").alias("key"))
+    sizes = banded.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
+    buckets = cut_lineage(banded.join(sizes, "key"))
+    # central classes share many bands with many others
+    central = buckets.groupBy("cls").agg(F.sum("_k").alias("rank"))
+    active = cut_lineage(buckets.drop("_k").join(central, "cls").withColumn("comp", F.col("cls")).withColumn("led", F.lit(False)))
+    wanted = central.join(classes.select("cls", "first_id"), "cls").select("cls", "first_id")
     texts = cut_lineage(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "text")
                         .mapInArrow(_named_texts(width), "cls BINARY, text STRING").dropDuplicates(["cls"]))
 
     nodes = classes.select("cls")
     fits = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
-    # stars round the leaders: the smallest class of each bucket, then the smallest by a new order each round
-    links, active = None, buckets.select("band", "key", "cls", "n", "leader").withColumn("comp", F.col("cls"))
-    done = None
+    pair = [F.least("leader", "member").alias("x"), F.greatest("leader", "member").alias("y")]
+    links, done, comps = None, None, nodes.withColumn("comp", F.col("cls"))
     for turn in range(STAR_ROUNDS):
-        if turn:
-            lead = active.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cls"), "cls"))["cls"].alias("leader"))
-            active = active.drop("leader").join(lead, ["band", "key"])
-        heads = active.filter("cls = leader").select("band", "key", F.col("n").alias("_n"), F.col("comp").alias("_comp"))
-        asked = (active.join(heads, ["band", "key"]).filter((F.col("comp") != F.col("_comp")) & fits)
-                 .select("leader", F.col("cls").alias("member")))
-        asked = asked.select(F.least("leader", "member").alias("x"), F.greatest("leader", "member").alias("y"), "leader", "member")
-        asked = asked.dropDuplicates(["x", "y"])
-        if done is not None:
-            asked = asked.join(done, ["x", "y"], "left_anti")
-        asked = cut_lineage(asked)
-        if asked.limit(1).count():
-            new = cut_lineage(verify(asked.select("leader", "member"), texts, width, percent))
-            links = new if links is None else cut_lineage(links.unionByName(new))
-        done = asked.select("x", "y") if done is None else cut_lineage(done.unionByName(asked.select("x", "y")))
-        if links is None:
-            comps = nodes.withColumn("comp", F.col("cls"))
-        else:
+        lead = active.filter("NOT led").groupBy("key").agg(F.max(F.struct("rank", "cls", "n", "comp")).alias("_lead")).select(
+            "key", F.col("_lead.cls").alias("leader"), F.col("_lead.n").alias("_n"), F.col("_lead.comp").alias("_comp"))
+        asked = (active.join(lead, "key").filter((F.col("comp") != F.col("_comp")) & fits)
+                 .select("leader", F.col("cls").alias("member")).select("leader", "member", *pair).dropDuplicates(["x", "y"]))
+        asked = cut_lineage(asked if done is None else asked.join(done, ["x", "y"], "left_anti"))
+        done = asked.select("x", "y") if done is None else done.unionByName(asked.select("x", "y"))
+        new = cut_lineage(verify(asked.select("leader", "member"), texts, width, percent))
+        linked = not new.isEmpty()
+        if linked:
+            links = new if links is None else links.unionByName(new)
             comps = cut_lineage(components(nodes, links))
-        active = active.drop("comp", "leader").join(comps, "cls")
-        open_ = (active.groupBy("band", "key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_k"))
-                 .filter("_low <> _high AND _k > 2").select("band", "key"))
-        active = cut_lineage(active.join(open_, ["band", "key"], "left_semi"))
-        if not active.limit(1).count():
+        # the buckets that are still open, with the new components; the leader's component has been compared
+        seen = lead.select("key", F.col("leader").alias("_cls")).join(comps.select(F.col("cls").alias("_cls"), F.col("comp").alias("_led")), "_cls").drop("_cls")
+        active = (active.drop("comp").join(comps, "cls").join(seen, "key", "left")
+                  .withColumn("led", F.col("led") | F.coalesce(F.col("comp") == F.col("_led"), F.lit(False))).drop("_led"))
+        active = cut_lineage(_open(active))
+        if not turn:
+            active = cut_lineage(_open(_linkable(active, texts, width, percent)))
+        if not linked or active.isEmpty():
             break
-    else:
-        # what is left: pairs of a bucket in different components that no leader has compared
-        other = active.select("band", "key", F.col("cls").alias("_cls"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))
-        rest = (active.join(other, ["band", "key"]).filter((F.col("comp") < F.col("_comp")) & fits)
-                .select(F.least("cls", "_cls").alias("x"), F.greatest("cls", "_cls").alias("y")).distinct().join(done, ["x", "y"], "left_anti"))
-        rest = cut_lineage(rest.select(F.col("x").alias("leader"), F.col("y").alias("member")))
-        if rest.limit(1).count():
-            new = cut_lineage(verify(rest, texts, width, percent))
+    if not active.isEmpty():
+        # what is left: pairs of a bucket in different components that no leader has compared and that may be similar enough
+        other = active.select("key", F.col("cls").alias("_cls"), F.col("n").alias("_n"), F.col("comp").alias("_comp"), F.col("s").alias("_s"))
+        most = F.least("s", "_s")
+        may = (F.col("comp") < F.col("_comp")) & fits & (100 * most >= percent * (F.col("n") + F.col("_n") - most))
+        rest = active.join(other, "key").filter(may).select(F.least("cls", "_cls").alias("x"), F.greatest("cls", "_cls").alias("y")).distinct()
+        rest = cut_lineage(rest.join(done, ["x", "y"], "left_anti").select(F.col("x").alias("leader"), F.col("y").alias("member")))
+        new = cut_lineage(verify(rest, texts, width, percent))
+        if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             comps = cut_lineage(components(nodes, links))
     named = classes.join(comps, "cls").select("cls", "comp", "first_id")
