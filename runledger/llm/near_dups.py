@@ -6,9 +6,9 @@
 * Equal shingle sets are one class (counts and hashes, combined before the shuffle); only classes go on.
 * Bands of ``ROWS`` coordinates make buckets.  In each bucket every class is checked against a leader, the class that shares most
   bands with others, never all pairs.  Classes that have too many shingles of their own to be similar to any other are then
-  set aside; while leaders of the remaining components still find links, up to ``STAR_ROUNDS`` times, they are asked too; pairs
-  that are left, in different components, uncompared, and not excluded by their own shingles, are compared one by one.  So no
-  candidate pair is left out, and large groups of near copies cost a few comparisons per member.
+  set aside; while leaders of the remaining components still find links, up to ``STAR_ROUNDS`` times, they are asked too; what
+  is left in different components of a bucket is compared in blocks, whole texts against whole texts, of which only the links
+  come out.  So no candidate pair is left out or emitted, and large groups of near copies cost a few rows per member.
 * Verification counts common shingles of the two whole texts.  A leader with many members is dealt to chunks of them.
 * Components take the smallest id over confirmed links, by label passing with shortcuts over stored tables.
 
@@ -34,7 +34,7 @@ WORD_BYTES = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 ROWS, BANDS = 6, 40
 SLOTS = ROWS * BANDS
 STAR_ROUNDS = 4
-CHUNK_MEMBERS = 256
+CHUNK_MEMBERS = 128
 
 
 class Shingles:
@@ -172,6 +172,51 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return sides.mapInArrow(_verify(width, percent), "a BINARY, b BINARY")
 
 
+def _compare(width: int, percent: int):
+    """Rows (block, chunk, kind, cls, text) sorted by these: some members of a block, then those who ask. Gives links."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        now, names, sets, every = None, [], [], None
+        for batch in batches:
+            places = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            kinds, classes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            left, right = [], []
+            for low, borders, values in shingles(batch.column(4)):
+                for i in range(len(borders) - 1):
+                    mine, row = values[borders[i]:borders[i + 1]], low + i
+                    if places[row] != now:
+                        now, names, sets, every = places[row], [], [], None
+                    if kinds[row] == 0:
+                        names.append(classes[row])
+                        sets.append(mine)
+                        continue
+                    if every is None:
+                        lengths = np.array([len(x) for x in sets])
+                        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+                    at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+                    common = np.bincount(owner[mine[at] == every], minlength=len(sets))
+                    for j in np.flatnonzero((common > 0) & (100 * common >= percent * (lengths + len(mine) - common))).tolist():
+                        if names[j] != classes[row]:
+                            left.append(names[j])
+                            right.append(classes[row])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+    return run
+
+
+def compare(members: DataFrame, askers: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between the askers and the members of each block (block, cls); only links are ever rows.
+
+    Members are dealt to chunks of about ``CHUNK_MEMBERS``; an asker visits every chunk of its block.
+    """
+    sizes = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS).alias("_n"))
+    ours = members.join(sizes, "block").select("block", F.pmod(F.xxhash64("cls"), F.col("_n")).alias("chunk"), F.lit(0).alias("kind"), "cls")
+    theirs = askers.join(sizes, "block").select(
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("chunk"), F.lit(1).alias("kind"), "cls")
+    sides = ours.unionByName(theirs).join(texts, "cls").select("block", "chunk", "kind", "cls", "text")
+    return (sides.repartition(F.col("block"), F.col("chunk")).sortWithinPartitions("block", "chunk", "kind", "cls")
+            .mapInArrow(_compare(width, percent), "a BINARY, b BINARY"))
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(cls, comp): the smallest class name reachable over links (a, b); nodes (cls) without links stay themselves.
 
@@ -270,13 +315,16 @@ def groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         if not linked or active.isEmpty():
             break
     if not active.isEmpty():
-        # what is left: pairs of a bucket in different components that no leader has compared and that may be similar enough
-        other = active.select("key", F.col("cls").alias("_cls"), F.col("n").alias("_n"), F.col("comp").alias("_comp"), F.col("s").alias("_s"))
-        most = F.least("s", "_s")
-        may = (F.col("comp") < F.col("_comp")) & fits & (100 * most >= percent * (F.col("n") + F.col("_n") - most))
-        rest = active.join(other, "key").filter(may).select(F.least("cls", "_cls").alias("x"), F.greatest("cls", "_cls").alias("y")).distinct()
-        rest = cut_lineage(rest.join(done, ["x", "y"], "left_anti").select(F.col("x").alias("leader"), F.col("y").alias("member")))
-        new = cut_lineage(verify(rest, texts, width, percent))
+        # What is left: classes of a bucket in different components that no leader has compared.  In each bucket the component
+        # with most classes is the block that the others ask; the others ask each other in a block of the bucket.
+        crowd = active.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_k"))
+        main = crowd.groupBy("key").agg(F.max(F.struct("_k", "comp"))["comp"].alias("_main"))
+        judged = cut_lineage(active.select("key", "cls", "comp").join(main, "key"))
+        block = F.concat(F.lit("c").cast("binary"), F.col("_main")).alias("block")
+        inside = judged.filter("comp = _main").select(block, "cls").distinct()
+        asking = judged.filter("comp <> _main").select(block, "cls").distinct()
+        rest = judged.filter("comp <> _main").select(F.concat(F.lit("k").cast("binary"), F.col("key").cast("string").cast("binary")).alias("block"), "cls")
+        new = cut_lineage(compare(inside.unionByName(rest), asking.unionByName(rest), texts, width, percent).distinct())
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             comps = cut_lineage(components(nodes, links))

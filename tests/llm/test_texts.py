@@ -106,6 +106,34 @@ def test_many_near_copies_meet(spark):
     assert found == grouped([(i, t, None, None) for i, t in texts], 4, 80)
 
 
+def test_copies_on_both_sides_of_the_threshold(spark):
+    """Two families of copies with few and many changes from small pools: links, near misses, and components that meet late."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for i in range(240):
+        own = [f"base{k}" for k in range(110)]
+        spots = rng.choice(6, rng.integers(0, 5), replace=False) * 18 + (2 if i % 2 else 9)
+        for at in spots:
+            own[at] = f"swap{at}_{rng.integers(0, 3)}"
+        texts.append((i, " ".join(own)))
+    got = near_dups.near_duplicates(spark.createDataFrame(texts, "doc_id INT, text STRING"), width=4)
+    found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=repr)
+    assert found == grouped([(i, t, None, None) for i, t in texts], 4, 80)
+
+
+def test_blocks_give_the_links_between_askers_and_members(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "CHUNK_MEMBERS", 2)
+    words = [f"w{i}" for i in range(60)]
+    texts = {bytes([i]): " ".join(words[:50 + i % 4] + [f"x{i}"] * (i // 4 * 5)) for i in range(12)}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    held = frame([(k, t) for k, t in texts.items()], "cls BINARY, text STRING")
+    members, askers = [k for k in texts if k[0] < 8], [k for k in texts if k[0] >= 6]
+    side = lambda names: frame([(b"z", k) for k in names], "block BINARY, cls BINARY")
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in near_dups.compare(side(members), side(askers), held, 4, 80).collect()}
+    sets = {k: shingles(t, 4) for k, t in texts.items()}
+    assert got == {(a, b) for a in members for b in askers if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+
+
 def test_sketches_fill_every_slot_and_estimate():
     rng = np.random.default_rng(1)
     values = rng.integers(1, 2 ** 62, 3000, dtype=np.uint64)
