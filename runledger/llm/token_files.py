@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ PIECE = re.compile(r"\s*\S+|\s+")
 UNSAFE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F,
                                             0x205F, 0x2060, 0x3000, 0xFEFF))) + "]")
 BYTES_PER_FILE = 64 << 20
-TABLE_PIECES = 400_000
+TABLE_PIECES, TABLE_WORDS = 1_000_000, 200_000
+END_MARKS = frozenset(".,;:!?")
 LONG_PIECE = 48
 COLUMNS = "doc_id BIGINT, part INT, pos BIGINT, ids ARRAY<INT>"
 
@@ -49,6 +51,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.letters = byte_letters()
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.pattern = regex.compile(PATTERN)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -57,19 +60,29 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
+        """One word as the vocabulary's pattern cuts it."""
+        spelled = word.encode().decode("latin-1").translate(self.letters)
+        four = self.four
+        return b"".join([four[t.id] for t in self.tokenizer.model.tokenize(spelled)])
+
+    def _known(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            spelled = word.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
-            if len(self.words) >= TABLE_PIECES:
+            if len(self.words) >= TABLE_WORDS:
                 self.words.clear()
-            self.words[word] = found
+            found = self.words[word] = self._word(word)
         return found
 
     def _piece(self, piece: str) -> bytes:
         if len(piece) > LONG_PIECE:
             return self.whole(piece)
-        found = b"".join(map(self._word, self.pattern.findall(piece)))
+        bare = piece[1:] if piece[0] == " " else piece
+        if bare.isalpha():  # letters after at most one space are one word
+            found = self._word(piece)
+        elif bare[-1:] in END_MARKS and bare[:-1].isalpha():
+            found = (self.pieces.get(piece[:-1]) or self._piece(piece[:-1])) + self._known(piece[-1])
+        else:
+            found = b"".join(map(self._known, self.pattern.findall(piece)))
         if len(self.pieces) >= TABLE_PIECES:
             self.pieces.clear()
         self.pieces[piece] = found
@@ -82,9 +95,15 @@ class Encoder:
         return b"".join([get(p) or slow(p) for p in PIECE.findall(text)])
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The process's encoder: a worker keeps its tables from task to task."""
+    return Encoder(path)
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = Encoder(path), np.array([end], "<u4").tobytes()
+        encode, tail = encoder(path), np.array([end], "<u4").tobytes()
         part, pos = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
