@@ -30,6 +30,7 @@ TWICE, THRICE = BUCKETS - 1, BUCKETS - 2
 WORD_BYTES = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 HELD_OUT, CURVE_FOLD, FOLDS = 0, 1, 5
 BINS, REACH = 4000, 8.0
+BROADCAST_ROWS = 2_000_000
 
 
 def indicators(column: pa.Array) -> Iterator[np.ndarray]:
@@ -192,13 +193,18 @@ def _score(shared):
 
 
 def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, block_rows: int = 4000, cost: float = 10.0,
-            rounds: int = 15) -> DataFrame:
-    """doc_id, held_out, score, predicted for each document; learns from ``labels`` (doc_id, quality) outside fold 0."""
+            rounds: int = 15, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted for each document; learns from ``labels`` (doc_id, quality) outside fold 0.
+
+    Up to ``broadcast_rows`` labels (counted first; 9 bytes each) go to the texts; more are joined by shuffle, with the same rows.
+    """
     context = documents.sparkSession.sparkContext
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("quality") > 0).alias("good"))
+    marks = marks.filter(fold("doc_id", FOLDS) != HELD_OUT)
+    marks = F.broadcast(marks) if marks.count() <= broadcast_rows else marks
     examples = (documents.filter((fold("doc_id", FOLDS) != HELD_OUT) & F.col("text").isNotNull())
                 .select("doc_id", F.col("text").cast("string").alias("text"))
-                .join(marks.filter(fold("doc_id", FOLDS) != HELD_OUT), "doc_id")
+                .join(marks, "doc_id")
                 .select("text", "good", (fold("doc_id", FOLDS) == CURVE_FOLD).alias("curve")))
     stored = cut_lineage(examples.mapInArrow(_features, "at ARRAY<INT>, good BOOLEAN, curve BOOLEAN"))
     learn = stored.filter("NOT curve").select("at", "good")

@@ -330,6 +330,8 @@ def test_quality(spark, docs, nothing):
     every = spark.createDataFrame([(i, t, "w") for i, t, _ in good + bad] + [(5000, None, "w"), (5001, "", "w"), (None, "plain1 plain2", "w")], "doc_id BIGINT, text STRING, score STRING")
     labels = spark.createDataFrame([(i, q) for i, _, q in good + bad] + [(5000, 1), (None, 0), (5001, None)], "doc_id BIGINT, quality INT")
     got = quality_nbsvm.quality(every, labels).collect()
+    shuffled = quality_nbsvm.quality(every, labels, broadcast_rows=0).collect()
+    assert len(shuffled) == len(got) and all(abs(a["score"] - b["score"]) < 0.1 for a, b in zip(sorted(got, key=repr), sorted(shuffled, key=repr)))
     truth = {i: q for i, _, q in good + bad}
     assert len(got) == 403 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
     held = [r for r in got if r["doc_id"] in truth and r["held_out"]]
