@@ -2,9 +2,10 @@
 
 * Features: which byte n-grams (1 to 4 bytes) a text has, hashed to 2^17 buckets, and whether a word repeats; a bucket's value is the log ratio of the
   shares of high and low quality training rows that have it, and rows have length one.
-* Fit: hinge loss by dual coordinate descent.  Training rows lie in one stored table; each task fits a model on every
-  ``block_rows`` rows it reads and adds up the weights, and the mean over all blocks is the model.  So all labelled rows are
-  used, no task holds more than a block, and the driver gets 2^17 numbers.
+* Fit: hinge loss by dual coordinate descent.  Training rows lie in one stored table and are dealt, each label by itself, to
+  blocks of about ``block_rows`` rows in the order of a seeded hash; a task fits a model on each of its blocks, and the mean
+  over all blocks is the model.  So all labelled rows are used wherever they lie, every block has both labels (rows of a label
+  with fewer rows than blocks stand in several), no task holds more than a block, and the driver gets 2^17 numbers.
 * Scores: a logistic curve over the margin, fitted on one fold of the training rows that the weights never saw.
 
 Rows with null id, text or quality are not learned from.  Null and empty texts are scored like a text without n-grams.
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage, fold
+from .common import cut_lineage, fold, slots
 from .textblocks import RunHash, blocks, rows_of, spans
 
 BUCKET_BITS = 17
@@ -31,6 +32,7 @@ WORD_BYTES = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 HELD_OUT, CURVE_FOLD, FOLDS = 0, 1, 5
 BINS, REACH = 4000, 8.0
 BROADCAST_ROWS = 2_000_000
+FIT_TASKS = 4096
 
 
 def indicators(column: pa.Array) -> Iterator[np.ndarray]:
@@ -59,21 +61,29 @@ def indicators(column: pa.Array) -> Iterator[np.ndarray]:
             yield at.astype(np.int32)
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Ascending buckets as their steps, a byte each; a byte 255 adds to the step that ends behind it."""
+    more, last = np.divmod(np.diff(at, prepend=0), 255)
+    out = np.full(len(at) + int(more.sum()), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = last
+    return out.tobytes()
+
+
+def unpacked(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.int32)[steps != 255]
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low in range(0, len(batch), 2000):
             part = batch.slice(low, 2000)
-            rows = list(indicators(part.column(0)))
-            places = np.zeros(len(rows) + 1, np.int32)
-            np.cumsum([len(r) for r in rows], out=places[1:])
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(rows))), part.column(1), part.column(2)],
-                                             ["at", "good", "curve"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(packed, indicators(part.column(0))), pa.binary()), *part.columns[1:]],
+                                             ["at", *part.schema.names[1:]])
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    places, values = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy()
-    for a, b in zip(places[:-1].tolist(), places[1:].tolist()):
-        yield values[a:b]
+    for steps in batch.column(0):
+        yield unpacked(np.frombuffer(steps.as_buffer(), np.uint8))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,34 +123,41 @@ def descend(rows: list[np.ndarray], signs: np.ndarray, ratios: np.ndarray, costs
     return weights
 
 
-def _fit(ratios, block_rows: int, cost: float, rounds: int):
+def deal(learn: DataFrame, docs: np.ndarray, block_rows: int) -> DataFrame:
+    """row, block, slot: the blocks of each training row (row, key, good). ``docs``: rows with good = 0 and 1, none of them zero.
+
+    Each label is dealt out by turns in the order of ``key``. A label with fewer rows than there are blocks goes round again.
+    """
+    count = int(max(1, min(docs.sum() // block_rows, docs.max())))
+    numbered = slots(learn.select("row", "key", "good"), "good", [F.col("key")], "slot")
+    step = F.when(F.col("good"), F.lit(int(docs[1]))).otherwise(F.lit(int(docs[0])))
+    places = F.sequence(F.pmod("slot", F.lit(count)).cast("bigint"), F.lit(count - 1).cast("bigint"), step.cast("bigint"))
+    return numbered.select("row", "slot", F.explode(places).alias("block"))
+
+
+def _fit(ratios, cost: float, rounds: int):
+    """Adds up the models of the blocks; rows (at, good, block) come block by block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, models = np.zeros(BUCKETS + 1), 0
+        total, models, now = np.zeros(BUCKETS + 1), 0, None
         rows, signs = [], []
 
-        def block() -> None:
-            nonlocal models
+        def fit() -> int:
             y = np.array(signs, float)
-            share = max((y > 0).mean(), 1e-9), max((y < 0).mean(), 1e-9)
-            costs = np.where(y > 0, cost / (2 * share[0]), cost / (2 * share[1]))
-            if 0 < (y > 0).sum() < len(y):
-                total[:] += len(y) * descend(rows, y, ratios.value, costs, rounds, 11)
-                models += len(y)
+            costs = np.where(y > 0, cost / (2 * (y > 0).mean()), cost / (2 * (y < 0).mean()))
+            total[:] += len(y) * descend(rows, y, ratios.value, costs, rounds, 11)
             rows.clear()
             signs.clear()
+            return len(y)
 
         for batch in batches:
-            for at, good in zip(_rows(batch), batch.column(1).to_pylist()):
-                rows.append(at.copy())
+            for at, good, block in zip(_rows(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if block != now and rows:
+                    models += fit()
+                now = block
+                rows.append(at)
                 signs.append(1 if good else -1)
-                if len(rows) >= 2 * block_rows:
-                    keep, keep_signs = rows[block_rows:], signs[block_rows:]
-                    del rows[block_rows:], signs[block_rows:]
-                    block()
-                    rows.extend(keep)
-                    signs.extend(keep_signs)
         if rows:
-            block()
+            models += fit()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], models))], ["bucket", "w"])
     return run
@@ -205,18 +222,23 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, blo
     examples = (documents.filter((fold("doc_id", FOLDS) != HELD_OUT) & F.col("text").isNotNull())
                 .select("doc_id", F.col("text").cast("string").alias("text"))
                 .join(marks, "doc_id")
-                .select("text", "good", (fold("doc_id", FOLDS) == CURVE_FOLD).alias("curve")))
-    stored = cut_lineage(examples.mapInArrow(_features, "at ARRAY<INT>, good BOOLEAN, curve BOOLEAN"))
-    learn = stored.filter("NOT curve").select("at", "good")
-    counts = learn.mapInArrow(_counts, "good INT, bucket INT, n BIGINT").groupBy("good", "bucket").agg(F.sum("n").alias("n")).toPandas()
+                .select("text", "good", (fold("doc_id", FOLDS) == CURVE_FOLD).alias("curve"),
+                        F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), "text").alias("key"), F.monotonically_increasing_id().alias("row")))
+    stored = cut_lineage(examples.mapInArrow(_features, "at BINARY, good BOOLEAN, curve BOOLEAN, key BIGINT, row BIGINT"))
+    learn = stored.filter("NOT curve")
+    counts = learn.select("at", "good").mapInArrow(_counts, "good INT, bucket INT, n BIGINT").groupBy("good", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((2, BUCKETS + 1))
     table[counts["good"], counts["bucket"] + 1] = counts["n"]
     docs = table[:, 0]
     smooth = (table[:, 1:] + 1) / (docs[:, None] + 2)
     ratios = np.where(table[:, 1:].sum(0) > 0, np.log(smooth[1]) - np.log(smooth[0]), 0.0)
     if docs.min() > 0:
-        blocks_ = max(1, int(docs.sum() // block_rows))
-        fitted = (learn.coalesce(blocks_).mapInArrow(_fit(context.broadcast(ratios), block_rows, cost, rounds), "bucket INT, w DOUBLE")
+        dealt = deal(learn, docs.astype(np.int64), block_rows)
+        dealt = F.broadcast(dealt) if docs.sum() <= broadcast_rows / 2 else dealt
+        tasks = int(min(max(1, docs.sum() // block_rows), FIT_TASKS))
+        parts = (learn.select("row", "at", "good").join(dealt, "row").repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int"))
+                 .sortWithinPartitions("block", "slot", "good").select("at", "good", "block"))
+        fitted = (parts.mapInArrow(_fit(context.broadcast(ratios), cost, rounds), "bucket INT, w DOUBLE")
                   .groupBy("bucket").agg(F.sum("w").alias("w")).toPandas())
         weights = np.zeros(BUCKETS + 2)  # the last, at -1, is the number of rows fitted on
         weights[fitted["bucket"]] = fitted["w"]

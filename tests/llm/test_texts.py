@@ -351,3 +351,20 @@ def test_licenses(spark, docs, nothing):
     assert got[3] == []
     assert [f["license"] for f in got[4]] == ["MIT"] and texts[3][1][got[4][0]["start"]:got[4][0]["end"]] == "Released under the MIT License."
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(nothing).count() == 0
+
+
+def test_quality_of_labels_that_lie_apart(spark):
+    """Rows sorted by label, and a label rarer than one row a block: every row is in a block, every block has both labels."""
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join(f"{'plain' if i < 300 else 'spam'}{w}" for w in rng.integers(0, 50, 30)), int(i < 300)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, quality INT").coalesce(1)
+    ask = lambda **kw: {r["doc_id"]: r for r in quality_nbsvm.quality(frame.drop("quality"), frame.drop("text"), block_rows=20, **kw).collect()}
+    got, shuffled = ask(), ask(broadcast_rows=0)
+    assert all(r["predicted"] == rows[i][2] for i, r in got.items())
+    assert all(abs(r["score"] - shuffled[i]["score"]) < 1e-9 for i, r in got.items())
+    for rare in (3, 40):
+        learn = spark.createDataFrame([(i, hash((i, "k")), i >= rare) for i in range(400)], "row BIGINT, key BIGINT, good BOOLEAN")
+        dealt = quality_nbsvm.deal(learn, np.array([rare, 400 - rare]), 20).collect()
+        blocks = [[r["row"] for r in dealt if r["block"] == b] for b in range(20)]
+        assert {r["row"] for r in dealt} == set(range(400)) and len(dealt) == 400 + max(0, 20 - rare)
+        assert all(19 <= len(b) <= 22 and 0 < sum(i < rare for i in b) < len(b) for b in blocks)
