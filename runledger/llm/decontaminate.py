@@ -12,7 +12,7 @@ executors ``CHUNK_PHRASES`` at a time; of all items together only the distinct t
 a very long document is a segment of its own.  The index is stored in the shared folder.
 
 Null texts have no words, items without words match nothing, and items shorter than ``size`` words are one phrase.  Repeated
-documents are each judged; repeated items count once by their id.
+documents are each judged; repeated items count once by their id.  Items with a null id hit like others, but name no item.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ class Terms:
 class Phrases:
     """Distinct phrases of test items as rows of term numbers, with the items each stands in."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int, terms: Terms | None = None) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], size: int, terms: Terms | None = None) -> None:
         column = pa.array([text for _, text in items], pa.large_string())
         owner, first, second = [], [], []
         words = Words()
@@ -82,7 +82,7 @@ class Phrases:
         for i, (item, _) in enumerate(items):
             own = number[edges[i]:edges[i + 1]].tolist()
             for k in range(max(1, len(own) - size + 1) if own else 0):
-                found.setdefault(tuple(own[k:k + size]), set()).add(item)
+                found.setdefault(tuple(own[k:k + size]), set()).update(() if item is None else (item,))
         self.phrases = [np.array(p) for p in found]
         self.items = [sorted(x) for x in found.values()]
 
@@ -209,14 +209,15 @@ def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 FOUND = "part INT, number BIGINT, doc_id BIGINT, n_words BIGINT, hits ARRAY<STRUCT<start: BIGINT, end: BIGINT>>, items ARRAY<STRING>"
 
 
-def _chunks(rows: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """The items in id order, a bounded number at a time."""
+def _chunks(rows: DataFrame) -> Iterator[list[tuple[str | None, str]]]:
+    """The items in id order, null ids first, a bounded number at a time."""
+    rows = rows.select(F.when(F.col("item_id").isNull(), "").otherwise(F.concat(F.lit("="), "item_id")).alias("_item"), "text").distinct()
     last: tuple[str, str] | None = None
     while True:
-        more = rows if last is None else rows.filter((F.col("item_id") > last[0]) | ((F.col("item_id") == last[0]) & (F.col("text") > last[1])))
-        found = [(r[0], r[1]) for r in more.distinct().orderBy("item_id", "text").limit(CHUNK_ITEMS).collect()]
+        more = rows if last is None else rows.filter((F.col("_item") > last[0]) | ((F.col("_item") == last[0]) & (F.col("text") > last[1])))
+        found = [(r[0], r[1]) for r in more.orderBy("_item", "text").limit(CHUNK_ITEMS).collect()]
         if found:
-            yield found
+            yield [(item[1:] if item else None, text) for item, text in found]
         if len(found) < CHUNK_ITEMS:
             return
         last = found[-1]
@@ -229,7 +230,7 @@ def matches(documents: DataFrame, items: DataFrame, size: int = 10, slop: int =
     """
     context, found = documents.sparkSession.sparkContext, []
     rows = cut_lineage(items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-                       .filter("item_id IS NOT NULL AND text IS NOT NULL"))
+                       .filter("text IS NOT NULL"))
     terms = Terms(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     for chunk in _chunks(rows):
         own = Phrases(chunk, size).terms
