@@ -151,15 +151,15 @@ def _members(values: np.ndarray, ascending: np.ndarray, slop: int) -> np.ndarray
     return inside
 
 
-def occurrences(phrase: np.ndarray, lists: dict[int, np.ndarray], slop: int = 0) -> np.ndarray:
-    """Starts of the phrase: lists shifted by their offsets, intersected from the rarest term to the most common."""
+def occurrences(phrase: np.ndarray, lists: dict[int, np.ndarray], slop: int = 0) -> tuple[np.ndarray, int]:
+    """Starts of the phrase, and the rarest term's offset: lists shifted by their offsets, intersected from the rarest term to the most common."""
     order = sorted(range(len(phrase)), key=lambda k: len(lists[phrase[k]]))
     starts = lists[phrase[order[0]]].astype(np.int64) - order[0]
     for k in order[1:]:
         if not len(starts):
             break
         starts = starts[_members(starts + k, lists[phrase[k]], slop)]
-    return starts
+    return starts, order[0]
 
 
 def _search(shared, slop: int):
@@ -183,9 +183,12 @@ def _search(shared, slop: int):
                 hits: dict[int, list[tuple[int, int]]] = {}
                 names: dict[int, set[str]] = {}
                 for i in np.flatnonzero(have[table].all(1)):
-                    for start in occurrences(phrases.phrases[i], lists, slop).tolist():
-                        d = int(np.searchsorted(firsts, start, "right")) - 1
-                        hits.setdefault(d, []).append((start - int(firsts[d]), start - int(firsts[d]) + len(phrases.phrases[i])))
+                    starts, rarest = occurrences(phrases.phrases[i], lists, slop)
+                    for start in starts.tolist():
+                        # with slop a start may lie before its document, the rarest term never does
+                        d = int(np.searchsorted(firsts, start + rarest, "right")) - 1
+                        begin_, end_ = start - int(firsts[d]), start - int(firsts[d]) + len(phrases.phrases[i])
+                        hits.setdefault(d, []).append((max(begin_, 0), min(end_, int(words[d]))))
                         names.setdefault(d, set()).update(phrases.items[i])
                 runs = [_merge(hits.get(d, [])) for d in range(len(firsts))]
                 yield pa.RecordBatch.from_arrays(
