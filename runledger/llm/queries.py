@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, decontaminate, kd_shards, langid, licenses, mixing, near_dups, quality_nbsvm, token_files, url_rules
+from . import alignment, ann, decontaminate, kd_shards, langid, licenses, mixing, near_dups, quality_nbsvm, token_files, url_rules
 from .common import fold, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,11 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.fit(documents.filter(fold("doc_id", 3) != 1))
     held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     return langid.predict(documents, model, [F.col("doc_id"), held_out]).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    aligned = alignment.align(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned.documents().drop("groups")
