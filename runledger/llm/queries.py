@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, ann, decontaminate, kd_shards, langid, licenses, mixing, near_dups, quality_nbsvm, token_files, url_rules
+from . import alignment, ann, collocations, decontaminate, kd_shards, langid, licenses, mixing, near_dups, quality_nbsvm, token_files, url_rules
 from .common import fold, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,26 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """
 
 
+ORACLES["op12_collocations"] = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+n AS (SELECT lang, sum(len(words)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, words[k:k + size - 1] AS words, count(*) AS a
+      FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS k FROM w, (VALUES (1), (2), (3)) s(size)) GROUP BY ALL),
+f AS (SELECT * FROM g WHERE a >= 10),
+cuts AS (SELECT f.lang, f.words, f.a, k, x.a AS l, y.a AS r, (1000000 * f.a::HUGEINT * f.a) // (x.a::HUGEINT * y.a) AS score
+         FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1) f JOIN f x ON x.lang = f.lang AND x.words = f.words[:k]
+         JOIN f y ON y.lang = f.lang AND y.words = f.words[k + 1:]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+longer AS (SELECT lang, part AS words, max(a) AS longer FROM (SELECT lang, a, unnest([words[:2], words[2:]]) AS part FROM f WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, score FROM lowest LEFT JOIN longer USING (lang, words) WHERE coalesce(100 * longer < 50 * a, true)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[function.__name__] = function
     return function
@@ -153,6 +173,11 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(documents, model, [F.col("doc_id"), held_out]).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 @query
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
