@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage, scratch_path, shared_dir, spread  # noqa: F401  (re-exported for the operators)
+from ..session import cut_lineage, local_table, scratch_path, shared_dir, spread  # noqa: F401  (re-exported for the operators)
 
 #: Bytes and rows of the batches in which whole texts go to Python workers.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, ann, collocations, decontaminate, kd_shards, langid, licenses, mixing, near_dups, quality_nbsvm, token_files, url_rules
+from . import alignment, ann, collocations, decontaminate, fingerprints, kd_shards, langid, licenses, mixing, near_dups, quality_nbsvm, token_files, url_rules
 from .common import fold, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,23 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """
 
 
+_TREE_SQL = """list_transform(string_split({0}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), '')))"""
+_ROOT_SQL = f"sha256(array_to_string({_TREE_SQL}, ''))"
+_PHRASES_SQL = f"regexp_extract_all({{0}}, '{fingerprints.PHRASE}')"
+_LIKE_SQL = """CASE WHEN r{0} = r{1} THEN 1.0::DOUBLE ELSE greatest(
+  2 * len(list_intersect(p{0}, p{1})) / greatest(len(list_distinct(p{0})) + len(list_distinct(p{1})), 1),
+  len(list_filter(range(1, least(len(p{0}), len(p{1})) + 1), lambda i: p{0}[i] = p{1}[i])) / greatest(len(p{0}), len(p{1}), 1)) END"""
+
+# Phrases are compared as texts here.
+ORACLES["op11_fingerprints"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER w, first(coalesce(text, '')) OVER (ORDER BY doc_id)) AS next_text
+           FROM documents WINDOW w AS (ORDER BY doc_id)),
+e AS (SELECT *, length(text) AS n, left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) AS edited FROM d),
+t AS (SELECT doc_id, n, sha256(edited) AS edited_sha256, {_ROOT_SQL.format('text')} AS r0, {_ROOT_SQL.format('edited')} AS r1, {_ROOT_SQL.format('next_text')} AS r2,
+             {_PHRASES_SQL.replace('{0}', 'text', 1)} AS p0, {_PHRASES_SQL.replace('{0}', 'edited', 1)} AS p1, {_PHRASES_SQL.replace('{0}', 'next_text', 1)} AS p2 FROM e)
+SELECT doc_id, n AS n_chars, edited_sha256, r0 AS fingerprint, r1 AS edited_fingerprint, {_LIKE_SQL.format(0, 1)} AS near_edited, {_LIKE_SQL.format(0, 2)} AS near_next FROM t
+"""
+
 ORACLES["op12_collocations"] = """
 WITH p AS (SELECT coalesce(lang, 'und') AS lang,
                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
@@ -173,6 +190,11 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(documents, model, [F.col("doc_id"), held_out]).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+@query
+def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited(table(spark, folder, "documents"))
+
+
 @query
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
