@@ -1,8 +1,8 @@
 """Collocations: phrases of two to ``longest`` words, counted exactly and scored by their weakest cut.
 
 * Candidates are found level by level, Apriori-safe.  Words are counted exactly.  Longer phrases are first counted by 64-bit hashes,
-  only where both parts one word shorter may be frequent; hashes that reach the minimum set bits of a map of fixed size
-  (``MAP_BITS``), which is broadcast.  Collisions only let more phrases through.  Phrases that pass are named once per block.
+  only where both parts one word shorter may be frequent; hashes that reach the minimum set bits of a map of at most
+  ``MAP_BITS``, which is broadcast.  Collisions only let more phrases through.  Phrases that pass are named once per block.
 * Candidates are dealt by hash into double-array tries of at most about ``TRIE_BYTES``.  A word is two digits of the trie's
   alphabet.  Each trie is built in one task, broadcast, and run over all texts: numpy advances the states of all positions of a
   block at once, digit by digit, accepting states are counted by bincount per task, and Spark sums the tasks' counts.  A trie costs
@@ -163,10 +163,11 @@ def _level(maps: Broadcast, count: bool, name: bool) -> Callable:
 
 
 def _map(hashes: DataFrame) -> np.ndarray:
-    """The hashes' bits as 64-bit words. Words with a bit come to the driver: at most MAP_BITS / 64."""
-    at = F.col("hash").bitwiseAND(MAP_BITS - 1)
-    found = (hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).toArrow())
-    bits = np.zeros(MAP_BITS // 64, np.uint64)
+    """The hashes' bits as 64-bit words: sixteen bits for each hash, MAP_BITS at most. Words with a bit come to the driver."""
+    size = max(64, min(MAP_BITS, 1 << (16 * hashes.count()).bit_length()))
+    at = F.col("hash").bitwiseAND(size - 1)
+    found = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
     bits[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return bits
 
