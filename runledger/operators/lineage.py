@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import artifact_type, base_name, suffix
 from ..session import cut_lineage
+from .graphs import reach
 
 
 def record_lineage(batch: DataFrame) -> DataFrame:
@@ -21,49 +22,35 @@ def edges(records: DataFrame) -> DataFrame:
     return records.select("seq", "output", F.explode("inputs").alias("input"), "run_id", "ts")
 
 
-def _reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """The nodes (node) that any root reaches, the roots included: a walk of distinct nodes, level by level."""
-    seen = frontier = cut_lineage(roots.select(F.col("root").alias("node")).distinct())
-    while not frontier.isEmpty():
-        ahead = frontier.join(links, frontier["node"] == links["output"]).select(F.col("input").alias("node")).distinct()
-        frontier = cut_lineage(ahead.join(seen, "node", "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen
-
-
 def ancestors(records: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node): everything each root was made from, the root itself included.
 
-    What many roots share is walked once: the closure is computed for the nodes that are inputs of others, by doubling the
-    length of the known paths (a chain of n steps takes log n rounds, a cycle ends as soon as nothing is new), and fanned out
-    to the roots by one join over their direct inputs.  Rounds are stored in the shared folder, so a lost executor costs one.
+    What many roots share is walked once: reachability is computed from the roots' direct inputs and fanned out to the roots by one
+    join.  Histories of any depth and cycles take about log2 of the depth rounds (:mod:`runledger.operators.graphs`).
     """
-    links = cut_lineage(records.select("output", F.explode("inputs").alias("input")).distinct())
-    near = links.join(_reachable(links, roots), F.col("output") == F.col("node"), "left_semi")
-    inner = near.join(near.select(F.col("input").alias("output")).distinct(), "output", "left_semi")
-    paths = cut_lineage(inner.select(F.col("output").alias("node"), F.col("input").alias("ancestor")))
-    known, before = paths.count(), -1
-    while known != before:
-        longer = paths.select(F.col("node").alias("_from"), F.col("ancestor").alias("_over"))
-        longer = longer.join(paths, F.col("_over") == F.col("node")).select(F.col("_from").alias("node"), "ancestor")
-        paths = cut_lineage(paths.union(longer).distinct())
-        known, before = paths.count(), known
+    links = cut_lineage(records.select(F.col("output").alias("src"), F.explode("inputs").alias("dst")).distinct())
     asked = roots.select("root").distinct()
-    direct = asked.join(links, asked["root"] == links["output"]).select("root", F.col("input").alias("node"))
-    beyond = direct.join(paths, "node").select("root", F.col("ancestor").alias("node"))
+    direct = cut_lineage(asked.join(links, asked["root"] == links["src"]).select("root", F.col("dst").alias("node")))
+    # links of nodes that are inputs themselves; a root that nothing is made from is never passed
+    inner = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    starts = direct.select("node").distinct().join(links.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    beyond = direct.join(reach(inner, starts).withColumnRenamed("node", "reached"), direct["node"] == F.col("start")).select("root", F.col("reached").alias("node"))
     return asked.select("root", F.col("root").alias("node")).union(direct).union(beyond).distinct()
 
 
-def provenance(records: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, seq, output, inputs, run_id, ts): every record of every ancestor, repeats kept."""
-    reached = ancestors(records, roots)
+def provenance(records: DataFrame, roots: DataFrame, reached: DataFrame | None = None) -> DataFrame:
+    """(root, seq, output, inputs, run_id, ts): every record of every ancestor, repeats kept.
+
+    Give ``reached``, the stored result of :func:`ancestors`, to several questions about the same roots.
+    """
+    reached = ancestors(records, roots) if reached is None else reached
     return reached.join(records, reached["node"] == records["output"]).select(
         "root", "seq", "output", "inputs", "run_id", "ts")
 
 
-def source_artifacts(records: DataFrame, roots: DataFrame) -> DataFrame:
+def source_artifacts(records: DataFrame, roots: DataFrame, reached: DataFrame | None = None) -> DataFrame:
     """(root, artifact): ancestors nothing produced; an unknown root is its own source."""
-    reached = ancestors(records, roots)
+    reached = ancestors(records, roots) if reached is None else reached
     made = records.select(F.col("output").alias("node")).distinct()
     return reached.join(made, "node", "left_anti").select("root", F.col("node").alias("artifact"))
 
@@ -91,13 +78,13 @@ def lineage_integrity(records: DataFrame, catalog: DataFrame) -> DataFrame:
             .select("output", F.col("input").alias("missing_input"), "run_id"))
 
 
-def lineage_mermaid(records: DataFrame, roots: DataFrame) -> DataFrame:
+def lineage_mermaid(records: DataFrame, roots: DataFrame, reached: DataFrame | None = None) -> DataFrame:
     """Diagram lines (root, section, seq, item, line) of each root's provenance.
 
     Read in the order section, then item descending (nodes) or seq, item (arrows).  Lines
     stay rows: a diagram may be far bigger than one value should be.
     """
-    found = cut_lineage(provenance(records, roots))
+    found = cut_lineage(provenance(records, roots, reached))
     arrows = found.select("root", "seq", "output", F.explode("inputs").alias("input"))
     nodes = (arrows.select("root", F.col("output").alias("item"))
              .unionAll(arrows.select("root", F.col("input").alias("item"))).distinct())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from .graphs import cyclic
 
 ID = ["pipeline", "stage"]
 
@@ -17,29 +17,9 @@ def stage_edges(stages: DataFrame) -> DataFrame:
     return needs.join(producers, ["pipeline", "artifact"]).filter("src <> dst").select("pipeline", "src", "dst").distinct()
 
 
-def has_cycle(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Pipelines whose graph has a cycle.
-
-    Edges from a stage nothing feeds, or to a stage that feeds nothing, lie on no cycle and
-    are dropped from both ends until none is left to drop.  What remains is cyclic.  All
-    pipelines shrink together; only edges still in question are joined again.
-    """
-    left = cut_lineage(edges.select("pipeline", "src", "dst").distinct())
-    count = left.count()
-    for _ in range(max_rounds):
-        if count == 0:
-            break
-        fed = left.select("pipeline", F.col("dst").alias("src")).distinct()
-        feeding = left.select("pipeline", F.col("src").alias("dst")).distinct()
-        left = cut_lineage(left.join(fed, ["pipeline", "src"], "left_semi")
-                           .join(feeding, ["pipeline", "dst"], "left_semi"))
-        remaining = left.count()
-        if remaining == count:
-            break
-        count = remaining
-    else:
-        raise RuntimeError(f"graph deeper than {max_rounds} levels")
-    return left.select("pipeline").distinct()
+def has_cycle(edges: DataFrame) -> DataFrame:
+    """Pipelines whose graph has a cycle. All pipelines are judged together, graphs of any depth."""
+    return cyclic(edges, ["pipeline"])
 
 
 def validate_pipelines(stages: DataFrame, catalog: DataFrame) -> DataFrame:
