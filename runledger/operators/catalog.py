@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed_values as fv
 from ..functions.columns import artifact_type, category, framework, glob_to_regex, lines_of, suffix
 from ..session import cut_lineage
+from ..sources.filetree import content_digests, edge_digests
 
 # Content types by suffix; anything else is application/octet-stream.
 CONTENT_TYPES = {
@@ -188,6 +189,21 @@ def duplicate_groups(catalog: DataFrame, min_size: int | None = None, max_size:
             .filter("n > 1").orderBy(F.desc("n"), "md5"))
 
 
+def duplicate_cascade(catalog: DataFrame, root: str, min_size: int | None = None, max_size: int | None = None, edge: int = 4096) -> DataFrame:
+    """Catalog rows with ``md5`` and ``bytes_read`` of the files below ``root`` that can have a copy.
+
+    First sizes are compared, then the first and last ``edge`` bytes, and only files that still tie are read whole, in chunks.
+    Most files cost nothing or a few kilobytes.  The result goes to :func:`duplicate_groups` or :func:`duplicate_members`.
+    """
+    sized = same_size_files(catalog, min_size, max_size)
+    edges = cut_lineage(edge_digests(sized, root, edge).filter("edges IS NOT NULL"))
+    tied = edges.groupBy("size", "edges").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    ties = edges.join(tied, ["size", "edges"], "left_semi")
+    columns = [*sized.columns, "md5", "bytes_read"]
+    whole = content_digests(ties.filter("md5 IS NULL").drop("md5"), root).withColumn("bytes_read", F.col("bytes_read") + F.col("size"))
+    return ties.filter("md5 IS NOT NULL").select(columns).unionByName(whole.filter("md5 IS NOT NULL").select(columns))
+
+
 def duplicate_members(catalog: DataFrame, min_size: int | None = None, max_size: int | None = None) -> DataFrame:
     """(md5, path) of every file that has a copy: one row per member instead of lists.
 

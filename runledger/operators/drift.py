@@ -13,11 +13,13 @@ from pyspark.sql.types import StructType
 from ..functions.columns import is_integral, is_numeric, kolmogorov_p, value_of
 from ..functions.fixed_values import FREQUENCY_DISTANCE_LIMIT, KS_ALPHA
 from ..session import local_table
+from .ranks import running_total
 
 # Real values carry a mark, so no text can be taken for the missing one.
 NULL_CATEGORY, VALUE_MARK = "<null>", "="
 # What tells values apart: numbers are either whole or real, everything else is text.
 NUMBER_KEYS, TEXT_KEYS = ["column", "whole", "real"], ["column", "text"]
+VALUE_KEYS = [*NUMBER_KEYS, "text"]
 REPORT = ["column", "type", "ks_statistic", "p_value", "frequency_distance", "drift_detected", "reason"]
 
 
@@ -34,8 +36,8 @@ def plan_columns(reference: StructType, candidate: StructType, columns: list[str
     return plan
 
 
-def _values(df: DataFrame, plan: dict[str, str], keys: list[str]) -> DataFrame:
-    """One row per value with the given keys; missing numbers are left out."""
+def value_entries(df: DataFrame, plan: dict[str, str], keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per value with the given keys (and the ``keep`` columns); missing numbers are left out."""
     fields = {f.name: f for f in df.schema.fields}
     entries = []
     for name, kind in plan.items():
@@ -48,13 +50,12 @@ def _values(df: DataFrame, plan: dict[str, str], keys: list[str]) -> DataFrame:
                  "text": F.coalesce(F.concat(F.lit(VALUE_MARK), value.cast("string")), F.lit(NULL_CATEGORY)) if kind == "text" else nothing.cast("string")}
         entries.append(F.struct(*[parts[k].alias(k) for k in keys]))
     some = " OR ".join(f"{k} IS NOT NULL" for k in keys if k != "column")
-    return df.select(F.inline(F.array(*entries))).filter(some)
+    return df.select(*keep, F.inline(F.array(*entries))).filter(some)
 
 
 def value_counts(df: DataFrame, plan: dict[str, str]) -> DataFrame:
     """(column, whole, real, text, n): how often each value occurs; what a fixed reference can keep."""
-    keys = [*NUMBER_KEYS, "text"]
-    return _values(df, plan, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return value_entries(df, plan, VALUE_KEYS).groupBy(*VALUE_KEYS).agg(F.count(F.lit(1)).alias("n"))
 
 
 def side_sizes(reference: DataFrame, candidate: DataFrame, plan: dict[str, str], counted: DataFrame | None = None) -> DataFrame:
@@ -86,10 +87,10 @@ def _compared(reference: DataFrame, candidate: DataFrame, plan: dict[str, str],
     value that fills a third of a side travels as one row per task.
     """
     if counted is None:
-        left = _values(reference, plan, keys).withColumn("r", F.lit(1).cast("bigint"))
+        left = value_entries(reference, plan, keys).withColumn("r", F.lit(1).cast("bigint"))
     else:
         left = counted.withColumnRenamed("n", "r")
-    right = _values(candidate, plan, keys)
+    right = value_entries(candidate, plan, keys)
     both = left.select(*keys, "r", F.lit(0).cast("bigint").alias("c")).unionAll(
         right.select(*keys, F.lit(0).cast("bigint").alias("r"), F.lit(1).cast("bigint").alias("c")))
     return both.groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
@@ -209,3 +210,38 @@ def drift_report(reference: DataFrame, candidate: DataFrame, columns: list[str]
         return local_table(reference.sparkSession, [], schema)
     report = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return report.select(*REPORT)
+
+
+def window_drift(reference: DataFrame, windows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, column, type, ks_statistic, p_value, frequency_distance, drift_detected) of many windows against one reference.
+
+    Both sides are counts as :func:`value_counts` gives them, ``windows`` with the columns ``by`` besides.  A window's gap peaks at one of
+    its own values or just before it, so each window needs the reference's running count there only: values of all windows are placed
+    among the reference's once, and no window meets values it does not have.  Categories that a window lacks add what its own leave of 1.
+    """
+    sizes = reference.groupBy("column").agg(F.sum("n").alias("n_reference"))
+    totals = windows.groupBy(*by, "column").agg(F.sum("n").alias("m"), F.max(F.col("text").isNotNull()).alias("_text"))
+    own = windows.filter("text IS NULL").groupBy("column", "whole", "real").agg(F.lit(0).cast("bigint").alias("r"))
+    listed = reference.filter("text IS NULL").select("column", "whole", "real", F.col("n").alias("r"))
+    placed = running_total(listed.unionByName(own).groupBy("column", "whole", "real").agg(F.sum("r").alias("r")), ["column"],
+                           [F.col("whole"), F.col("real")], F.col("r"), "r_to")
+    inside = running_total(windows.filter("text IS NULL").select(*by, "column", "whole", "real", F.col("n").alias("c")), [*by, "column"],
+                           [F.col("whole"), F.col("real")], F.col("c"), "c_to")
+    both = placed.select(*[F.col(k).alias(f"_{k}") for k in NUMBER_KEYS], "r", "r_to")
+    met = [inside[k].eqNullSafe(both[f"_{k}"]) for k in NUMBER_KEYS]
+    at = inside.join(both, met[0] & met[1] & met[2]).drop("_column", "_whole", "_real").join(sizes, "column").join(totals, [*by, "column"])
+    n, m = F.col("n_reference"), F.col("m")
+    gap = F.greatest(F.abs(F.col("r_to") / n - F.col("c_to") / m), F.abs((F.col("r_to") - F.col("r")) / n - (F.col("c_to") - F.col("c")) / m))
+    numbers = at.groupBy(*by, "column").agg(F.max(gap).alias("ks_statistic"))
+
+    named = windows.filter("text IS NOT NULL").select(*by, "column", "text", F.col("n").alias("c"))
+    shares = (named.join(reference.filter("text IS NOT NULL").select("column", "text", F.col("n").alias("r")), ["column", "text"], "left")
+              .join(sizes, "column").join(totals, [*by, "column"]).withColumn("r", F.coalesce("r", F.lit(0))))
+    wide = "decimal(18,0)"
+    apart = F.abs(F.col("r").cast(wide) * m.cast(wide) - F.col("c").cast(wide) * n.cast(wide)) - F.col("r").cast(wide) * m.cast(wide)
+    texts = shares.groupBy(*by, "column").agg(F.sum(apart).cast("double").alias("_gap"))
+    found = (totals.join(sizes, "column").join(numbers, [*by, "column"], "left").join(texts, [*by, "column"], "left")
+             .withColumn("p_value", F.when(~F.col("_text"), kolmogorov_p(F.col("ks_statistic"), n, m)))
+             .withColumn("frequency_distance", F.when(F.col("_text"), 1 + F.col("_gap") / (n.cast("double") * m.cast("double")))))
+    return found.select(*by, "column", F.when(F.col("_text"), "categorical").otherwise("numeric").alias("type"), "ks_statistic", "p_value", "frequency_distance",
+                        F.when(F.col("_text"), F.col("frequency_distance") > FREQUENCY_DISTANCE_LIMIT).otherwise(F.col("p_value") < KS_ALPHA).alias("drift_detected"))

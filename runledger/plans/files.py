@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import cards, catalog, diffs, mining, registry, retention
+from ..operators import cards, catalog, diffs, mining, registry, retention, search_index as search
 from ..sources import filetree, tables, texts
 from ..session import scratch_path
 from . import bindings as b
@@ -498,3 +498,71 @@ def write_stage_files(spark, d):
     texts.write_pipelines(stages, path)
     return texts.read_pipelines(spark.read.parquet(path)).select("pipeline", "ord", "stage", "cmd", F.concat_ws(",", "deps").alias("deps"),
                                                 F.concat_ws(",", "outs").alias("outs"))
+
+
+# --- files of the documents, written and walked
+
+def _document_files(spark, d):
+    """Every document as a file of its own below a shared folder."""
+    root = scratch_path(spark, "files")
+    filetree.write_files(b.files(spark, d).select("path", "content"), root)
+    return root
+
+
+@query(sql(["vtree"], "SELECT path, name, ext, is_dir, CASE WHEN NOT is_dir THEN size END AS size FROM vtree"))
+def file_catalog_rows(spark, d):
+    """All files and folders that a walk finds."""
+    walked = filetree.file_catalog(spark, _document_files(spark, d))
+    return walked.select("path", "name", "ext", "is_dir", F.when(~F.col("is_dir"), F.col("size")).alias("size"))
+
+
+@query(sql(["vfiles"], "SELECT path, size FROM vfiles WHERE path LIKE 'src1/%' AND name LIKE '%.md' AND size >= 500"))
+def file_catalog_filtered(spark, d):
+    """A walk that opens one folder's tree: the filters are the source's."""
+    walked = filetree.file_catalog(spark, _document_files(spark, d))
+    return walked.filter("path LIKE 'src1/%' AND name LIKE '%.md' AND size >= 500").select("path", "size")
+
+
+@query(sql(["vfiles"], "SELECT path, size, md5(content) AS md5 FROM vfiles"))
+def content_digests(spark, d):
+    """Digests of files read in chunks."""
+    root = _document_files(spark, d)
+    return filetree.content_digests(filetree.file_catalog(spark, root), root, chunk=4096).select("path", "size", "md5")
+
+
+@query(sql(["vfiles"], """SELECT md5(content) AS md5, count(*) AS n, max(size) AS size, min(path) AS first_path FROM vfiles WHERE size >= 1024
+GROUP BY md5(content) HAVING count(*) > 1"""))
+def duplicate_cascade(spark, d):
+    """Copies among files by size, then their ends, then whole contents of those that still tie."""
+    root = _document_files(spark, d)
+    return catalog.duplicate_groups(catalog.duplicate_cascade(filetree.file_catalog(spark, root), root, 1024, edge=512))
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_totalprice > 200000 AND o_orderkey % 2 = 0")
+def read_feather(spark, d):
+    """Orders written as Arrow files; three columns of some record batches read back, the price filter by the source."""
+    path = scratch_path(spark, "table") + ".feather"
+    orders = table(spark, d, "orders")
+    tables.write_feather(orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")), path, 1000)
+    read = tables.read_table(spark, path, columns=["o_orderkey", "o_totalprice", "o_orderdate"], share=1 << 18)
+    return read.filter("o_totalprice > 200000 AND o_orderkey % 2 = 0").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
+@query("""SELECT p_partkey AS id, path, type, text, number, flag FROM (
+SELECT p_partkey, unnest(['$.lr', '$.opt.name', '$.opt.sizes[0]', '$.opt.sizes[1]', '$.flag', '$.none', '$.more']) AS path,
+  unnest(['number', 'string', 'number', 'number', 'boolean', 'null', 'object']) AS type, unnest([NULL, p_name, NULL, NULL, NULL, NULL, NULL]) AS text,
+  unnest([p_retailprice, NULL, p_size::DOUBLE, p_partkey::DOUBLE, NULL, NULL, NULL]) AS number, unnest([NULL, NULL, NULL, NULL, p_size % 2 = 0, NULL, NULL]) AS flag
+FROM part)""")
+def variant_fields(spark, d):
+    """Parameter documents with nested and unknown fields, read as VARIANT and taken apart with their types."""
+    docs = table(spark, d, "part").selectExpr("p_partkey AS id", """concat('{"lr": ', p_retailprice, ', "opt": {"name": ', substring(to_json(array(p_name)), 2, length(to_json(array(p_name))) - 2),
+        ', "sizes": [', p_size, ', ', p_partkey, ']}, "flag": ', p_size % 2 = 0, ', "none": null, "more": {}}') AS content""")
+    return texts.variant_fields(texts.variant_documents(docs), ["id"])
+
+
+@query(sql(["vfiles", "vlines"], """SELECT path, line, text FROM vlines WHERE contains(lower(text), 'license')"""))
+def search_index(spark, d):
+    """A stored trigram index of all documents, then the texts it leaves."""
+    path = scratch_path(spark, "index")
+    search.build_index(b.files(spark, d).select("path", "name", "content"), path)
+    return search.search_index(spark, path, "license").select("path", "line", "text")

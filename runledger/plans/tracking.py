@@ -430,3 +430,17 @@ SELECT doc, section, item, line FROM (
 def model_card(spark, d):
     hints = registry.model_lineage(b.versions(spark, d), runs.run_state(b.run_events(spark, d)), runs.current_params(b.params(spark, d)))
     return cards.model_card(_info(spark, d), registry.current_tags(b.tag_log(spark, d)), hints)
+
+
+@query(sql(["vrun_events"], "SELECT * FROM vrun_events"))
+def state_logs_once(spark, d):
+    """Events appended in batches of which one is repeated, one replaces what a broken attempt left, and two were put together."""
+    path, events = scratch_path(spark, "once"), b.run_events(spark, d)
+    part = lambda k: events.filter(F.col("seq") % 3 == k)
+    texts.append_once(part(0), path, "first")
+    texts.append_once(part(0), path, "first")
+    texts.compact(spark, path, "old")
+    part(2).write.parquet(f"{path}/batch=second")
+    texts.append_once(part(1), path, "second")
+    texts.append_once(part(2), path, "third")
+    return texts.read_committed(spark, path).drop("batch")

@@ -1,15 +1,24 @@
-"""Catalog of a shared file tree as a Spark data source, hidden names and folders included."""
+"""Catalog of a shared file tree as a Spark data source, hidden names and folders included; contents and digests of its files.
+
+Filters on path, name, size and is_dir reach the walk: folders that no wanted path can lie below are never opened, and names are judged
+before anything is asked about a file.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import operator
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
+    StringContains, StringEndsWith, StringStartsWith)
 from pyspark.sql.types import StructType
 
 from ..functions.columns import suffix
@@ -41,10 +50,54 @@ def _utc(seconds: float | None) -> datetime | None:
     return None if seconds is None else datetime.fromtimestamp(seconds, timezone.utc)
 
 
+TESTS: dict[type, Callable] = {
+    EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le,
+    In: lambda x, values: x in values, StringStartsWith: str.startswith, StringEndsWith: str.endswith, StringContains: lambda x, part: part in x}
+
+
+class Wanted:
+    """The pushed filters of a walk, by column."""
+
+    def __init__(self) -> None:
+        self.tests: dict[str, list[tuple[Callable, object]]] = {"path": [], "name": [], "size": [], "is_dir": []}
+        self.starts: list[str] = []
+        self.paths: list[set[str]] = []
+
+    def add(self, test: Filter) -> bool:
+        """Whether the walk can judge the filter itself."""
+        kind, column = type(test), test.attribute[0] if len(getattr(test, "attribute", ())) == 1 else None
+        if kind not in TESTS or column not in self.tests:
+            return False
+        value = test.value
+        if value is None or kind is In and None in value:
+            return False
+        self.tests[column].append((TESTS[kind], value))
+        if column == "path" and kind is StringStartsWith:
+            self.starts.append(value)
+        if column == "path" and kind in (EqualTo, In):
+            self.paths.append({value} if kind is EqualTo else set(value))
+        return True
+
+    def fits(self, **values: object) -> bool:
+        return all(value is not None and test(value, wanted) for name, value in values.items() for test, wanted in self.tests[name])
+
+    def below(self, folder: str) -> bool:
+        """Whether something wanted can lie below a folder (its path from the root)."""
+        inside = "" if folder == "." else f"{folder}/"
+        return (all(inside.startswith(start) or start.startswith(inside) for start in self.starts)
+                and all(any(path.startswith(inside) for path in paths) for paths in self.paths))
+
+
 class FileTreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
         self.tasks = int(options.get("partitions", "64"))
+        self.wanted = Wanted()
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for test in filters:
+            if not self.wanted.add(test):
+                yield test
 
     def partitions(self):
         """Open the shallowest folders until a few per task can be dealt out; only those are listed here."""
@@ -55,29 +108,33 @@ class FileTreeReader(DataSourceReader):
         while waiting and len(waiting) < 4 * self.tasks:
             folder = waiting.pop(0)
             opened.append(folder)
-            waiting.extend(e.path for e in _children(system, folder) if _is_folder(system, e))
+            waiting.extend(e.path for e in _children(system, folder) if _is_folder(system, e) and self.wanted.below(os.path.relpath(e.path, base)))
         shares = [(f, False) for f in opened] + [(f, True) for f in waiting]
         return [Folders(shares[i::self.tasks]) for i in range(min(self.tasks, len(shares)))]
 
     def read(self, partition: Folders) -> Iterator[tuple]:
         system, base = open_root(self.root)
-        local = isinstance(system, fs.LocalFileSystem)
+        local, wanted = isinstance(system, fs.LocalFileSystem), self.wanted
         stack = list(partition.folders)
         while stack:
             folder, deep = stack.pop()
             for entry in _children(system, folder):
                 if entry.type not in (fs.FileType.File, fs.FileType.Directory):
                     continue             # a dangling link: neither file nor folder
-                is_dir = entry.type == fs.FileType.Directory
-                if deep and _is_folder(system, entry):
+                is_dir, path = entry.type == fs.FileType.Directory, os.path.relpath(entry.path, base)
+                if deep and _is_folder(system, entry) and wanted.below(path):
                     stack.append((entry.path, True))
+                if not wanted.fits(path=path, name=entry.base_name, is_dir=is_dir):
+                    continue
                 created, mode = None, None
                 if local:
                     stat = os.stat(entry.path)
                     created, mode = stat.st_ctime, oct(stat.st_mode & 0o777)
                 size = stat.st_size if local else entry.size
+                if not wanted.fits(size=size):
+                    continue
                 mtime = stat.st_mtime if local else entry.mtime_ns and entry.mtime_ns / 1e9
-                yield (os.path.relpath(entry.path, base), entry.base_name, is_dir, size, _utc(mtime), _utc(created), mode)
+                yield (path, entry.base_name, is_dir, size, _utc(mtime), _utc(created), mode)
 
 
 def _is_folder(system: fs.FileSystem, entry: fs.FileInfo) -> bool:
@@ -107,6 +164,7 @@ def file_catalog(spark: SparkSession, root: str, partitions: int | None = None)
     ``root`` is a folder every executor sees: a shared mount, or a URI that Arrow can open.
     """
     spark.dataSource.register(FileTreeSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     partitions = partitions or 2 * spark.sparkContext.defaultParallelism
     listed = spark.read.format("filetree").option("partitions", partitions).load(root)
     ext = F.when(F.col("is_dir"), "").otherwise(suffix(F.col("name")))
@@ -131,7 +189,7 @@ def file_contents(catalog: DataFrame, root: str, min_size: int = 0, max_size: in
     files = catalog.filter(~F.col("is_dir") & (F.col("size") >= min_size))
     if max_size is not None:
         files = files.filter(F.col("size") <= max_size)
-    schema = StructType(files.schema.fields).add("content", "binary")
+    schema = StructType([*files.schema.fields]).add("content", "binary")
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = open_root(root)
@@ -151,6 +209,80 @@ def file_contents(catalog: DataFrame, root: str, min_size: int = 0, max_size: in
     return files.repartition(F.col("path")).mapInPandas(load, schema)
 
 
+def _walk_rows(files: DataFrame, added: list[tuple[str, pa.DataType]], work: Callable[[fs.FileSystem, str, int | None], tuple]) -> Callable:
+    """For each file of a catalog, its columns and what ``work`` (file system, path, size) gives for it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [work(path, size) for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist())]
+            columns = [pa.array([f[k] for f in found], kind) for k, (_, kind) in enumerate(added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(name for name, _ in added)])
+    return run
+
+
+def stream_md5(handle, chunk: int = 1 << 20) -> str:
+    """MD5 of an open stream, a chunk at a time."""
+    digest = hashlib.md5(usedforsecurity=False)
+    while part := handle.read(chunk):
+        digest.update(part)
+    return digest.hexdigest()
+
+
+def content_digests(catalog: DataFrame, root: str, chunk: int = 1 << 20) -> DataFrame:
+    """The files of a catalog with ``md5``, read in chunks: files of any size, and no content ever becomes a value.
+
+    Files that can't be read get NULL.  ``operators.catalog.file_info`` and the rest take such a catalog instead of contents.
+    """
+    files = catalog.filter(~F.col("is_dir"))
+
+    def digest(path: str, size: int | None) -> tuple:
+        system, base = open_root(root)
+        try:
+            with system.open_input_stream(f"{base}/{path}", compression=None) as handle:
+                return (stream_md5(handle, chunk),)
+        except OSError:
+            return (None,)
+
+    schema = StructType([*files.schema.fields]).add("md5", "string")
+    return files.repartition(F.col("path")).mapInArrow(_walk_rows(files, [("md5", pa.string())], digest), schema)
+
+
+def edge_digests(files: DataFrame, root: str, edge: int = 4096) -> DataFrame:
+    """Adds ``edges`` (MD5 of a file's first and last ``edge`` bytes), ``md5`` where these are all its bytes, and ``bytes_read``."""
+    def digest(path: str, size: int | None) -> tuple:
+        system, base = open_root(root)
+        try:
+            with system.open_input_file(f"{base}/{path}") as handle:
+                length = handle.size()
+                content = handle.read_at(min(length, 2 * edge), 0) if length <= 2 * edge else handle.read_at(edge, 0) + handle.read_at(edge, length - edge)
+        except OSError:
+            return (None, None, 0)
+        found = hashlib.md5(content, usedforsecurity=False).hexdigest()
+        return (found, found if length <= 2 * edge else None, len(content))
+
+    schema = StructType([*files.schema.fields]).add("edges", "string").add("md5", "string").add("bytes_read", "long")
+    added = [("edges", pa.string()), ("md5", pa.string()), ("bytes_read", pa.int64())]
+    return files.repartition(F.col("path")).mapInArrow(_walk_rows(files, added, digest), schema)
+
+
+def write_files(texts: DataFrame, root: str) -> None:
+    """Write rows (path, content) as files below ``root``, a folder all executors share. Writing a row again gives the same file."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_root(root)
+        made: set[str] = set()
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folder = os.path.dirname(f"{base}/{path}")
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{base}/{path}") as handle:
+                    handle.write(content)
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
+
+    rows = texts.select("path", F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
+    rows.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
 def text_contents(files: DataFrame) -> DataFrame:
     """Decode ``content``; files that are no valid UTF-8 are dropped."""
     return files.filter(F.is_valid_utf8(F.col("content").cast("string"))).withColumn("content", F.col("content").cast("string"))

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-import io
+import fnmatch
 import json
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-import pyarrow.feather as feather
+import pyarrow.compute as pc
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith)
 from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
+from .filetree import open_root
+
+ROW_TESTS: dict[type, Callable] = {
+    EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal,
+    In: lambda column, values: pc.is_in(column, pa.array([v for v in values if v is not None], column.type)), StringStartsWith: pc.starts_with}
 READABLE = [".csv", ".tsv", ".json", ".jsonl", ".parquet", ".feather"]
 
 
@@ -20,11 +30,13 @@ def extension(path: str) -> str:
     return posixpath.splitext(path.rstrip("/"))[1].lower()
 
 
-def read_table(spark: SparkSession, path: str | list[str], schema=None, quoted_breaks: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, path: str | list[str], schema=None, quoted_breaks: bool = False, columns: list[str] | None = None,
+               share: int = 16 << 20) -> DataFrame:
     """A table from .csv, .tsv, .json, .jsonl, .parquet or .feather files (globs and lists work).
 
     Give ``schema`` for big text inputs: without it Spark reads them once more to infer types.
-    ``quoted_breaks`` allows line ends inside quoted CSV fields; such files are not split.
+    ``quoted_breaks`` allows line ends inside quoted CSV fields; such files are not split.  ``columns`` reads only these.  Feather files
+    are split into shares of about ``share`` bytes at their record batches.
     """
     paths = [path] if isinstance(path, str) else list(path)
     kinds = {extension(p) for p in paths}
@@ -32,7 +44,12 @@ def read_table(spark: SparkSession, path: str | list[str], schema=None, quoted_b
         raise ValueError(f"can't read dataset type: {', '.join(sorted(kinds))}")
     kind = kinds.pop()
     if kind == ".feather":
-        return _read_feather(spark, paths, schema)
+        return _read_feather(spark, paths, schema, columns, share)
+    table = _read_text_or_parquet(spark, paths, kind, schema, quoted_breaks)
+    return table if columns is None else table.select(columns)
+
+
+def _read_text_or_parquet(spark: SparkSession, paths: list[str], kind: str, schema, quoted_breaks: bool) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind in (".csv", ".tsv"):
         return reader.csv(paths, header=True, inferSchema=schema is None, sep="\t" if kind == ".tsv" else ",",
@@ -42,30 +59,122 @@ def read_table(spark: SparkSession, path: str | list[str], schema=None, quoted_b
     return reader.parquet(*paths)
 
 
-def _feather_batches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column("content"):
-            table = feather.read_table(io.BytesIO(content.as_py()))
-            yield from table.select(names).to_batches(max_chunksize=65_536)
-
-
-def _read_feather(spark: SparkSession, paths: list[str], schema) -> DataFrame:
-    """Feather files through Arrow, one file per row of a binary listing; nothing passes the driver
-    but, when no schema is given, the first file's header."""
-    files = spark.read.format("binaryFile").load(paths).select("content")
+class Batches(InputPartition):
+    """A share of one file's record batches: every ``of``-th one from ``first``."""
+
+    def __init__(self, path: str, first: int, of: int):
+        self.path, self.first, self.of = path, first, of
+
+
+class FeatherReader(DataSourceReader):
+    """Record batches of Arrow files: only the wanted columns are decoded, and pushed filters drop rows before they reach Spark."""
+
+    def __init__(self, options: dict, schema: StructType):
+        self.paths = json.loads(options["paths"])
+        self.share = int(options.get("bytes_per_partition", 16 << 20))
+        self.names = schema.fieldNames()
+        self.kept: list[tuple[type, str, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for test in filters:
+            name = test.attribute[0] if len(getattr(test, "attribute", ())) == 1 else None
+            if type(test) in ROW_TESTS and name in self.names and test.value is not None:
+                self.kept.append((type(test), name, test.value))
+            else:
+                yield test
+
+    def partitions(self):
+        """Shares of about ``bytes_per_partition`` by the files' sizes; no file is opened for this."""
+        found = []
+        for path in self.paths:
+            system, base = open_root(path)
+            info = system.get_file_info(base)
+            infos = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(base, recursive=True))
+            for file in infos:
+                if file.type == fs.FileType.File and not file.base_name.startswith(("_", ".")):
+                    of = max(1, -(-file.size // self.share))
+                    found += [Batches(_address(path, file.path), k, of) for k in range(of)]
+        return found
+
+    def read(self, partition: Batches) -> Iterator[pa.RecordBatch]:
+        system, base = open_root(partition.path)
+        with system.open_input_file(base) as source:
+            names = pa.ipc.open_file(source).schema.names
+            wanted = [names.index(n) for n in self.names]
+            file = pa.ipc.open_file(source, options=pa.ipc.IpcReadOptions(included_fields=sorted(wanted)))
+            for k in range(partition.first, file.num_record_batches, partition.of):
+                batch = file.get_batch(k).select(self.names)
+                for kind, name, value in self.kept:
+                    batch = batch.filter(ROW_TESTS[kind](batch.column(name), value))
+                if len(batch):
+                    yield batch
+
+
+def _address(path: str, found: str) -> str:
+    """The found file's place with the scheme of the path it was found by."""
+    return f"file://{found}" if path.startswith("file:") else f"{path.partition('://')[0]}://{found}" if "://" in path else found
+
+
+class FeatherSource(DataSource):
+    """``spark.read.format("arrowfiles").schema(...).option("paths", '["..."]').load()``"""
+
+    @classmethod
+    def name(cls):
+        return "arrowfiles"
+
+    def reader(self, schema: StructType):
+        return FeatherReader(self.options, schema)
+
+
+def _read_feather(spark: SparkSession, paths: list[str], schema, columns: list[str] | None, share: int) -> DataFrame:
+    """Feather files through Arrow, split at record batches; without a schema only the first file's header is read for it."""
+    spark.dataSource.register(FeatherSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    places = [place for path in paths for place in _matches(path)]
     if schema is None:
-        def header(batches):
-            for batch in batches:
-                for content in batch.column("content"):
-                    arrow = feather.read_table(io.BytesIO(content.as_py())).schema
-                    yield pa.RecordBatch.from_pydict({"header": [arrow.remove_metadata().serialize().to_pybytes()]})
-                    return
-        head = files.limit(1).mapInArrow(header, "header binary").first()
-        if head is None:
+        share_of = FeatherReader({"paths": json.dumps(places)}, StructType([])).partitions()
+        if not share_of:
             raise ValueError("no feather file found")
-        schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(head["header"]))))
-    names = schema.fieldNames() if hasattr(schema, "fieldNames") else spark.createDataFrame([], schema).columns
-    return files.mapInArrow(lambda batches: _feather_batches(batches, names), schema)
+        system, base = open_root(share_of[0].path)
+        with system.open_input_file(base) as source:
+            schema = from_arrow_schema(pa.ipc.open_file(source).schema.remove_metadata())
+    elif isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    if columns is not None:
+        schema = StructType([schema[c] for c in columns])
+    return (spark.read.format("arrowfiles").schema(schema).option("paths", json.dumps(places))
+            .option("bytes_per_partition", share).load())
+
+
+def _matches(path: str) -> list[str]:
+    """The places that a path with a glob in its last part means."""
+    folder, name = posixpath.split(path)
+    if not any(c in name for c in "*?["):
+        return [path]
+    system, base = open_root(folder)
+    return sorted(_address(path, i.path) for i in system.get_file_info(fs.FileSelector(base)) if fnmatch.fnmatchcase(i.base_name, name))
+
+
+def write_feather(df: DataFrame, path: str, rows_per_batch: int = 65_536) -> None:
+    """A folder of Arrow files, one a task, of record batches of at most ``rows_per_batch`` rows. A repeated task writes its file again."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_root(path)
+        system.create_dir(base, recursive=True)
+        writer, n = None, 0
+        name = f"{base}/part-{TaskContext.get().partitionId():05}.feather"
+        with system.open_output_stream(name) as sink:
+            for batch in batches:
+                writer = writer or pa.ipc.new_file(sink, batch.schema)
+                for low in range(0, len(batch), rows_per_batch):
+                    writer.write_batch(batch.slice(low, rows_per_batch))
+                n += len(batch)
+            if writer:
+                writer.close()
+        if not writer:
+            system.delete_file(name)
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    df.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
 
 
 def write_table(df: DataFrame, path: str) -> None:

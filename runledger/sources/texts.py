@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.columns import lines_of
+from ..session import cut_lineage
 
 LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 STAGES = "pipeline string, ord int, stage string, cmd string, deps array<string>, outs array<string>, error string"
@@ -107,6 +109,102 @@ def read_log(spark: SparkSession, path: str, ids: list | None = None, key: str =
     return log.drop("bucket")
 
 
+COMMITS = "_commits"
+
+
+def _commit_place(spark: SparkSession, path: str, batch: str | None = None):
+    """Hadoop file system and place of a log's commit folder, or of one batch's mark in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{COMMITS}" + (f"/{batch}" if batch else ""))
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def append_once(df: DataFrame, path: str, batch: str) -> bool:
+    """Append a named batch to a log exactly once; False if the log has it already.
+
+    A batch is a folder of its own, and readers see it only once its mark stands in the commit folder.  Whoever repeats a batch, after a
+    failure anywhere or although it had succeeded, replaces what was not committed and never doubles what was.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9.-]*", batch):
+        raise ValueError("batch must be letters, digits, dots and dashes")
+    files, mark = _commit_place(df.sparkSession, path, batch)
+    if files.exists(mark):
+        return False
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    files.create(mark, True).close()
+    return True
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """Names of a log's committed batches."""
+    files, place = _commit_place(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else []
+
+
+def read_committed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all committed batches of a log written with :func:`append_once`, with their ``batch``."""
+    batches = committed(spark, path)
+    if not batches:
+        raise ValueError(f"no committed batch in {path}")
+    rows = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(*[f"{path}/batch={b}" for b in batches])
+    return rows.withColumn("batch", F.col("batch").cast("string"))
+
+
+def compact(spark: SparkSession, path: str, batch: str) -> None:
+    """Put all committed batches together as one named ``batch`` and drop their folders; a repeated call ends what one had begun."""
+    old = [b for b in committed(spark, path) if b != batch]
+    files, mark = _commit_place(spark, path, batch)
+    if not files.exists(mark):
+        rows = read_committed(spark, path).drop("batch")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        # what the new batch replaces is named in its mark, so a call that ends between the two steps can be repeated
+        stream = files.create(mark, True)
+        stream.writeBytes("\n".join(old))
+        stream.close()
+    for name in _replaced(spark, path, batch):
+        files.delete(_commit_place(spark, path, name)[1], True)
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={name}"), True)
+
+
+def _replaced(spark: SparkSession, path: str, batch: str) -> list[str]:
+    text = spark.read.text(f"{path}/{COMMITS}/{batch}", wholetext=True).collect()
+    return [n for r in text for n in r["value"].split("\n") if n]
+
+
+def variant_documents(texts: DataFrame, content: str = "content") -> DataFrame:
+    """Adds ``doc``, the JSON text as VARIANT with every field it has, and ``error`` where it is no JSON."""
+    doc = F.try_parse_json(F.col(content))
+    return texts.withColumn("doc", doc).withColumn("error", F.when(F.col(content).isNotNull() & F.col("doc").isNull(), "not a JSON document")).drop(content)
+
+
+def variant_fields(documents: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, type, text, number, flag): one row for each innermost value of ``doc``, whatever its fields are called.
+
+    ``type`` is string, number, boolean or null, or object and array where these are empty.  Nesting is opened level by level, all
+    documents together; rounds are stored.
+    """
+    spark, found = documents.sparkSession, None
+    level = documents.filter("doc IS NOT NULL").select(*keys, F.lit("$").alias("path"), F.col("doc").alias("v"))
+    named = ", ".join(f"`{k}`" for k in keys)
+    while True:
+        kind = F.schema_of_variant("v")
+        level = cut_lineage(level.withColumn("_object", kind.startswith("OBJECT")).withColumn("_array", kind.startswith("ARRAY"))
+                            .withColumn("_empty", F.to_json("v").isin("{}", "[]")))
+        inner = "(_object OR _array) AND NOT _empty"
+        leaves = level.filter(f"NOT ({inner})")
+        found = leaves if found is None else found.unionByName(leaves)
+        deeper = level.filter(inner)
+        if deeper.isEmpty():
+            break
+        level = spark.sql(f"""SELECT {named}, concat(path, CASE WHEN _array THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END) AS path, e.value AS v
+                              FROM {{deeper}}, LATERAL variant_explode(v) e""", deeper=deeper)
+    kind = F.schema_of_variant("v")
+    nature = (F.when(F.col("_object"), "object").when(F.col("_array"), "array").when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean")
+              .when(kind == "STRING", "string").otherwise("number"))
+    return found.select(*keys, "path", nature.alias("type"), F.when(nature == "string", F.try_variant_get("v", "$", "string")).alias("text"),
+                        F.when(nature == "number", F.try_variant_get("v", "$", "double")).alias("number"),
+                        F.when(nature == "boolean", F.try_variant_get("v", "$", "boolean")).alias("flag"))
+
+
 def write_pipelines(stages: DataFrame, path: str) -> None:
     """A parquet table of texts (path, content): each pipeline's stages as a map in flow style, which YAML reads.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.drift import drift_report, plan_columns, value_counts
+from ..operators.drift import VALUE_KEYS, drift_report, plan_columns, value_counts, value_entries
 from ..session import cut_lineage
 
 
@@ -76,6 +79,93 @@ def stream_drift(stream: DataFrame, reference: DataFrame, columns: list[str], ou
     return stream.writeStream.foreachBatch(report)
 
 
+def stream_value_windows(stream: DataFrame, columns: list[str], length: str = "1 day", late: str = "1 hour", ts: str = "ts") -> DataFrame:
+    """(start, end, column, whole, real, text, n): how often each value occurs in each window, once the watermark has passed it.
+
+    State is a count per window and value, which merges whatever arrives together.  :func:`runledger.operators.drift.window_drift` judges
+    the windows; its verdicts do not depend on how the files were batched.
+    """
+    plan = plan_columns(stream.schema, stream.schema, columns)
+    framed = stream.withWatermark(ts, late).withColumn("_window", F.window(ts, length))
+    counted = value_entries(framed, plan, VALUE_KEYS, ("_window",)).groupBy("_window", *VALUE_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("_window.start").alias("start"), F.col("_window.end").alias("end"), *VALUE_KEYS, "n")
+
+
+RUN_STATE = "run_id {}, status string, started_at timestamp, ended_at timestamp, updated_at timestamp, seq bigint, deleted boolean"
+_NEVER = 1 << 62
+
+
+class RunStates(StatefulProcessor):
+    """One small state per run: its last event, its start and end, and up to which place in the log it is deleted."""
+
+    def __init__(self, idle_ms: int | None, keep_ms: int | None):
+        self.idle_ms, self.keep_ms = idle_ms, keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("run", "code int, seq bigint, started bigint, end_seq bigint, ended bigint, gone bigint", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        code, seq, started, end_seq, ended, gone = self.state.get() if self.state.exists() else (-1, -1, None, -1, None, -1)
+        log = pd.concat(list(rows)).sort_values("seq", na_position="last", kind="stable")
+        for event, at, micros in zip(log["event"], log["seq"], log["micros"]):
+            place = _NEVER if pd.isna(at) else int(at)
+            if event == "deleted":
+                gone = max(gone, place)
+                if seq <= gone:
+                    code, seq, started, end_seq, ended = -1, -1, None, -1, None
+            elif place > gone:
+                if place >= seq:
+                    code, seq = ("start", "success", "failed").index(event), place
+                if event == "start":
+                    started = int(micros) if started is None else min(started, int(micros))
+                elif place >= end_seq:
+                    end_seq, ended = place, int(micros)
+        self.state.update((code, seq, started, end_seq, ended, gone))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if code == 0:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self._row(key, ("running", "success", "failed")[code] if code >= 0 else None, seq, started, ended, code < 0)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        code, seq, started, _, ended, _ = self.state.get()
+        yield self._row(key, "idle", seq, started, ended, False)
+
+    def _row(self, key, status, seq, started, ended, deleted) -> pd.DataFrame:
+        times = [pd.NaT if t is None else pd.Timestamp(t, unit="us") for t in (started, ended, ended if ended is not None else started)]
+        return pd.DataFrame({"run_id": [key[0]], "status": [status], "started_at": [times[0]], "ended_at": [times[1]], "updated_at": [times[2]],
+                             "seq": [seq], "deleted": [deleted]}).astype({t: "datetime64[us]" for t in ("started_at", "ended_at", "updated_at")})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_run_states(events: DataFrame, idle: str | None = None, keep: str | None = None) -> DataFrame:
+    """Each run's state after every batch that changes it, from (run_id, seq, event, ts) with events start, success, failed and deleted.
+
+    The log must bring a run's rows in the order of ``seq``; a deletion covers what came up to its ``seq``, without one all there ever is.
+    A started run without news for ``idle`` is reported once as idle; a state untouched for ``keep`` is dropped.  Update mode.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = events.schema["run_id"].dataType.simpleString()
+    rows = events.select("run_id", "seq", "event", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    span = lambda text: None if text is None else int(pd.Timedelta(text).total_seconds() * 1000)
+    timed = "None" if idle is None and keep is None else "ProcessingTime"
+    return rows.groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=RunStates(span(idle), span(keep)), outputStructType=RUN_STATE.format(kind), outputMode="Update", timeMode=timed)
+
+
+def latest_states(changes: DataFrame) -> DataFrame:
+    """(run_id, status, started_at, ended_at, duration_seconds, updated_at) of the runs that are left, from drained changes."""
+    last = changes.groupBy("run_id").agg(F.max_by(F.struct("status", "started_at", "ended_at", "updated_at", "deleted"), "batch_id").alias("s"))
+    lasted = F.when(F.col("s.started_at").isNotNull() & F.col("s.ended_at").isNotNull(), F.greatest(
+        F.lit(0.0), (F.unix_micros("s.ended_at") - F.unix_micros("s.started_at")) / 1e6))
+    return last.filter("NOT s.deleted").select("run_id", "s.status", "s.started_at", "s.ended_at", lasted.alias("duration_seconds"), "s.updated_at")
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain what is available now into a parquet table and read it back.
 
