@@ -516,11 +516,11 @@ def file_catalog_rows(spark, d):
     return walked.select("path", "name", "ext", "is_dir", F.when(~F.col("is_dir"), F.col("size")).alias("size"))
 
 
-@query(sql(["vfiles"], "SELECT path, size FROM vfiles WHERE path LIKE 'src1/%' AND name LIKE '%.md' AND size >= 500"))
+@query(sql(["vfiles"], "SELECT path, size FROM vfiles WHERE path LIKE 'src1/%' AND name LIKE '%.parquet' AND size >= 500"))
 def file_catalog_filtered(spark, d):
     """A walk that opens one folder's tree: the filters are the source's."""
     walked = filetree.file_catalog(spark, _document_files(spark, d))
-    return walked.filter("path LIKE 'src1/%' AND name LIKE '%.md' AND size >= 500").select("path", "size")
+    return walked.filter("path LIKE 'src1/%' AND name LIKE '%.parquet' AND size >= 500").select("path", "size")
 
 
 @query(sql(["vfiles"], "SELECT path, size, md5(content) AS md5 FROM vfiles"))

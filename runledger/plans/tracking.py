@@ -76,11 +76,11 @@ def run_snapshot_rows(spark, d):
     return runs.run_snapshot_rows(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d))
 
 
-@query(sql(["vstate", "vlatest", "vcurrent_params"], f""", {_SNAPSHOT}, ids(run_id) AS (VALUES (8), (46), (100)),
-others AS (SELECT i.run_id, s.key, s.value FROM ids i JOIN snap s ON s.run_id = i.run_id WHERE i.run_id <> 8),
-base AS (SELECT i.run_id, s.key, s.value FROM ids i JOIN snap s ON s.run_id = 8 WHERE i.run_id <> 8)
-SELECT CAST(coalesce(o.run_id, a.run_id) AS BIGINT) AS run_id, coalesce(o.key, a.key) AS key, a.value AS old, o.value AS new
-FROM others o FULL JOIN base a ON a.run_id = o.run_id AND a.key = o.key WHERE a.value IS DISTINCT FROM o.value"""))
+@query(sql(["vstate", "vlatest", "vcurrent_params"], f""", {_SNAPSHOT}, chosen AS MATERIALIZED (SELECT run_id, key, value FROM snap WHERE run_id IN (8, 46, 100)),
+sides AS (SELECT CAST(46 AS BIGINT) AS run_id, key, value AS old, CAST(NULL AS VARCHAR) AS new FROM chosen WHERE run_id = 8
+  UNION ALL SELECT CAST(100 AS BIGINT), key, value, NULL FROM chosen WHERE run_id = 8
+  UNION ALL SELECT run_id, key, NULL, value FROM chosen WHERE run_id IN (46, 100))
+SELECT run_id, key, max(old) AS old, max(new) AS new FROM sides GROUP BY run_id, key HAVING max(old) IS DISTINCT FROM max(new)"""))
 def compare_runs(spark, d):
     rows = runs.run_snapshot_rows(b.run_events(spark, d), b.params(spark, d), b.metrics(spark, d))
     return runs.compare_runs(rows, [8, 46, 100])
@@ -252,17 +252,18 @@ def run_snapshot(spark, d):
 
 
 @query(sql(["vstate", "vlatest", "vcurrent_params"], f""", {_SNAPSHOT},
-recent AS (SELECT run_id, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, run_id) AS r FROM vstate),
-pair AS (SELECT max(run_id) FILTER (r = 1) AS a, max(run_id) FILTER (r = 2) AS b FROM recent),
-old AS (SELECT key, value FROM snap WHERE run_id = (SELECT a FROM pair)), new AS (SELECT key, value FROM snap WHERE run_id = (SELECT b FROM pair))
+states AS MATERIALIZED (SELECT run_id, status, duration_seconds, updated_at FROM vstate),
+recent AS (SELECT run_id, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, run_id) AS r FROM states),
+pair AS MATERIALIZED (SELECT max(run_id) FILTER (r = 1) AS a, max(run_id) FILTER (r = 2) AS b FROM recent),
+placed AS (SELECT key, value, r FROM snap JOIN recent ON recent.run_id = snap.run_id WHERE r <= 2),
+compared AS (SELECT key, max(CASE WHEN r = 1 THEN value END) AS old, max(CASE WHEN r = 2 THEN value END) AS new FROM placed GROUP BY key)
 SELECT 'project' AS doc, section, item, line FROM (
   SELECT 0 AS section, printf('%012d', i - 1) AS item, line FROM (SELECT unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (
-    SELECT ['# EXPERIMENT_REPORT', '', '- Project: project', '- Run Count: ' || (SELECT count(*) FROM vstate), '', '## Runs'] AS lines))
+    SELECT ['# EXPERIMENT_REPORT', '', '- Project: project', '- Run Count: ' || (SELECT count(*) FROM states), '', '## Runs'] AS lines))
   UNION ALL SELECT 1, printf('%020d/%s', 1000000000000000000 - coalesce(epoch_us(updated_at), 0), run_id::VARCHAR),
-    '- ' || run_id || ': status=' || status || ', duration=' || coalesce(CAST(duration_seconds AS VARCHAR), 'None') FROM vstate
+    '- ' || run_id || ': status=' || status || ', duration=' || coalesce(CAST(duration_seconds AS VARCHAR), 'None') FROM states
   UNION ALL SELECT 2, printf('%012d', p), t FROM (VALUES (0, ''), (1, '## Comparison')) v(p, t)
-  UNION ALL SELECT 3, coalesce(o.key, n.key), '- ' || coalesce(o.key, n.key) || ': ' || coalesce(o.value, 'None') || ' -> ' || coalesce(n.value, 'None')
-    FROM old o FULL JOIN new n ON n.key = o.key WHERE o.value IS DISTINCT FROM n.value
+  UNION ALL SELECT 3, key, '- ' || key || ': ' || coalesce(old, 'None') || ' -> ' || coalesce(new, 'None') FROM compared WHERE old IS DISTINCT FROM new
   UNION ALL SELECT 4, printf('%012d', i - 1), line FROM (SELECT unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (
     SELECT ['```mermaid', 'graph TD', '    run1[' || a || '] --> compare', '    run2[' || b || '] --> compare', '```'] AS lines FROM pair)))"""))
 def experiment_report(spark, d):
