@@ -19,7 +19,7 @@ LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdef
 
 _RULE_ROWS = ", ".join(f"('{verdict}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for verdict, rule in URL_RULES)
 
-# Association rules by counting every subset of the at most eight tokens of a URL.
+# Association rules by counting every subset of the frequent tokens of a URL, one token of those in the same examples.
 ORACLES["op1_url_rules"] = f"""
 WITH rules(verdict, rule, site, start) AS (VALUES {_RULE_ROWS}),
 p AS (SELECT row_number() OVER () AS row, page_id, coalesce(url, '') AS url,
@@ -27,30 +27,39 @@ p AS (SELECT row_number() OVER () AS row, page_id, coalesce(url, '') AS url,
 h AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 v AS (SELECT *, string_split(host, '.') AS labels, regexp_extract(path, '([^/]*)/?$', 1) AS last FROM h),
-t AS (SELECT row, page_id, host, path, list_filter([
+t AS (SELECT row, page_id, host, path, list_distinct(list_filter([
         'scheme=' || lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]{{0,15}})://', 1)), 'top=' || labels[-1],
-        'site=' || array_to_string(labels[greatest(len(labels) - 1, 1):], '.'), 'first=' || labels[1], 'folder=' || regexp_extract(path, '^/([^/]+)/', 1),
+        'site=' || array_to_string(labels[greatest(len(labels) - 1, 1):], '.'),
         'form=' || CASE WHEN path = '' THEN 'none' WHEN ends_with(path, '/') THEN 'folder' WHEN regexp_matches(last, '^[0-9]+$') THEN 'number'
           WHEN regexp_matches(last, '\\.[A-Za-z0-9]{{1,5}}$') THEN '.' || regexp_extract(last, '\\.([A-Za-z0-9]{{1,5}})$', 1) ELSE 'name' END,
-        'query=' || regexp_extract(url, '\\?([^=&#]{{1,40}})', 1), 'mark=' || CASE WHEN contains(url, '#') THEN 'yes' ELSE '' END],
-        lambda x: NOT ends_with(x, '=')) AS tokens FROM v),
+        'mark=' || CASE WHEN contains(url, '#') THEN 'yes' ELSE '' END]
+        || list_transform(labels[:greatest(len(labels) - 2, 0)], lambda x: 'label=' || x)
+        || list_transform(regexp_extract_all(path, '([^/]+)/', 1), lambda x: 'folder=' || x)
+        || list_transform(regexp_extract_all(last, '[A-Za-z0-9]+'), lambda x: 'word=' || x)
+        || list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, '=')), lambda x: 'key=' || string_split(x, '=')[1]),
+        lambda x: NOT ends_with(x, '='))) AS tokens FROM v),
 found AS (SELECT row, arg_max(rule, (length(rule), rule)) AS rule, arg_max(verdict, (length(rule), rule)) AS verdict
           FROM t JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY row),
-labelled AS (SELECT tokens, verdict FROM t JOIN found USING (row)),
-subsets AS (SELECT list_sort(list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1)) AS items, verdict
-            FROM (SELECT *, unnest(range(1, CAST(pow(2, len(tokens)) AS BIGINT))) AS m FROM labelled)),
+labelled AS (SELECT row, tokens, verdict FROM t JOIN found USING (row)),
+size AS (SELECT count(*) AS n, greatest(ceil(0.002 * count(*)), 5) AS least FROM labelled),
+single AS (SELECT token, list_sort(list(row)) AS rows FROM (SELECT row, unnest(tokens) AS token FROM labelled) GROUP BY token HAVING count(*) >= (SELECT least FROM size)),
+telling AS (SELECT list(token) AS tokens FROM (SELECT min(token) AS token FROM single GROUP BY rows)),
+baskets AS (SELECT list_sort(list_filter(labelled.tokens, lambda x: list_contains(telling.tokens, x))) AS tokens, verdict FROM labelled, telling),
+subsets AS (SELECT list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items, verdict
+            FROM (SELECT *, unnest(range(1, CAST(pow(2, len(tokens)) AS BIGINT))) AS m FROM baskets)),
 alone AS (SELECT items, count(*) AS n FROM subsets GROUP BY items),
-size AS (SELECT count(*) AS n FROM labelled),
 shares AS (SELECT verdict, count(*) AS n FROM labelled GROUP BY verdict),
 mined AS (SELECT s.items, s.verdict, s.n / a.n AS confidence, s.n / size.n AS support
           FROM (SELECT items, verdict, count(*) AS n FROM subsets GROUP BY items, verdict) s JOIN alone a USING (items) JOIN shares g USING (verdict), size
-          WHERE s.n >= 5 AND s.n >= ceil(0.002 * size.n) AND s.n / a.n >= 0.8 AND s.n / a.n / (g.n / size.n) >= 1.05),
-sets AS (SELECT DISTINCT tokens FROM t WHERE row NOT IN (SELECT row FROM found)),
-best AS (SELECT tokens, verdict, confidence, items FROM sets JOIN mined ON list_has_all(tokens, items)
-         QUALIFY row_number() OVER (PARTITION BY tokens ORDER BY confidence DESC, support DESC, len(items) DESC, verdict DESC, items DESC) = 1)
+          WHERE s.n >= size.least AND s.n / a.n >= 0.8 AND s.n / a.n / (g.n / size.n) >= 1.05),
+known AS (SELECT list(DISTINCT item) AS items FROM (SELECT unnest(items) AS item FROM mined)),
+sets AS (SELECT DISTINCT list_sort(list_filter(tokens, lambda x: list_contains(known.items, x))) AS own FROM t, known WHERE row NOT IN (SELECT row FROM found)),
+best AS (SELECT own, verdict, confidence, items FROM sets JOIN mined ON list_has_all(own, items)
+         QUALIFY row_number() OVER (PARTITION BY own ORDER BY confidence DESC, support DESC, len(items) DESC, verdict DESC, items DESC) = 1)
 SELECT page_id, host, path, found.rule, coalesce(found.verdict, best.verdict, 'allow') AS verdict,
        CASE WHEN found.row IS NULL THEN best.confidence END AS confidence, CASE WHEN found.row IS NULL THEN array_to_string(best.items, ' ') END AS because
-FROM t LEFT JOIN found USING (row) LEFT JOIN best ON best.tokens = t.tokens
+FROM t LEFT JOIN found USING (row) LEFT JOIN known ON true
+LEFT JOIN best ON best.own = list_sort(list_filter(t.tokens, lambda x: list_contains(known.items, x)))
 """
 
 ORACLES["op5_decontaminate"] = f"""
