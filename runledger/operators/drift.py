@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.types import StructType
 
 from ..functions.columns import is_integral, is_numeric, kolmogorov_p, value_of
 from ..functions.fixed_values import FREQUENCY_DISTANCE_LIMIT, KS_ALPHA
-from ..session import local_table
+from ..session import cut_lineage, local_table
 from .ranks import running_total
 
 # Real values carry a mark, so no text can be taken for the missing one.
@@ -96,47 +91,24 @@ def _compared(reference: DataFrame, candidate: DataFrame, plan: dict[str, str],
     return both.groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
 
 
-def _running_extremes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Summarise one sorted range slice: per column its totals and where the gap peaks.
-
-    Only four states survive a slice, however long it is: counts at the largest and at the
-    smallest local gap, and the totals the next slices start from.
-    """
-    part = TaskContext.get().partitionId()
-    state: dict[str, list] = {}
-    for batch in batches:
-        for name, rows in batch.groupby("column", sort=False):
-            n, m = float(rows["n"].iloc[0]), float(rows["m"].iloc[0])
-            kept = state.setdefault(name, [0, 0, 0, 0, -np.inf, 0, 0, np.inf])
-            r = kept[0] + np.cumsum(rows["r"].to_numpy(dtype=np.int64))
-            c = kept[1] + np.cumsum(rows["c"].to_numpy(dtype=np.int64))
-            gap = r / n - c / m
-            top, low = int(gap.argmax()), int(gap.argmin())
-            if gap[top] > kept[4]:
-                kept[2], kept[3], kept[4] = int(r[top]), int(c[top]), float(gap[top])
-            if gap[low] < kept[7]:
-                kept[5], kept[6], kept[7] = int(r[low]), int(c[low]), float(gap[low])
-            kept[0], kept[1] = int(r[-1]), int(c[-1])
-    rows = [(name, part, k[0], k[1], k[2], k[3], k[5], k[6]) for name, k in state.items()]
-    yield pd.DataFrame(rows, columns=["column", "part", "r", "c", "top_r", "top_c", "low_r", "low_c"])
-
-
 def drift_numeric(reference: DataFrame, candidate: DataFrame, columns: list[str],
                   counted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
-    """(column, n, m, ks_statistic, p_value): two-sample KS of every column in one job.
+    """(column, n, m, ks_statistic, p_value): two-sample KS of every column at once.
 
-    Distinct values are counted, spread over range slices and sorted; every slice reports
-    its totals and the places where its own running gap peaks.  Adding the totals of the
-    slices before it gives the gap of the whole column, so no slice ever needs the others.
+    Distinct values are counted, stored and spread over range slices; inside a slice, window sums give its totals and the places where
+    its own running gap peaks.  Adding the totals of the slices before it gives the gap of the whole column, so no slice ever needs the
+    others and a column may be any number of slices.
     """
     plan = plan_columns(reference.schema, candidate.schema, columns)
     sizes = side_sizes(reference, candidate, plan, counted) if sizes is None else sizes
-    values = _compared(reference, candidate, plan, NUMBER_KEYS, counted)
-    order = NUMBER_KEYS
+    values = cut_lineage(_compared(reference, candidate, plan, NUMBER_KEYS, counted))
     sized = values.join(sizes.filter("n > 0 AND m > 0"), "column")
-    slices = (sized.repartitionByRange(*order).sortWithinPartitions(*order).select("column", "r", "c", "n", "m")
-              .mapInPandas(_running_extremes, "column string, part int, r bigint, c bigint, top_r bigint, "
-                                              "top_c bigint, low_r bigint, low_c bigint"))
+    inside = Window.partitionBy("column", "part").orderBy("whole", "real").rowsBetween(Window.unboundedPreceding, 0)
+    running = (sized.repartitionByRange(*NUMBER_KEYS).withColumn("part", F.spark_partition_id())
+               .select("column", "part", "n", "m", F.sum("r").over(inside).alias("r"), F.sum("c").over(inside).alias("c")))
+    peak = F.struct((F.col("r") / F.col("n") - F.col("c") / F.col("m")).alias("gap"), "r", "c")
+    slices = (running.groupBy("column", "part").agg(F.max("r").alias("r"), F.max("c").alias("c"), F.max(peak).alias("top"), F.min(peak).alias("low"))
+              .select("column", "part", "r", "c", *[F.col(f"{w}.{x}").alias(f"{w}_{x}") for w in ("top", "low") for x in ("r", "c")]))
     before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     r0, c0 = (F.coalesce(F.sum(x).over(before), F.lit(0)) for x in ("r", "c"))
     placed = slices.withColumn("r0", r0).withColumn("c0", c0).join(sizes, "column")
