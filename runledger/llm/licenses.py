@@ -1,24 +1,28 @@
 """License scans by conditional compression.
 
-A candidate block is the text around words that licenses use.  In it, templates of which enough words are there are aligned word
-by word, and the differences in wording are kept.  Each template is a raw-content dictionary of zstandard: what it takes off the
-compressed size of the aligned place, as a share of the template's own compressed size, confirms the finding.  Only the place
-itself is compressed, so notices next to it can't hide it.
-
-Each distinct block is measured once per task (a bounded memory of results); no rows are moved.  Null and empty texts have no
-blocks.  Texts are read whole, however long; repeated rows are judged alike.
+Candidate blocks are windows of a template's number of words, laid so that a word that licenses use (a hint) stands where the template
+has one.  Each window is compressed with the template as raw-content dictionary of zstandard.  What that takes off the window's
+compressed size ranks all windows and templates round a hint; those above a share of the template's own compressed size are confirmed in
+that order, word by word, and keep their differences in wording.  Windows are one template long, so notices next to each other can't hide
+one another, and a place counts once, for the largest reduction that is confirmed.
+
+Hints that windows of both can reach are judged together, however many they are; the results of such stretches are remembered, up to
+``MEMORY_BYTES`` a task.  No rows are moved.  Null and empty texts have no findings.  Texts are read whole, however long; repeated rows
+are judged alike.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import in_arrow
+
 # Common short license notices, as published.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.",
@@ -52,8 +56,8 @@ TEMPLATES = {
 }
 HINT = r"(?i)licen[sc]e|public domain|permission|redistribut|copyright"
 WORD = re.compile(r"\S+")
-BEFORE, AFTER = 400, 1200
-MEMORY = 20_000
+#: Words that may be added on either side of a place, and the bytes of remembered stretches.
+SLACK, MEMORY_BYTES = 2, 16 << 20
 FOUND = "ARRAY<STRUCT<license: STRING, start: INT, end: INT, reduction: DOUBLE, similarity: DOUBLE, differences: STRING>>"
 
 
@@ -63,94 +67,101 @@ class Scanner:
     def __init__(self, templates: dict[str, list[str]], least: float, alike: float) -> None:
         import zstandard
 
-        self.least, self.alike = least, alike
+        self.least, self.alike, self.hint = least, alike, re.compile(HINT)
         self.plain = zstandard.ZstdCompressor(level=6, write_content_size=False)
-        self.templates = []
+        self.templates, self.anchors = [], []
         for name, texts in templates.items():
             for text in texts:
                 raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.templates.append((name, text, [w.lower() for w in WORD.findall(text)], len(self.plain.compress(text.lower().encode())),
+                found = list(WORD.finditer(text))
+                at = self.hinted(text, [m.start() for m in found])
+                if not at:
+                    raise ValueError(f"a template of {name} has no word by which it could be found")
+                self.templates.append((name, [m.group().lower() for m in found], len(self.plain.compress(text.lower().encode())),
                                        zstandard.ZstdCompressor(level=6, dict_data=raw, write_content_size=False)))
-        self.hint = re.compile(HINT)
+                self.anchors.append(at)
+        self.reach = max((len(t[1]) for t in self.templates), default=0) + SLACK
         self.memory: dict[str, list[tuple]] = {}
+        self.used = 0
+
+    def hinted(self, text: str, starts: list[int]) -> list[int]:
+        """Numbers of the words in which hints begin."""
+        return sorted({max(bisect_right(starts, hit.start()) - 1, 0) for hit in self.hint.finditer(text)}) if starts else []
+
+    def stretches(self, text: str) -> Iterator[tuple[list[tuple[int, int]], list[int]]]:
+        """Words (start, end) and hints (numbers of words) of stretches whose windows touch no other stretch's."""
+        words = [m.span() for m in WORD.finditer(text)]
+        hints = self.hinted(text, [w[0] for w in words])
+        low = 0
+        for k in range(1, len(hints) + 1):
+            if k == len(hints) or hints[k] - hints[k - 1] > 2 * self.reach:
+                first, last = max(0, hints[low] - self.reach), min(len(words), hints[k - 1] + self.reach + 1)
+                yield words[first:last], [h - first for h in hints[low:k]]
+                low = k
+
+    def reductions(self, block: str, words: list[tuple[int, int]], starts: dict[int, set[int]]) -> list[tuple]:
+        """(bytes taken off, share of the template, template, start) of windows, the largest first; ``starts`` by template."""
+        out, sizes = [], {}
+        for i, places in starts.items():
+            _, wanted, own, helped = self.templates[i]
+            for start in places:
+                low, high = max(start, 0), min(start + len(wanted), len(words))
+                if low >= high:
+                    continue
+                raw = block[words[low][0]:words[high - 1][1]].lower().encode()
+                if (low, high) not in sizes:
+                    sizes[low, high] = len(self.plain.compress(raw))
+                saved = sizes[low, high] - len(helped.compress(raw))
+                if saved >= self.least * own:
+                    out.append((saved, saved / max(own, 1), i, start))
+        return sorted(out, key=lambda x: (-x[0], -x[1], x[2], x[3]))
+
+    def difference(self, plain: list[str], i: int, start: int) -> tuple | None:
+        """(begin, end, share of equal words, differences) of a template at about a place, if enough of its words stand there in order."""
+        wanted = self.templates[i][1]
+        low, high = max(0, start - len(wanted) // 4 - SLACK), min(len(plain), start + len(wanted) + len(wanted) // 4 + SLACK)
+        core = difflib.SequenceMatcher(None, plain[low:high], wanted, autojunk=False).find_longest_match()
+        if not core.size:
+            return None
+        first, last = max(low, low + core.a - core.b - SLACK), min(high, low + core.a + len(wanted) - core.b + SLACK)
+        runs = [b for b in difflib.SequenceMatcher(None, plain[first:last], wanted, autojunk=False).get_matching_blocks() if b.size]
+        begin, end = first + runs[0].a, first + runs[-1].a + runs[-1].size
+        same = sum(b.size for b in runs) / max(len(wanted), end - begin)
+        if same < self.alike:
+            return None
+        changes = difflib.SequenceMatcher(None, wanted, plain[begin:end], autojunk=False).get_opcodes()
+        return begin, end, same, "; ".join(f"{' '.join(wanted[a:b])} -> {' '.join(plain[begin + c:begin + d])}" for kind, a, b, c, d in changes if kind != "equal")
+
+    def confirm(self, block: str, words: list[tuple[int, int]], ranked: list[tuple]) -> list[tuple]:
+        """(license, start, end, share, similarity, differences) of the ranked windows that are what they seem, without overlaps."""
+        plain, kept, seen = [block[a:b].lower() for a, b in words], [], set()
+        for _, share, i, start in ranked:
+            place = self.difference(plain, i, start)
+            if place is None or place[:2] in seen:
+                continue
+            seen.add(place[:2])
+            begin, end, same, text = place
+            if all(end <= k[0] or begin >= k[1] for k in kept):
+                kept.append((begin, end, self.templates[i][0], share, same, text))
+        return [(name, words[begin][0], words[end - 1][1], share, same, text) for begin, end, name, share, same, text in sorted(kept)]
 
-    def blocks(self, text: str) -> Iterator[tuple[int, int]]:
-        """Stretches round the hints, from word to word; touching ones are one."""
-        now = None
-        for hit in self.hint.finditer(text):
-            low, high = max(0, hit.start() - BEFORE), min(len(text), hit.end() + AFTER)
-            while low and not text[low - 1].isspace():
-                low -= 1
-            while high < len(text) and not text[high].isspace():
-                high += 1
-            if now and low <= now[1] and high - now[0] <= 16 * (BEFORE + AFTER):
-                now = (now[0], high)
-            else:
-                if now:
-                    yield now
-                now = (low, high)
-        if now:
-            yield now
-
-    def measure(self, place: str, i: int) -> float:
-        """Share of the template that it takes off the place's compressed size."""
-        raw, (_, _, _, own, helped) = place.lower().encode(), self.templates[i]
-        return (len(self.plain.compress(raw)) - len(helped.compress(raw))) / max(own, 1)
-
-    def confirm(self, block: str) -> list[tuple]:
+    def judge(self, block: str, words: list[tuple[int, int]], hints: list[int]) -> list[tuple]:
         found = self.memory.get(block)
         if found is None:
-            words = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(block)]
-            found = []
-            for i in range(len(self.templates)):
-                found += self._align(block, words, i)
-            # of findings on the same words the more alike, then the longer, then the more reduced one stays
-            found.sort(key=lambda f: (-f[4], -(f[2] - f[1]), f[1], -f[3], f[0]))
-            kept: list[tuple] = []
-            for f in found:
-                if all(f[2] <= k[1] or f[1] >= k[2] for k in kept):
-                    kept.append(f)
-            found = sorted(kept, key=lambda f: f[1])
-            if len(self.memory) >= MEMORY:
+            starts = {i: {h - a for h in hints for a in anchors} for i, anchors in enumerate(self.anchors)}
+            found = self.confirm(block, words, self.reductions(block, words, starts))
+            self.used += len(block) + 200 * (1 + len(found))
+            if self.used > MEMORY_BYTES:
                 self.memory.clear()
+                self.used = len(block) + 200 * (1 + len(found))
             self.memory[block] = found
         return found
 
-    def _align(self, block: str, words: list[tuple], i: int) -> list[tuple]:
-        """Findings of one template: places where its words stand in order, with what differs."""
-        name, _, wanted, _, _ = self.templates[i]
-        out, left = [], [(0, len(words))]
-        plain = [w[2] for w in words]
-        need, known = Counter(wanted), set(wanted)
-        while left:
-            low, high = left.pop()
-            # a place has at least this share of the template's words
-            if sum((Counter(w for w in plain[low:high] if w in known) & need).values()) < self.alike * len(wanted):
-                continue
-            match = difflib.SequenceMatcher(None, plain[low:high], wanted, autojunk=False)
-            core = match.find_longest_match()
-            if core.size < max(2, len(wanted) // 6):
-                continue
-            first = max(0, core.a - core.b - 2)
-            last = min(high - low, core.a + len(wanted) - core.b + 2)
-            near = difflib.SequenceMatcher(None, plain[low + first:low + last], wanted, autojunk=False)
-            runs = [b for b in near.get_matching_blocks() if b.size]
-            begin, end = low + first + runs[0].a, low + first + runs[-1].a + runs[-1].size
-            alike = sum(b.size for b in runs) / max(len(wanted), end - begin)
-            share = self.measure(block[words[begin][0]:words[end - 1][1]], i) if alike >= self.alike else 0.0
-            if alike >= self.alike and share >= self.least:
-                changes = difflib.SequenceMatcher(None, wanted, plain[begin:end], autojunk=False).get_opcodes()
-                text = "; ".join(f"{' '.join(wanted[a:b])} -> {' '.join(plain[begin + c:begin + d])}" for kind, a, b, c, d in changes if kind != "equal")
-                out.append((name, words[begin][0], words[end - 1][1], share, alike, text))
-            else:
-                begin, end = low + core.a, low + core.a + core.size
-            left += [(low, begin), (end, high)]
-        return out
-
     def __call__(self, text: str) -> list[dict]:
         out = []
-        for low, high in self.blocks(text):
-            for name, start, end, share, alike, changes in self.confirm(text[low:high]):
+        for words, hints in self.stretches(text):
+            low = words[0][0]
+            for name, start, end, share, alike, changes in self.judge(text[low:words[-1][1]], [(a - low, b - low) for a, b in words], hints):
                 out.append({"license": name, "start": low + start, "end": low + end, "reduction": share, "similarity": alike, "differences": changes})
         return out
 
@@ -171,4 +182,4 @@ def scan(documents: DataFrame, templates: dict[str, list[str]] | None = None, le
     text = F.col("text").cast("string")
     rows = documents.select(F.when(text.rlike(HINT), text).alias("text"), "doc_id")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scan(templates or TEMPLATES, least, alike), f"doc_id {kind}, found {FOUND}")
+    return in_arrow(rows, _scan(templates or TEMPLATES, least, alike), f"doc_id {kind}, found {FOUND}")
