@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, in_arrow
 from .textblocks import RunHash, blocks, rows_of, spans
 
 WORD_BYTES = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -140,7 +140,7 @@ def build_index(documents: DataFrame, terms: Terms, gap: int) -> DataFrame:
     """The stored positional index of whole documents (doc_id, text) for the given terms."""
     shared = documents.sparkSession.sparkContext.broadcast(terms)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cut_lineage(rows.mapInArrow(_index(shared, gap), SEGMENT))
+    return cut_lineage(in_arrow(rows, _index(shared, gap), SEGMENT))
 
 
 def _members(values: np.ndarray, ascending: np.ndarray, slop: int) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pyspark.sql.types import StructType
 
-from .common import cut_lineage
+from .common import cut_lineage, in_arrow
 from .textblocks import blocks
 
 BUCKET_BITS = 15
@@ -121,7 +121,7 @@ class Model:
     def margins(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Scaled margin of each text and bit, and each text's number of n-grams."""
         sums, sizes = np.zeros((len(column), self.code.shape[1])), np.zeros(len(column), np.int64)
-        for low, high, rows, data in blocks(column, max(1 << 16, (1 << 24) // max(self.code.shape[1], 8))):
+        for low, high, rows, data in blocks(column, max(1 << 16, (1 << 21) // max(self.code.shape[1], 8))):
             owner = np.repeat(np.arange(high - low), np.diff(rows))
             for start, bucket in grams(data, rows):
                 if len(start):
@@ -228,7 +228,7 @@ def _numbered(place):
 def fit(examples: DataFrame) -> Model | None:
     """Learn from rows (text, lang); rows without text or lang are left out. None if there is nothing to learn."""
     rows = examples.filter("text IS NOT NULL AND lang IS NOT NULL").select(_text().alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = cut_lineage(rows.mapInArrow(_counts, "lang STRING, bucket INT, n BIGINT").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    counts = cut_lineage(in_arrow(rows, _counts, "lang STRING, bucket INT, n BIGINT").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     docs = {r["lang"]: r["n"] for r in counts.filter("bucket = -1").collect()}
     languages = sorted(docs)
     if not languages:
@@ -257,7 +257,7 @@ def fit(examples: DataFrame) -> Model | None:
             high[r["bit"]], low[r["bit"]] = min(high[r["bit"]], r["high"]), max(low[r["bit"]], r["low"])
         model.centre, model.scale = (high + low) / 2, np.maximum((high - low) / 2, 1e-6)
         right = np.zeros(code.shape)
-        for r in rows.mapInArrow(_right(send(model)), "lang INT, bit INT, n BIGINT").groupBy("lang", "bit").agg(F.sum("n").alias("n")).collect():
+        for r in in_arrow(rows, _right(send(model)), "lang INT, bit INT, n BIGINT").groupBy("lang", "bit").agg(F.sum("n").alias("n")).collect():
             right[r["lang"], r["bit"]] = r["n"]
         model.trust = np.maximum(right / np.array([docs[x] for x in languages])[:, None], 0.01)
     return model
@@ -273,7 +273,7 @@ def predict(documents: DataFrame, model: Model | None, keep: list[Column], near:
         shared = documents.sparkSession.sparkContext.broadcast(model)
         out = StructType.fromDDL("lang_pred STRING, score DOUBLE, ambiguous BOOLEAN")
         out = StructType([*out, rows.schema["_kept"], rows.schema["_lettered"]])
-        named = rows.select("text", "_kept", "_lettered").mapInArrow(_predict(shared, near, few), out)
+        named = in_arrow(rows.select("text", "_kept", "_lettered"), _predict(shared, near, few), out)
     return named.select(F.when(F.col("_lettered"), F.col("lang_pred")).otherwise("und").alias("lang_pred"),
                         F.when(F.col("_lettered"), F.col("score")).otherwise(0.0).alias("score"), "ambiguous", "_kept.*")
 

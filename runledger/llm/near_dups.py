@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, in_arrow
 from .textblocks import RunHash, blocks, mix, rows_of, spans
 
 WORD_BYTES = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
@@ -255,7 +255,7 @@ def _linkable(active: DataFrame, texts: DataFrame, width: int, percent: int) ->
     union at least n + m - s, where m is the smallest size of a partner.  Adds ``s``.
     """
     wanted = active.select("cls").distinct()
-    alone = (texts.join(wanted, "cls", "left_semi").mapInArrow(_shared(width), "cls BINARY, shingle BIGINT")
+    alone = (in_arrow(texts.join(wanted, "cls", "left_semi"), _shared(width), "cls BINARY, shingle BIGINT")
              .groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("cls").alias("cls")).filter("_n = 1")
              .groupBy("cls").agg(F.count(F.lit(1)).alias("_alone")))
     least = active.groupBy("key").agg(F.min("n").alias("_least"))
@@ -274,7 +274,7 @@ def groups(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """doc_id, text_hash, n_shingles, component_id, kept for each document; kept: its id is the component's."""
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    sets = cut_lineage(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+    sets = cut_lineage(in_arrow(rows.withColumn("text_hash", F.xxhash64("text")),
         _sketch(width), f"doc_id {kind}, text_hash BIGINT, n_shingles BIGINT, cls BINARY, bands ARRAY<BIGINT>"))
     classes = cut_lineage(sets.filter("cls IS NOT NULL").groupBy("cls").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage, fold, slots
+from .common import cut_lineage, fold, in_arrow, slots
 from .textblocks import RunHash, blocks, rows_of, spans
 
 BUCKET_BITS = 17
@@ -224,7 +224,7 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, blo
                 .join(marks, "doc_id")
                 .select("text", "good", (fold("doc_id", FOLDS) == CURVE_FOLD).alias("curve"),
                         F.xxhash64(F.lit(11), F.col("doc_id").cast("string"), "text").alias("key"), F.monotonically_increasing_id().alias("row")))
-    stored = cut_lineage(examples.mapInArrow(_features, "at BINARY, good BOOLEAN, curve BOOLEAN, key BIGINT, row BIGINT"))
+    stored = cut_lineage(in_arrow(examples, _features, "at BINARY, good BOOLEAN, curve BOOLEAN, key BIGINT, row BIGINT"))
     learn = stored.filter("NOT curve")
     counts = learn.select("at", "good").mapInArrow(_counts, "good INT, bucket INT, n BIGINT").groupBy("good", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((2, BUCKETS + 1))
@@ -257,5 +257,5 @@ def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, blo
         model = Model(np.zeros(BUCKETS), 0.0, 0.0, float(np.log(share / (1 - share))))
     rows = documents.select(F.col("text").cast("string").alias("text"), "doc_id", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(context.broadcast((model, ratios))), f"doc_id {kind}, held_out BOOLEAN, score DOUBLE")
+    scored = in_arrow(rows, _score(context.broadcast((model, ratios))), f"doc_id {kind}, held_out BOOLEAN, score DOUBLE")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
