@@ -518,9 +518,8 @@ def file_catalog_rows(spark, d):
 
 @query(sql(["vfiles"], "SELECT path, size FROM vfiles WHERE path LIKE 'src1/%' AND name LIKE '%.parquet' AND size >= 500"))
 def file_catalog_filtered(spark, d):
-    """A walk that opens one folder's tree: the filters are the source's."""
-    walked = filetree.file_catalog(spark, _document_files(spark, d))
-    return walked.filter("path LIKE 'src1/%' AND name LIKE '%.parquet' AND size >= 500").select("path", "size")
+    """A walk that opens one folder's tree only."""
+    return filetree.file_catalog(spark, _document_files(spark, d), below="src1", pattern="*.parquet", min_size=500).select("path", "size")
 
 
 @query(sql(["vfiles"], "SELECT path, size, md5(content) AS md5 FROM vfiles"))
@@ -540,12 +539,13 @@ def duplicate_cascade(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_totalprice > 200000 AND o_orderkey % 2 = 0")
 def read_feather(spark, d):
-    """Orders written as Arrow files; three columns of some record batches read back, the price filter by the source."""
+    """Orders written as Arrow files; three columns of some record batches read back, the price bound by the source."""
     path = scratch_path(spark, "table") + ".feather"
     orders = table(spark, d, "orders")
     tables.write_feather(orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")), path, 1000)
-    read = tables.read_table(spark, path, columns=["o_orderkey", "o_totalprice", "o_orderdate"], share=1 << 18)
-    return read.filter("o_totalprice > 200000 AND o_orderkey % 2 = 0").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+    read = tables.read_table(spark, path, columns=["o_orderkey", "o_totalprice", "o_orderdate"], where=[("o_totalprice", ">", 200000)],
+                             share=1 << 18)
+    return read.filter("o_orderkey % 2 = 0").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
 @query("""SELECT p_partkey AS id, path, type, text, number, flag FROM (

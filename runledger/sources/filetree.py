@@ -1,24 +1,24 @@
 """Catalog of a shared file tree as a Spark data source, hidden names and folders included; contents and digests of its files.
 
-Filters on path, name, size and is_dir reach the walk: folders that no wanted path can lie below are never opened, and names are judged
-before anything is asked about a file.
+A walk takes bounds of its own (a folder, a name pattern, sizes): folders that nothing wanted can lie below are never opened, and names
+are judged before anything is asked about a file.  They are arguments, not filters that Spark pushes down: Spark keeps one reader for all
+uses of a table from a Python source, so filters pushed by one use would also hold for the others.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
-import operator
 import os
-from collections.abc import Callable, Iterable, Iterator
+import re
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
-    StringContains, StringEndsWith, StringStartsWith)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.columns import suffix
@@ -50,54 +50,36 @@ def _utc(seconds: float | None) -> datetime | None:
     return None if seconds is None else datetime.fromtimestamp(seconds, timezone.utc)
 
 
-TESTS: dict[type, Callable] = {
-    EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le,
-    In: lambda x, values: x in values, StringStartsWith: str.startswith, StringEndsWith: str.endswith, StringContains: lambda x, part: part in x}
+class Wanted:
+    """The bounds of a walk, from the source's options."""
+
+    def __init__(self, options: dict):
+        self.folder = options.get("below", "").strip("/")
+        self.name = fnmatch.translate(options["pattern"]) if "pattern" in options else None
+        self.least, self.most = (int(options[k]) if k in options else None for k in ("min_size", "max_size"))
 
+    def inside(self, path: str) -> bool:
+        return not self.folder or path.startswith(f"{self.folder}/")
 
-class Wanted:
-    """The pushed filters of a walk, by column."""
-
-    def __init__(self) -> None:
-        self.tests: dict[str, list[tuple[Callable, object]]] = {"path": [], "name": [], "size": [], "is_dir": []}
-        self.starts: list[str] = []
-        self.paths: list[set[str]] = []
-
-    def add(self, test: Filter) -> bool:
-        """Whether the walk can judge the filter itself."""
-        kind, column = type(test), test.attribute[0] if len(getattr(test, "attribute", ())) == 1 else None
-        if kind not in TESTS or column not in self.tests:
-            return False
-        value = test.value
-        if value is None or kind is In and None in value:
-            return False
-        self.tests[column].append((TESTS[kind], value))
-        if column == "path" and kind is StringStartsWith:
-            self.starts.append(value)
-        if column == "path" and kind in (EqualTo, In):
-            self.paths.append({value} if kind is EqualTo else set(value))
-        return True
-
-    def fits(self, **values: object) -> bool:
-        return all(value is not None and test(value, wanted) for name, value in values.items() for test, wanted in self.tests[name])
-
-    def below(self, folder: str) -> bool:
+    def named(self, name: str) -> bool:
+        return self.name is None or re.fullmatch(self.name, name) is not None
+
+    def sized(self, is_dir: bool, size: int | None) -> bool:
+        """Bounds of size hold for files; with one, folders are not listed."""
+        if self.least is None and self.most is None:
+            return True
+        return not is_dir and size is not None and (self.least or 0) <= size and (self.most is None or size <= self.most)
+
+    def open(self, folder: str) -> bool:
         """Whether something wanted can lie below a folder (its path from the root)."""
-        inside = "" if folder == "." else f"{folder}/"
-        return (all(inside.startswith(start) or start.startswith(inside) for start in self.starts)
-                and all(any(path.startswith(inside) for path in paths) for paths in self.paths))
+        return not self.folder or f"{self.folder}/".startswith(f"{folder}/") or f"{folder}/".startswith(f"{self.folder}/")
 
 
 class FileTreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
         self.tasks = int(options.get("partitions", "64"))
-        self.wanted = Wanted()
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for test in filters:
-            if not self.wanted.add(test):
-                yield test
+        self.wanted = Wanted(options)
 
     def partitions(self):
         """Open the shallowest folders until a few per task can be dealt out; only those are listed here."""
@@ -108,7 +90,7 @@ class FileTreeReader(DataSourceReader):
         while waiting and len(waiting) < 4 * self.tasks:
             folder = waiting.pop(0)
             opened.append(folder)
-            waiting.extend(e.path for e in _children(system, folder) if _is_folder(system, e) and self.wanted.below(os.path.relpath(e.path, base)))
+            waiting.extend(e.path for e in _children(system, folder) if _is_folder(system, e) and self.wanted.open(os.path.relpath(e.path, base)))
         shares = [(f, False) for f in opened] + [(f, True) for f in waiting]
         return [Folders(shares[i::self.tasks]) for i in range(min(self.tasks, len(shares)))]
 
@@ -122,16 +104,16 @@ class FileTreeReader(DataSourceReader):
                 if entry.type not in (fs.FileType.File, fs.FileType.Directory):
                     continue             # a dangling link: neither file nor folder
                 is_dir, path = entry.type == fs.FileType.Directory, os.path.relpath(entry.path, base)
-                if deep and _is_folder(system, entry) and wanted.below(path):
+                if deep and _is_folder(system, entry) and wanted.open(path):
                     stack.append((entry.path, True))
-                if not wanted.fits(path=path, name=entry.base_name, is_dir=is_dir):
+                if not (wanted.inside(path) and wanted.named(entry.base_name)):
                     continue
                 created, mode = None, None
                 if local:
                     stat = os.stat(entry.path)
                     created, mode = stat.st_ctime, oct(stat.st_mode & 0o777)
                 size = stat.st_size if local else entry.size
-                if not wanted.fits(size=size):
+                if not wanted.sized(is_dir, size):
                     continue
                 mtime = stat.st_mtime if local else entry.mtime_ns and entry.mtime_ns / 1e9
                 yield (path, entry.base_name, is_dir, size, _utc(mtime), _utc(created), mode)
@@ -158,15 +140,20 @@ class FileTreeSource(DataSource):
         return FileTreeReader(self.options)
 
 
-def file_catalog(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
+def file_catalog(spark: SparkSession, root: str, partitions: int | None = None, below: str | None = None, pattern: str | None = None,
+                 min_size: int | None = None, max_size: int | None = None) -> DataFrame:
     """(path, name, ext, is_dir, size, mtime, created_at, permissions) of everything below ``root``.
 
-    ``root`` is a folder every executor sees: a shared mount, or a URI that Arrow can open.
+    ``root`` is a folder every executor sees: a shared mount, or a URI that Arrow can open.  ``below`` (a folder in it), ``pattern`` (of
+    names) and inclusive sizes (of files; folders are then left out) bound the walk itself.
     """
     spark.dataSource.register(FileTreeSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     partitions = partitions or 2 * spark.sparkContext.defaultParallelism
-    listed = spark.read.format("filetree").option("partitions", partitions).load(root)
+    reader = spark.read.format("filetree").option("partitions", partitions)
+    for name, value in (("below", below), ("pattern", pattern), ("min_size", min_size), ("max_size", max_size)):
+        if value is not None:
+            reader = reader.option(name, value)
+    listed = reader.load(root)
     ext = F.when(F.col("is_dir"), "").otherwise(suffix(F.col("name")))
     return listed.select("path", "name", ext.alias("ext"), "is_dir", "size", "mtime", "created_at", "permissions")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import operator
 import posixpath
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,16 +14,15 @@ import yaml
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 from .filetree import open_root
 
-ROW_TESTS: dict[type, Callable] = {
-    EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal,
-    In: lambda column, values: pc.is_in(column, pa.array([v for v in values if v is not None], column.type)), StringStartsWith: pc.starts_with}
+ROW_TESTS: dict[str, Callable] = {"==": pc.equal, "!=": pc.not_equal, ">": pc.greater, ">=": pc.greater_equal, "<": pc.less, "<=": pc.less_equal,
+                                  "in": lambda column, values: pc.is_in(column, pa.array(values, column.type))}
+OPERATORS = {"==": "eq", "!=": "ne", ">": "gt", ">=": "ge", "<": "lt", "<=": "le"}
 READABLE = [".csv", ".tsv", ".json", ".jsonl", ".parquet", ".feather"]
 
 
@@ -31,12 +31,13 @@ def extension(path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str | list[str], schema=None, quoted_breaks: bool = False, columns: list[str] | None = None,
-               share: int = 16 << 20) -> DataFrame:
+               where: list[tuple] | None = None, share: int = 16 << 20) -> DataFrame:
     """A table from .csv, .tsv, .json, .jsonl, .parquet or .feather files (globs and lists work).
 
     Give ``schema`` for big text inputs: without it Spark reads them once more to infer types.
-    ``quoted_breaks`` allows line ends inside quoted CSV fields; such files are not split.  ``columns`` reads only these.  Feather files
-    are split into shares of about ``share`` bytes at their record batches.
+    ``quoted_breaks`` allows line ends inside quoted CSV fields; such files are not split.  ``columns`` reads only these, ``where`` only rows
+    that fit all of (column, operator, value) with operators == != > >= < <= in.  Feather files are split into shares of about ``share``
+    bytes at their record batches, and judge both themselves.
     """
     paths = [path] if isinstance(path, str) else list(path)
     kinds = {extension(p) for p in paths}
@@ -44,8 +45,10 @@ def read_table(spark: SparkSession, path: str | list[str], schema=None, quoted_b
         raise ValueError(f"can't read dataset type: {', '.join(sorted(kinds))}")
     kind = kinds.pop()
     if kind == ".feather":
-        return _read_feather(spark, paths, schema, columns, share)
+        return _read_feather(spark, paths, schema, columns, where or [], share)
     table = _read_text_or_parquet(spark, paths, kind, schema, quoted_breaks)
+    for name, test, value in where or []:
+        table = table.filter(F.col(name).isin(value) if test == "in" else getattr(operator, OPERATORS[test])(F.col(name), value))
     return table if columns is None else table.select(columns)
 
 
@@ -67,21 +70,13 @@ class Batches(InputPartition):
 
 
 class FeatherReader(DataSourceReader):
-    """Record batches of Arrow files: only the wanted columns are decoded, and pushed filters drop rows before they reach Spark."""
+    """Record batches of Arrow files: only the wanted columns are decoded, and bounds drop rows before they reach Spark."""
 
     def __init__(self, options: dict, schema: StructType):
         self.paths = json.loads(options["paths"])
         self.share = int(options.get("bytes_per_partition", 16 << 20))
         self.names = schema.fieldNames()
-        self.kept: list[tuple[type, str, object]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for test in filters:
-            name = test.attribute[0] if len(getattr(test, "attribute", ())) == 1 else None
-            if type(test) in ROW_TESTS and name in self.names and test.value is not None:
-                self.kept.append((type(test), name, test.value))
-            else:
-                yield test
+        self.where = json.loads(options.get("where", "[]"))
 
     def partitions(self):
         """Shares of about ``bytes_per_partition`` by the files' sizes; no file is opened for this."""
@@ -100,14 +95,15 @@ class FeatherReader(DataSourceReader):
         system, base = open_root(partition.path)
         with system.open_input_file(base) as source:
             names = pa.ipc.open_file(source).schema.names
-            wanted = [names.index(n) for n in self.names]
+            bounds = [name for name, _, _ in self.where]
+            wanted = {names.index(n) for n in [*self.names, *bounds]}
             file = pa.ipc.open_file(source, options=pa.ipc.IpcReadOptions(included_fields=sorted(wanted)))
             for k in range(partition.first, file.num_record_batches, partition.of):
-                batch = file.get_batch(k).select(self.names)
-                for kind, name, value in self.kept:
-                    batch = batch.filter(ROW_TESTS[kind](batch.column(name), value))
+                batch = file.get_batch(k)
+                for name, test, value in self.where:
+                    batch = batch.filter(ROW_TESTS[test](batch.column(name), value))
                 if len(batch):
-                    yield batch
+                    yield batch.select(self.names)
 
 
 def _address(path: str, found: str) -> str:
@@ -126,10 +122,9 @@ class FeatherSource(DataSource):
         return FeatherReader(self.options, schema)
 
 
-def _read_feather(spark: SparkSession, paths: list[str], schema, columns: list[str] | None, share: int) -> DataFrame:
+def _read_feather(spark: SparkSession, paths: list[str], schema, columns: list[str] | None, where: list[tuple], share: int) -> DataFrame:
     """Feather files through Arrow, split at record batches; without a schema only the first file's header is read for it."""
     spark.dataSource.register(FeatherSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     places = [place for path in paths for place in _matches(path)]
     if schema is None:
         share_of = FeatherReader({"paths": json.dumps(places)}, StructType([])).partitions()
@@ -143,7 +138,7 @@ def _read_feather(spark: SparkSession, paths: list[str], schema, columns: list[s
     if columns is not None:
         schema = StructType([schema[c] for c in columns])
     return (spark.read.format("arrowfiles").schema(schema).option("paths", json.dumps(places))
-            .option("bytes_per_partition", share).load())
+            .option("bytes_per_partition", share).option("where", json.dumps(where)).load())
 
 
 def _matches(path: str) -> list[str]:
