@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.columns import is_integral, is_numeric, kolmogorov_p, value_of
 from ..functions.fixed_values import FREQUENCY_DISTANCE_LIMIT, KS_ALPHA
-from ..session import cut_lineage, local_table
+from ..session import local_table
 from .ranks import running_total
 
 # Real values carry a mark, so no text can be taken for the missing one.
@@ -95,13 +95,13 @@ def drift_numeric(reference: DataFrame, candidate: DataFrame, columns: list[str]
                   counted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(column, n, m, ks_statistic, p_value): two-sample KS of every column at once.
 
-    Distinct values are counted, stored and spread over range slices; inside a slice, window sums give its totals and the places where
+    Distinct values are counted and spread over range slices; inside a slice, window sums give its totals and the places where
     its own running gap peaks.  Adding the totals of the slices before it gives the gap of the whole column, so no slice ever needs the
     others and a column may be any number of slices.
     """
     plan = plan_columns(reference.schema, candidate.schema, columns)
     sizes = side_sizes(reference, candidate, plan, counted) if sizes is None else sizes
-    values = cut_lineage(_compared(reference, candidate, plan, NUMBER_KEYS, counted))
+    values = _compared(reference, candidate, plan, NUMBER_KEYS, counted)
     sized = values.join(sizes.filter("n > 0 AND m > 0"), "column")
     inside = Window.partitionBy("column", "part").orderBy("whole", "real").rowsBetween(Window.unboundedPreceding, 0)
     running = (sized.repartitionByRange(*NUMBER_KEYS).withColumn("part", F.spark_partition_id())
