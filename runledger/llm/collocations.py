@@ -4,9 +4,9 @@
   only where both parts one word shorter may be frequent; hashes that reach the minimum set bits of a map of at most
   ``MAP_BITS``, which is broadcast.  Collisions only let more phrases through.  Phrases that pass are named once per block.
 * Candidates are dealt by hash into double-array tries of at most about ``TRIE_BYTES``.  A word is two digits of the trie's
-  alphabet.  Each trie is built in one task, broadcast, and run over all texts: numpy advances the states of all positions of a
-  block at once, digit by digit, accepting states are counted by bincount per task, and Spark sums the tasks' counts.  A trie costs
-  one scan, so the number of scans grows with the candidates, and what is broadcast does not.
+  alphabet.  Each trie is built in one task; ``SCAN_TRIES`` at a time are broadcast and run over all texts: numpy advances the states of
+  all positions of a block at once, digit by digit, accepting states are counted by bincount per task, and Spark sums the tasks' counts.
+  The number of scans grows with the candidates, and what is broadcast does not.
 * Scores are exact integers: floor(1000000 a a / (l r)) in decimals of 38 digits.
 
 Texts that are null or empty have no words; a null language is ``und``.  Repeated rows and ids count as often as they occur; doc_id is
@@ -30,7 +30,9 @@ from .textblocks import RunHash, blocks, mix, rows_of, spans
 
 SCALE = 1_000_000
 MAP_BITS = 1 << 27
-TRIE_BYTES = 48 << 20
+#: Where a hash's three places in a map begin.
+PLACES = (0, 18, 36)
+TRIE_BYTES, SCAN_TRIES = 24 << 20, 3
 #: Estimated bytes of a trie for each candidate besides its text.
 NODE_BYTES = 48
 BUFFER = 1 << 21
@@ -99,8 +101,12 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(len(bits) * 64 - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    """Whether all places of each hash have their bit."""
+    out = np.ones(len(hashes), bool)
+    for shift in PLACES:
+        at = (hashes >> np.uint64(shift)) & np.uint64(len(bits) * 64 - 1)
+        out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
 
 
 class Levels:
@@ -163,12 +169,13 @@ def _level(maps: Broadcast, count: bool, name: bool) -> Callable:
 
 
 def _map(hashes: DataFrame) -> np.ndarray:
-    """The hashes' bits as 64-bit words: sixteen bits for each hash, MAP_BITS at most. Words with a bit come to the driver."""
-    size = max(64, min(MAP_BITS, 1 << (16 * hashes.count()).bit_length()))
-    at = F.col("hash").bitwiseAND(size - 1)
-    found = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).toArrow()
+    """A Bloom filter of the hashes as 64-bit words: 32 bits or more for each hash, MAP_BITS at most. Words with a bit come to the driver."""
+    size = max(64, min(MAP_BITS, 1 << (32 * hashes.count()).bit_length()))
+    at = F.explode(F.array(*[F.shiftrightunsigned("hash", shift).bitwiseAND(size - 1) for shift in PLACES])).alias("at")
+    words_ = hashes.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+    found = words_.toArrow()
     bits = np.zeros(size // 64, np.uint64)
-    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return bits
 
 
@@ -291,19 +298,30 @@ def _built(table: pa.Table) -> pa.Table:
 
 def _found(shared: Broadcast, longest: int) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, held, size = Trie(*shared.value), [], 0
-        total = np.zeros(trie.phrases, np.int64)
+        tries = {chunk: Trie(*parts) for chunk, parts in shared.value.items()}
+        total = {chunk: np.zeros(trie.phrases, np.int64) for chunk, trie in tries.items()}
+        held: dict[int, list[np.ndarray]] = {chunk: [] for chunk in tries}
+        waiting = 0
+
+        def add() -> None:
+            for chunk, found in held.items():
+                if found:
+                    total[chunk] += np.bincount(np.concatenate(found), minlength=len(total[chunk]))
+                found.clear()
+
         for batch in batches:
             for w in words(batch):
-                held += trie.found(w, longest)
-            size += sum(map(len, held))
-            if size >= BUFFER:
-                total += np.bincount(np.concatenate(held), minlength=trie.phrases)
-                held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=trie.phrases)
-        number = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(total[number])], ["number", "n"])
+                for chunk, trie in tries.items():
+                    found = trie.found(w, longest)
+                    held[chunk] += found
+                    waiting += sum(map(len, found))
+            if waiting >= BUFFER:
+                add()
+                waiting = 0
+        add()
+        for chunk, n in total.items():
+            number = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), chunk)), pa.array(number), pa.array(n[number])], ["chunk", "number", "n"])
     return work
 
 
@@ -333,14 +351,14 @@ def frequencies(rows: DataFrame, counted: DataFrame, least: int, longest: int) -
     built = cut_lineage(candidates.withColumn("chunk", F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(chunks, 1))))
                         .groupBy("chunk").applyInArrow(_built, BUILT))
     sums = spark.createDataFrame([], "chunk BIGINT, number BIGINT, a BIGINT")
-    for chunk in range(chunks):
-        row = built.filter((F.col("chunk") == chunk) & F.col("number").isNull()).select("base", "check", "accept", "bits", "langs", "vocabulary").toArrow()
-        if not row.num_rows:
-            continue
-        arrays = [np.frombuffer(row.column(c)[0].as_buffer(), np.int32) for c in ("base", "check", "accept")]
-        shared = spark.sparkContext.broadcast((*arrays, row.column("bits")[0].as_py(), row.column("langs")[0].as_py(), row.column("vocabulary")[0].as_py()))
-        shards = in_arrow(rows, _found(shared, longest), "number BIGINT, n BIGINT")
-        sums = sums.unionByName(cut_lineage(shards.groupBy("number").agg(F.sum("n").alias("a"))).select(F.lit(chunk).cast("bigint").alias("chunk"), "number", "a"))
+    for low in range(0, chunks, SCAN_TRIES):
+        rows_ = built.filter(F.col("chunk").between(low, low + SCAN_TRIES - 1) & F.col("number").isNull()).select(
+            "chunk", "base", "check", "accept", "bits", "langs", "vocabulary").toArrow()
+        tries = {rows_.column("chunk")[k].as_py(): (*[np.frombuffer(rows_.column(c)[k].as_buffer(), np.int32) for c in ("base", "check", "accept")],
+                                                    *[rows_.column(c)[k].as_py() for c in ("bits", "langs", "vocabulary")]) for k in range(rows_.num_rows)}
+        if tries:
+            shards = in_arrow(rows, _found(spark.sparkContext.broadcast(tries), longest), "chunk BIGINT, number BIGINT, n BIGINT")
+            sums = sums.unionByName(cut_lineage(shards.groupBy("chunk", "number").agg(F.sum("n").alias("a"))))
     names = built.filter(F.col("number").isNotNull()).select("chunk", "number", "lang", "phrase")
     return cut_lineage(names.join(sums.filter(F.col("a") >= least), ["chunk", "number"]).select("lang", "phrase", "a"))
 
