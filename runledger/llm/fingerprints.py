@@ -130,7 +130,7 @@ def with_next(documents: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame
     guests = (placed.join(F.broadcast(hosts), ["_slice", "_key", "_hash"]).withColumn("_slice", F.col("_host")).withColumn("_guest", F.lit(True))
               .select(placed.columns))
     order = Window.partitionBy("_slice").orderBy("_guest", "_key", "_hash", "text")
-    return (placed.unionByName(guests).withColumn("next_text", F.lead("text").over(order)).filter(~F.col("_guest"))
+    return (placed.unionByName(guests).repartition(slices, "_slice").withColumn("next_text", F.lead("text").over(order)).filter(~F.col("_guest"))
             .select("doc_id", "text", "next_text"))
 
 
