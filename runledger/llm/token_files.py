@@ -3,7 +3,7 @@
 ``write_tokens`` sorts documents by id into ranges, one file each, and encodes inside the sorted ranges, so only texts are
 moved.  ``read_tokens`` reads stripes in parallel; a filter on doc_id prunes stripes and row groups by statistics and
 filters.  Encoding looks up the pieces between white space in a bounded table and lets the tokenizers library encode those it
-lacks; the result equals encoding the whole text.
+lacks; the result equals encoding the whole text.  The table is bounded by bytes.
 
 Order: ascending doc_id, null ids first, rows with equal ids by text.  A null text is empty: it has the end mark alone.  An
 empty table gives files without rows.
@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .common import cut_lineage, in_arrow
+
 PIECE = re.compile(r"\s*\S+|\s+")
 #: White space or separators of Unicode that are not ASCII white space; texts with one are encoded as a whole.
 UNSAFE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F,
                                             0x205F, 0x2060, 0x3000, 0xFEFF))) + "]")
 BYTES_PER_FILE = 64 << 20
-TABLE_PIECES, TABLE_WORDS = 1_000_000, 200_000
+#: Bytes of a worker's table of known pieces and words, and what an entry costs besides its text and ids.
+TABLE_BYTES, ENTRY_BYTES = 192 << 20, 140
 END_MARKS = frozenset(".,;:!?")
 LONG_PIECE = 48
 COLUMNS = "doc_id BIGINT, part INT, pos BIGINT, ids ARRAY<INT>"
@@ -40,7 +43,10 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes texts to little-endian 32-bit ids. A piece never depends on what stands before its white space."""
+    """Encodes texts to little-endian 32-bit ids. A piece never depends on what stands before its white space.
+
+    Three tables share one bound of bytes: pieces with their white space, words behind a single space, and the vocabulary's words.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,26 +57,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.letters = byte_letters()
+        self.space = self.letters[32]
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.pattern = regex.compile(PATTERN)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.used = 0
+        self.line_end = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
         """One word as the vocabulary's pattern cuts it."""
-        spelled = word.encode().decode("latin-1").translate(self.letters)
+        spelled = word.replace(" ", self.space) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
         four = self.four
         return b"".join([four[t.id] for t in self.tokenizer.model.tokenize(spelled)])
 
+    def _keep(self, table: dict[str, bytes], text: str, found: bytes) -> bytes:
+        """Remember what a piece or word gives; a full table starts anew."""
+        size = ENTRY_BYTES + (1 if text.isascii() else 3) * len(text) + len(found)
+        if self.used + size > TABLE_BYTES:
+            for full in (self.pieces, self.words, self.spaced):
+                full.clear()
+            self.used = 0
+        self.used += size
+        table[text] = found
+        return found
+
     def _known(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= TABLE_WORDS:
-                self.words.clear()
-            found = self.words[word] = self._word(word)
+            found = self._word(word) if len(word) > LONG_PIECE else self._keep(self.words, word, self._word(word))
         return found
 
     def _piece(self, piece: str) -> bytes:
@@ -83,16 +102,34 @@ class Encoder:
             found = (self.pieces.get(piece[:-1]) or self._piece(piece[:-1])) + self._known(piece[-1])
         else:
             found = b"".join(map(self._known, self.pattern.findall(piece)))
-        if len(self.pieces) >= TABLE_PIECES:
-            self.pieces.clear()
-        self.pieces[piece] = found
-        return found
+        return found if piece[0] == " " else self._keep(self.pieces, piece, found)
+
+    def _after(self, word: str) -> bytes:
+        """What follows a single space."""
+        if word[-1] in END_MARKS and word[:-1].isalpha() and len(word) <= LONG_PIECE:
+            found = (self.spaced.get(word[:-1]) or self._after(word[:-1])) + self._known(word[-1])
+        else:
+            found = self._piece(" " + word)
+        return found if len(word) > LONG_PIECE else self._keep(self.spaced, word, found)
 
     def __call__(self, text: str) -> bytes:
         if UNSAFE.search(text):
             return self.whole(text)
-        get, slow = self.pieces.get, self._piece
-        return b"".join([get(p) or slow(p) for p in PIECE.findall(text)])
+        if self.rough(text):
+            get, slow = self.pieces.get, self._piece
+            return b"".join([get(p) or slow(p) for p in PIECE.findall(text)])
+        # Words apart by single spaces, lines by single ends: a space belongs to the word behind it, a line's end is a token of its own.
+        lines, get, slow, head, first = [], self.spaced.get, self._after, self.pieces.get, self._piece
+        for line in text.split("\n"):
+            words = line.split(" ")
+            own = head(words[0]) or first(words[0])
+            lines.append(own + b"".join([get(w) or slow(w) for w in words[1:]]) if len(words) > 1 else own)
+        return self.line_end.join(lines)
+
+    def rough(self, text: str) -> bool:
+        """Whether white space is anything else than single spaces and line ends between words."""
+        return (not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+                or "\t" in text or "\r" in text or "\v" in text or "\f" in text)
 
 
 @lru_cache(1)
@@ -131,7 +168,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end: int = 0,
     cores = documents.sparkSession.sparkContext.defaultParallelism
     files = max(2 * cores, -(-size // bytes_per_file))
     ordered = rows.repartitionByRange(int(files), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    (ordered.mapInArrow(_encode(vocabulary, end), COLUMNS).write.option("compression", "zstd")
+    (in_arrow(ordered, _encode(vocabulary, end), COLUMNS).write.option("compression", "zstd")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
      .option("orc.row.index.stride", "1000").option("orc.stripe.size", str(16 << 20)).orc(path))
 
@@ -157,10 +194,8 @@ def manifest(tokens: DataFrame) -> DataFrame:
 
     A part's rows are numbered by ``pos``, so running sums stay inside a part; the parts' totals shift them.
     """
-    from .common import cut_lineage
-
-    rows = cut_lineage(tokens.select("doc_id", "part", "pos", "ids").mapInArrow(
-        _digest, "doc_id BIGINT, part INT, pos BIGINT, n_tokens BIGINT, ids_crc32 BIGINT"))
+    rows = cut_lineage(in_arrow(
+        tokens.select("doc_id", "part", "pos", "ids"), _digest, "doc_id BIGINT, part INT, pos BIGINT, n_tokens BIGINT, ids_crc32 BIGINT"))
     inside = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = (rows.groupBy("part").agg(F.sum("n_tokens").alias("_all"))
