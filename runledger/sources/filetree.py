@@ -14,7 +14,6 @@ import re
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -167,33 +166,95 @@ def stored_catalog(spark: SparkSession, root: str) -> DataFrame:
                         F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
-def file_contents(catalog: DataFrame, root: str, min_size: int = 0, max_size: int | None = None) -> DataFrame:
+def _dealt(files: DataFrame, *by: str) -> DataFrame:
+    """Names dealt to as many tasks as shuffles have.  The number is given: adaptive execution would put the few bytes of the names, and so
+    the reading of all files, into one task."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _in_shares(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs (first, end) of files that hold at most ``most`` bytes together, or one file."""
+    first, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > first and held + size > most:
+            yield first, k
+            first, held = k, 0
+        held += size
+    if sizes:
+        yield first, len(sizes)
+
+
+def file_contents(catalog: DataFrame, root: str, min_size: int = 0, max_size: int | None = None, most: int = 4 << 20) -> DataFrame:
     """Add ``content`` bytes to the files of a catalog within the size bounds.
 
-    Paths are spread over tasks first: one folder that holds most files does not keep one
-    task reading.  Files that cannot be read get NULL.
+    Paths are spread over tasks first: one folder that holds most files does not keep one task reading.  Batches hold at most ``most``
+    bytes, or one file; :func:`file_pieces` reads files that are too big to be one value.  Files that cannot be read get NULL.
     """
     files = catalog.filter(~F.col("is_dir") & (F.col("size") >= min_size))
     if max_size is not None:
         files = files.filter(F.col("size") <= max_size)
     schema = StructType([*files.schema.fields]).add("content", "binary")
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_root(root)
+
+        def read(path: str) -> bytes | None:
+            try:
+                with system.open_input_stream(f"{base}/{path}", compression=None) as handle:
+                    return handle.read()
+            except OSError:
+                return None
+
+        for batch in batches:
+            for first, end in _in_shares(batch.column("size").to_pylist(), most):
+                part = batch.slice(first, end - first)
+                contents = pa.array([read(path) for path in part.column("path").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, contents], [*part.schema.names, "content"])
+
+    return _dealt(files, "path").mapInArrow(load, schema)
+
+
+def _to_character(data: bytes) -> int:
+    """How many of the first three bytes only continue a UTF-8 character."""
+    return next((k for k, byte in enumerate(data[:3]) if byte & 0xC0 != 0x80), min(len(data), 3))
+
+
+def file_pieces(catalog: DataFrame, root: str, piece: int = 4 << 20) -> DataFrame:
+    """The files of a catalog in pieces of about ``piece`` bytes: adds ``start`` and ``content``.
+
+    A piece is a row of its own before it is read, so a file of any size is shared among tasks and takes a piece's memory.  Pieces end
+    between UTF-8 characters.  Files that cannot be read get NULL.
+    """
+    last = F.greatest(F.col("size") - 1, F.lit(0))
+    files = catalog.filter(~F.col("is_dir")).withColumn("start", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(piece).cast("bigint"))))
+    schema = StructType([*files.schema.fields]).add("content", "binary")
+
+    def read(system: fs.FileSystem, path: str, start: int) -> tuple[int, bytes | None]:
+        try:
+            with system.open_input_file(path) as handle:
+                size = handle.size()
+                data = handle.read_at(min(piece + 3, max(size - start, 0)), start)
+        except OSError:
+            return start, None
+        skipped = _to_character(data) if start else 0
+        return start + skipped, data[skipped:piece + _to_character(data[piece:])]
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = open_root(root)
         for batch in batches:
-            for start in range(0, len(batch), 16):     # a few files at a time bound the memory of a batch
-                part = batch.iloc[start:start + 16].copy()
-                contents = []
-                for path in part["path"]:
-                    try:
-                        with system.open_input_stream(f"{base}/{path}", compression=None) as handle:
-                            contents.append(handle.read())
-                    except OSError:
-                        contents.append(None)
-                part["content"] = contents
-                yield part
+            for k, (path, start) in enumerate(zip(batch.column("path").to_pylist(), batch.column("start").to_pylist())):
+                begin, content = read(system, f"{base}/{path}", start)
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns[:-1], pa.array([begin]), pa.array([content], pa.binary())],
+                                                 [*batch.schema.names, "content"])
+
+    return _dealt(files, "path", "start").mapInArrow(load, schema)
+
 
-    return files.repartition(F.col("path")).mapInPandas(load, schema)
+def text_sizes(pieces: DataFrame) -> DataFrame:
+    """(path, bytes) of the files in :func:`file_pieces` that are valid UTF-8 throughout."""
+    valid = F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(False))
+    return (pieces.groupBy("path").agg(F.bool_and(valid).alias("valid"), F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
+            .filter("valid").drop("valid"))
 
 
 def _walk_rows(files: DataFrame, added: list[tuple[str, pa.DataType]], work: Callable[[fs.FileSystem, str, int | None], tuple]) -> Callable:
@@ -230,7 +291,7 @@ def content_digests(catalog: DataFrame, root: str, chunk: int = 1 << 20) -> Data
             return (None,)
 
     schema = StructType([*files.schema.fields]).add("md5", "string")
-    return files.repartition(F.col("path")).mapInArrow(_walk_rows(files, [("md5", pa.string())], digest), schema)
+    return _dealt(files, "path").mapInArrow(_walk_rows(files, [("md5", pa.string())], digest), schema)
 
 
 def edge_digests(files: DataFrame, root: str, edge: int = 4096) -> DataFrame:
@@ -248,7 +309,7 @@ def edge_digests(files: DataFrame, root: str, edge: int = 4096) -> DataFrame:
 
     schema = StructType([*files.schema.fields]).add("edges", "string").add("md5", "string").add("bytes_read", "long")
     added = [("edges", pa.string()), ("md5", pa.string()), ("bytes_read", pa.int64())]
-    return files.repartition(F.col("path")).mapInArrow(_walk_rows(files, added, digest), schema)
+    return _dealt(files, "path").mapInArrow(_walk_rows(files, added, digest), schema)
 
 
 def write_files(texts: DataFrame, root: str) -> None:
