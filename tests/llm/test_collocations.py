@@ -107,3 +107,41 @@ def test_words_know_their_pieces():
     (w,) = block("en", ["A b, c", "", "d e f"])
     assert [w.distinct[k].as_py() for k in w.code] == ["a", "b", "c", "d", "e", "f"]
     assert w.room.tolist() == [2, 1, 1, 3, 2, 1]
+
+
+def test_positions_go_to_the_trie_their_phrase_is_dealt_to(spark, monkeypatch):
+    """All candidates pass the maps wherever they stand, and only one of many tries looks a position up."""
+    seen = []
+    look = Trie.found_at
+    monkeypatch.setattr(Trie, "found_at", lambda self, w, number, at, size: seen.append(len(at)) or look(self, w, number, at, size))
+    listed = [("en", "a b"), ("en", "b c"), ("en", "a b c"), ("en", "b c a")]
+    (w,) = block("en", ["a b c " * 50, "x a b c"])
+    run, full = collocations.RunHash(1201), np.full(1, 2 ** 64 - 1, np.uint64)
+    level, hashes = collocations.Levels(w, run, [full]), {}
+    for _ in range(2):
+        level.judge(full)
+        names, found = level.names()
+        hashes.update(zip(names.to_pylist(), found.to_pylist()))
+    tries = {}
+    for chunk in range(3):
+        own = [x for x in listed if hashes[x[1]] % 3 == chunk]
+        base, check, accept, bits, vocabulary = build(own)
+        tries[chunk] = base, check, accept, bits, [v[0] for v in vocabulary], [v[1] for v in vocabulary]
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    texts = pa.RecordBatch.from_arrays([pa.array(["en"] * 2), pa.array(["a b c " * 50, "x a b c"])], ["lang", "text"])
+    got = sum(int(b.column("n").to_numpy().sum()) for b in collocations._found(Shared(tries), Shared([full] * 3), 3)(iter([texts])))
+    assert got == 51 + 51 + 51 + 49
+    assert sum(seen) == 149 + 3 + 148 + 2  # every pair and every triple once
+
+
+def test_words_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(collocations.Words, "hashes", lambda self, run: np.array([len(x) for x in self.distinct.to_pylist()], np.uint64))
+    listed = [("en", "aa bb"), ("en", "bb cc"), ("en", "cc a")]
+    base, check, accept, bits, vocabulary = build(listed)
+    trie = Trie(base, check, accept, bits, [v[0] for v in vocabulary], [v[1] for v in vocabulary])
+    (w,) = block("en", ["dd aa bb cc a dd a"])
+    assert sorted(np.concatenate(trie.found(w, 2)).tolist()) == [0, 1, 2]
