@@ -57,11 +57,25 @@ def _read_text_or_parquet(spark: SparkSession, paths: list[str], kind: str, sche
     if kind in (".csv", ".tsv"):
         return reader.csv(paths, header=True, inferSchema=schema is None, sep="\t" if kind == ".tsv" else ",",
                           quote='"', escape='"', multiLine=quoted_breaks)
+    if kind == ".json" and schema is None:
+        found = _json_schema(spark, paths)
+        reader = reader if found is None else reader.schema(found)
     if kind in (".json", ".jsonl"):
         return reader.json(paths, multiLine=kind == ".json")
     return reader.parquet(*paths)
 
 
+def _json_schema(spark: SparkSession, paths: list[str]) -> StructType | None:
+    """The schema of files that each hold one JSON text, or None where Spark's reader must tell.
+
+    That reader packs files for this by their bytes alone: very many small ones lie in a few tasks.  Whole texts are packed by the cost
+    of opening a file too.
+    """
+    texts = spark.read.text(paths, wholetext=True).select("value")
+    found = spark.read.json(texts.rdd.map(lambda row: row[0])).schema
+    return None if not len(found) or "_corrupt_record" in found.fieldNames() else found
+
+
 class Batches(InputPartition):
     """A share of one file's record batches: every ``of``-th one from ``first``."""
 
