@@ -79,9 +79,9 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     rows = labelled.count()
     none = labelled.sparkSession.createDataFrame(
         [], "antecedent array<string>, label string, confidence double, support double, key string")
-    if not rows:
-        return none
     least = max(math.ceil(min_support * rows), min_rows)
+    if rows < least:  # too few examples for any rule; FP-growth takes no support above 1
+        return none
     own = restrict(labelled, cut_lineage(telling(labelled, least)))
     baskets = cut_lineage(labelled.join(own, "tokens").select(F.concat("own", F.array(F.concat(F.lit("verdict="), "label"))).alias("items")))
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / rows, minConfidence=min_confidence).fit(baskets)
