@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -91,52 +92,52 @@ def stream_value_windows(stream: DataFrame, columns: list[str], length: str = "1
     return counted.select(F.col("_window.start").alias("start"), F.col("_window.end").alias("end"), *VALUE_KEYS, "n")
 
 
-RUN_STATE = "run_id {}, status string, started_at timestamp, ended_at timestamp, updated_at timestamp, seq bigint, deleted boolean"
+RUN_STATE = "run_id {}, status string, started bigint, ended bigint, seq bigint, deleted boolean"
 _NEVER = 1 << 62
+_EVENTS = ("start", "success", "failed")
 
 
 class RunStates(StatefulProcessor):
-    """One small state per run: its last event, its start and end, and up to which place in the log it is deleted."""
+    """One small state per run: its last event, its start and end, and up to which place in the log it is deleted.
+
+    Runs are many and their rows few, so it works on plain rows: a frame per run costs more than the run.
+    """
 
     def __init__(self, idle_ms: int | None, keep_ms: int | None):
         self.idle_ms, self.keep_ms = idle_ms, keep_ms
 
+    _row = staticmethod(Row("run_id", "status", "started", "ended", "seq", "deleted"))
+
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("run", "code int, seq bigint, started bigint, end_seq bigint, ended bigint, gone bigint", self.keep_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        code, seq, started, end_seq, ended, gone = self.state.get() if self.state.exists() else (-1, -1, None, -1, None, -1)
-        log = pd.concat(list(rows)).sort_values("seq", na_position="last", kind="stable")
-        for event, at, micros in zip(log["event"], log["seq"], log["micros"]):
-            place = _NEVER if pd.isna(at) else int(at)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        code, seq, started, end_seq, ended, gone = self.state.get() or (-1, -1, None, -1, None, -1)
+        log = sorted(((_NEVER if at is None else at, event, micros) for _, at, event, micros in rows), key=itemgetter(0))
+        for place, event, micros in log:
             if event == "deleted":
                 gone = max(gone, place)
                 if seq <= gone:
                     code, seq, started, end_seq, ended = -1, -1, None, -1, None
             elif place > gone:
                 if place >= seq:
-                    code, seq = ("start", "success", "failed").index(event), place
+                    code, seq = _EVENTS.index(event), place
                 if event == "start":
-                    started = int(micros) if started is None else min(started, int(micros))
+                    started = micros if started is None else started if micros is None else min(started, micros)
                 elif place >= end_seq:
-                    end_seq, ended = place, int(micros)
+                    end_seq, ended = place, micros
         self.state.update((code, seq, started, end_seq, ended, gone))
         if self.idle_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             if code == 0:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self._row(key, ("running", "success", "failed")[code] if code >= 0 else None, seq, started, ended, code < 0)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        code, seq, started, _, ended, _ = self.state.get()
-        yield self._row(key, "idle", seq, started, ended, False)
+        yield self._row(key[0], ("running", "success", "failed")[code] if code >= 0 else None, started, ended, seq, code < 0)
 
-    def _row(self, key, status, seq, started, ended, deleted) -> pd.DataFrame:
-        times = [pd.NaT if t is None else pd.Timestamp(t, unit="us") for t in (started, ended, ended if ended is not None else started)]
-        return pd.DataFrame({"run_id": [key[0]], "status": [status], "started_at": [times[0]], "ended_at": [times[1]], "updated_at": [times[2]],
-                             "seq": [seq], "deleted": [deleted]}).astype({t: "datetime64[us]" for t in ("started_at", "ended_at", "updated_at")})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        _, seq, started, _, ended, _ = self.state.get()
+        yield self._row(key[0], "idle", started, ended, seq, False)
 
     def close(self) -> None:
         pass
@@ -154,8 +155,11 @@ def stream_run_states(events: DataFrame, idle: str | None = None, keep: str | No
     rows = events.select("run_id", "seq", "event", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
     span = lambda text: None if text is None else int(pd.Timedelta(text).total_seconds() * 1000)
     timed = "None" if idle is None and keep is None else "ProcessingTime"
-    return rows.groupBy("run_id").transformWithStateInPandas(
+    states = rows.groupBy("run_id").transformWithState(
         statefulProcessor=RunStates(span(idle), span(keep)), outputStructType=RUN_STATE.format(kind), outputMode="Update", timeMode=timed)
+    at = F.timestamp_micros
+    return states.select("run_id", "status", at("started").alias("started_at"), at("ended").alias("ended_at"),
+                         at(F.coalesce("ended", "started")).alias("updated_at"), "seq", "deleted")
 
 
 def latest_states(changes: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Exactly-once logs, documents as VARIANT, stateful runs, drift by window."""
 
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from conftest import values
 from runledger.operators import drift, runs
@@ -69,6 +70,21 @@ def test_run_states_with_deletions_over_restarts(spark, make, tmp_path):
     assert values(got, *columns) == values(runs.run_state(events, gone), *columns)
 
 
+def test_a_run_costs_two_calls_and_no_frame():
+    """Runs come as plain rows, unordered; their state is read once and written once."""
+    calls, stored = [], []
+    state = SimpleNamespace(get=lambda: calls.append("get") or (stored[-1] if stored else None), update=lambda v: calls.append("update") or stored.append(v))
+    states = logs.RunStates(None, None)
+    states.init(SimpleNamespace(getValueState=lambda *_: state))
+    row, big = Row("run_id", "seq", "event", "micros"), (1 << 53) + 1
+    first, = states.handleInputRows(("a",), iter([row("a", 5, "success", 50), row("a", 4, "start", None), row("a", 3, "start", 30), row("a", 2, "deleted", None), row("a", 1, "start", 10)]), None)
+    assert first.asDict() == {"run_id": "a", "status": "success", "started": 30, "ended": 50, "seq": 5, "deleted": False}
+    second, = states.handleInputRows(("a",), iter([row("a", big + 1, "failed", 90), row("a", big, "deleted", None)]), None)
+    assert second.asDict() == {"run_id": "a", "status": "failed", "started": None, "ended": 90, "seq": big + 1, "deleted": False}
+    third, = states.handleInputRows(("a",), iter([row("a", None, "deleted", None)]), None)
+    assert third.deleted and third.status is None and calls == ["get", "update"] * 3
+
+
 def test_idle_runs_are_reported(spark, make, tmp_path):
     make([("a", 1, "start", at(0)), ("b", 2, "start", at(0)), ("b", 3, "success", at(1))], RUN).coalesce(1).write.parquet(str(tmp_path / "log"))
     stream = logs.read_log_stream(spark, str(tmp_path / "log"), RUN)
