@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage, local_table, scratch_path, shared_dir, spread  # noqa: F401  (re-exported for the operators)
-
-#: Bytes and rows of the batches in which whole texts go to Python workers.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
+from ..session import BATCH_BYTES, BATCH_ROWS, cut_lineage, in_arrow, local_table, scratch_path, shared_dir, spread  # noqa: F401  (re-exported for the operators)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def in_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of a few megabytes, whatever the length of the texts: the session's batch limits are lowered."""
-    conf = df.sparkSession.conf
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        if not 0 < int(conf.get(key).rstrip("bB")) <= most:
-            conf.set(key, most)
-    return df.mapInArrow(function, schema)
-
-
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids lie in no fold."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))

@@ -3,6 +3,7 @@
 import hashlib
 import io
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +106,46 @@ def test_index_prunes_and_changes_no_answer(spark, make, tmp_path):
     assert search_index.candidates(spark, str(tmp_path), ["license"]).count() == 3
     assert search_index.candidates(spark, str(tmp_path), search_index.literals("some.*failed")).count() == 3
     assert search_index.literals("a|bcd") == [] and search_index.literals("(abc)+d?efgh") == ["abc", "efgh"] and search_index.literals("(") == []
+
+
+def test_index_lists_are_whole_and_short(spark, make, tmp_path):
+    """Every piece of every text once, in ascending lists of at most LIST numbers, also over many batches of texts."""
+    odd = ["", "ab", None, "abc", "aaaa", "a\U0001f600b\U0001f600c", "中文字\nx", "é\u0000zz", "ABCabc"]
+    texts = [(f"p{i}", f"n{i}", odd[i] if i < len(odd) else f"same{i % 7}") for i in range(2 * search_index.LIST + len(odd))]
+    search_index.build_index(make(texts, "path string, name string, content string").coalesce(1), str(tmp_path))
+    numbers = {r["path"]: r["text_id"] for r in spark.read.parquet(f"{tmp_path}/texts").select("path", "text_id").collect()}
+    want, got = {}, {}
+    for path, _, text in texts:
+        low = (text or "").lower()
+        for piece in {low[k:k + 3] for k in range(len(low) - 2)}:
+            want.setdefault(piece, []).append(numbers[path])
+    lists = spark.read.parquet(f"{tmp_path}/pieces").select("piece", "text_ids").collect()
+    for piece, ids in lists:
+        assert len(ids) <= search_index.LIST and ids == sorted(set(ids))
+        got.setdefault(piece, []).extend(ids)
+    assert {p: sorted(n) for p, n in got.items()} == {p: sorted(n) for p, n in want.items()}
+    assert len([p for p, _ in lists if p == "sam"]) < 8    # batches of texts were put together
+
+
+def _by_piece(ids, texts):
+    got = {}
+    for batch in search_index._listed(np.array(ids), texts):
+        for row in batch.to_pylist():
+            assert row["text_ids"] == sorted(set(row["text_ids"]))
+            assert got.setdefault(row["piece"], set()).isdisjoint(row["text_ids"])
+            got[row["piece"]].update(row["text_ids"])
+    return got
+
+
+def test_pieces_of_a_batch_whatever_its_letters(monkeypatch):
+    many = "".join(map(chr, [*range(0x100, 0xD800), *range(0xE000, 0x18000)]))
+    ids, texts = [5, 9, 7, 1, 3, 8], [many[::-1], "abcabc", many, "", "ab", "xabc"]
+    want = {}
+    for number, text in zip(ids, texts):
+        for k in range(len(text) - 2):
+            want.setdefault(text[k:k + 3], set()).add(number)
+    assert _by_piece(ids, texts) == want
+    assert _by_piece(ids + list(range(10, 30_010)), texts + [""] * 30_000) == want     # letters and texts no longer fit one number
+    monkeypatch.setattr(search_index, "STRETCH", 3)
+    assert _by_piece(ids[1:2] + ids[3:], texts[1:2] + texts[3:]) == {"abc": {8, 9}, "bca": {9}, "cab": {9}, "xab": {8}}
+    assert _by_piece([], []) == _by_piece([1], [""]) == {}
