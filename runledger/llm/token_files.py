@@ -2,8 +2,8 @@
 
 ``write_tokens`` sorts documents by id into ranges, one file each, and encodes inside the sorted ranges, so only texts are
 moved.  ``read_tokens`` reads stripes in parallel; a filter on doc_id prunes stripes and row groups by statistics and
-filters.  Encoding looks up the pieces between white space in a bounded table and lets the tokenizers library encode those it
-lacks; the result equals encoding the whole text.  The table is bounded by bytes.
+filters.  A batch of texts is cut into pieces at white space all at once; each different piece is looked up in a bounded table
+or encoded by the tokenizers library, and its ids are taken wherever it stands; the result equals encoding the whole text.
 
 Order: ascending doc_id, null ids first, rows with equal ids by text.  A null text is empty: it has the end mark alone.  An
 empty table gives files without rows.
@@ -18,20 +18,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import cut_lineage, in_arrow
 
-PIECE = re.compile(r"\s*\S+|\s+")
 #: White space or separators of Unicode that are not ASCII white space; texts with one are encoded as a whole.
 UNSAFE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F,
                                             0x205F, 0x2060, 0x3000, 0xFEFF))) + "]")
 BYTES_PER_FILE = 64 << 20
 #: Bytes of a worker's table of known pieces and words, and what an entry costs besides its text and ids.
-TABLE_BYTES, ENTRY_BYTES = 192 << 20, 140
-END_MARKS = frozenset(".,;:!?")
+TABLE_BYTES, ENTRY_BYTES = 48 << 20, 140
+END_MARKS = b".,;:!?"
 LONG_PIECE = 48
+#: Bytes of texts that are encoded together, and words that the library gets at once (it takes a kilobyte a word).
+GROUP_BYTES, WORDS = 16 << 20, 10_000
+#: A byte that no text in UTF-8 has.
+APART = 0xFF
 COLUMNS = "doc_id BIGINT, part INT, pos BIGINT, ids ARRAY<INT>"
 
 
@@ -45,91 +49,135 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Encodes texts to little-endian 32-bit ids. A piece never depends on what stands before its white space.
 
-    Three tables share one bound of bytes: pieces with their white space, words behind a single space, and the vocabulary's words.
+    Three tables share one bound of bytes: single words behind a space, other single words, and pieces of several words of the
+    vocabulary's pattern.  Only what a batch holds more than once is kept: most different pieces are rare.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.letters = byte_letters()
-        self.space = self.letters[32]
-        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.pattern = regex.compile(PATTERN)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        # New words go to the same model many at once, spelled in the vocabulary's letters and apart by spaces, which are no letters.
+        self.speller = Tokenizer(self.tokenizer.model)
+        self.speller.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        letters, vocabulary = byte_letters(), self.tokenizer.get_vocab()
+        if not vocabulary.keys() >= set(letters.values()):
+            raise ValueError(f"{path} lacks letters of some bytes")
+        self.letters = np.array([ord(letters[b]) for b in range(256)], "<u2")
+        self.letters[APART] = 32
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
+        self.pieces: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.spaced: dict[bytes, bytes] = {}
         self.used = 0
-        self.line_end = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """One word as the vocabulary's pattern cuts it."""
-        spelled = word.replace(" ", self.space) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
-        four = self.four
-        return b"".join([four[t.id] for t in self.tokenizer.model.tokenize(spelled)])
-
-    def _keep(self, table: dict[str, bytes], text: str, found: bytes) -> bytes:
+    def _keep(self, table: dict[bytes, bytes], piece: bytes, found: bytes) -> bytes:
         """Remember what a piece or word gives; a full table starts anew."""
-        size = ENTRY_BYTES + (1 if text.isascii() else 3) * len(text) + len(found)
+        size = ENTRY_BYTES + len(piece) + len(found)
         if self.used + size > TABLE_BYTES:
             for full in (self.pieces, self.words, self.spaced):
                 full.clear()
             self.used = 0
         self.used += size
-        table[text] = found
+        table[piece] = found
         return found
 
-    def _known(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = self._word(word) if len(word) > LONG_PIECE else self._keep(self.words, word, self._word(word))
+    def _words(self, words: list[bytes]) -> np.ndarray:
+        """The ids of words as the vocabulary's pattern cuts them."""
+        spelled = self.letters[np.frombuffer(bytes([APART]).join(words), np.uint8)].tobytes().decode("utf-16-le")
+        return np.array(self.speller.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+
+    def _new(self, pieces: list[bytes], often: list[bool]) -> list[bytes]:
+        """The ids of pieces that no table has; those seen more than once are kept."""
+        words, tables, out = [], [], []
+        for piece in pieces:
+            text, table = piece.decode(), self.spaced if piece[0] == 32 else self.words
+            if (text[1:] if piece[0] == 32 else text).isalpha() and len(piece) <= LONG_PIECE:  # letters after at most one space are one word
+                words.append(piece)
+            elif len(piece) > LONG_PIECE or UNSAFE.search(text):
+                table = None
+            else:
+                table = self.pieces
+                words += [word.encode() for word in self.pattern.findall(text)]
+            tables.append(table)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(self._words(words[k:k + WORDS]) for k in range(0, len(words), WORDS))])
+        ends = np.cumsum([0 if table is None else len(piece) for piece, table in zip(pieces, tables)])
+        cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="right")).tolist()
+        raw, low = ids.tobytes(), 0
+        for piece, table, keep, high in zip(pieces, tables, often, cuts):
+            found = raw[low:high] if table is not None else self.whole(piece.decode())
+            out.append(self._keep(table, piece, found) if keep and table is not None else found)
+            low = high
+        return out
+
+    def batch(self, texts: list[pa.Array]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each array of texts: where each text's ids begin (and the last one's end), and all ids."""
+        cut = [_cut(array) for array in texts]
+        pieces = pa.concat_arrays([pa.array([], pa.binary()), *(each for _, each in cut)]).dictionary_encode()
+        numbers, found = pieces.indices.to_numpy(), self._look_up(pieces)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.frombuffer(b"".join(found), "<i4")))
+        out, low = [], 0
+        for firsts, each in cut:
+            ends = np.append(0, np.cumsum(sizes[numbers[low:low + len(each)]]))
+            out.append((ends[firsts], lists.take(pieces.indices.slice(low, len(each))).flatten().to_numpy()))
+            low += len(each)
+        return out
+
+    def _look_up(self, pieces: pa.DictionaryArray) -> list[bytes]:
+        """The ids of each different piece."""
+        known = pieces.dictionary
+        if not len(known):
+            return []
+        often = np.bincount(pieces.indices.to_numpy(), minlength=len(known)) > 1
+        places, raw = np.frombuffer(known.buffers()[1], np.int32)[:len(known) + 1].tolist(), known.buffers()[2].to_pybytes()
+        spaced, words, several = self.spaced.get, self.words.get, self.pieces.get
+        found = [spaced(piece) or words(piece) or several(piece) for piece in map(raw.__getitem__, map(slice, places, places[1:]))]
+        new = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(new, self._new([raw[places[k]:places[k + 1]] for k in new], often[new].tolist())):
+            found[k] = ids
         return found
 
-    def _piece(self, piece: str) -> bytes:
-        if len(piece) > LONG_PIECE:
-            return self.whole(piece)
-        bare = piece[1:] if piece[0] == " " else piece
-        if bare.isalpha():  # letters after at most one space are one word
-            found = self._word(piece)
-        elif bare[-1:] in END_MARKS and bare[:-1].isalpha():
-            found = (self.pieces.get(piece[:-1]) or self._piece(piece[:-1])) + self._known(piece[-1])
-        else:
-            found = b"".join(map(self._known, self.pattern.findall(piece)))
-        return found if piece[0] == " " else self._keep(self.pieces, piece, found)
-
-    def _after(self, word: str) -> bytes:
-        """What follows a single space."""
-        if word[-1] in END_MARKS and word[:-1].isalpha() and len(word) <= LONG_PIECE:
-            found = (self.spaced.get(word[:-1]) or self._after(word[:-1])) + self._known(word[-1])
-        else:
-            found = self._piece(" " + word)
-        return found if len(word) > LONG_PIECE else self._keep(self.spaced, word, found)
-
     def __call__(self, text: str) -> bytes:
-        if UNSAFE.search(text):
-            return self.whole(text)
-        if self.rough(text):
-            get, slow = self.pieces.get, self._piece
-            return b"".join([get(p) or slow(p) for p in PIECE.findall(text)])
-        # Words apart by single spaces, lines by single ends: a space belongs to the word behind it, a line's end is a token of its own.
-        lines, get, slow, head, first = [], self.spaced.get, self._after, self.pieces.get, self._piece
-        for line in text.split("\n"):
-            words = line.split(" ")
-            own = head(words[0]) or first(words[0])
-            lines.append(own + b"".join([get(w) or slow(w) for w in words[1:]]) if len(words) > 1 else own)
-        return self.line_end.join(lines)
-
-    def rough(self, text: str) -> bool:
-        """Whether white space is anything else than single spaces and line ends between words."""
-        return (not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-                or "\t" in text or "\r" in text or "\v" in text or "\f" in text)
+        return self.batch([pa.array([text], pa.string())])[0][1].astype("<u4").tobytes()
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of each text's first piece (and how many there are in all), and the pieces."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    places = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    low, places = places[0], places - places[0]
+    if not places[-1]:
+        return places, pa.array([], pa.binary())
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[low:low + places[-1]]
+    begins = _begins(raw)
+    for k in np.flatnonzero(pc.match_substring_regex(texts, UNSAFE.pattern).to_numpy(zero_copy_only=False)):
+        begins[places[k]:places[k + 1]] = False
+    begins[places[:-1][np.diff(places) > 0]] = True
+    cuts = np.append(np.flatnonzero(begins).astype(np.int32), np.int32(len(raw)))
+    pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
+    return np.searchsorted(cuts, places), pieces
+
+
+def _begins(raw: np.ndarray) -> np.ndarray:
+    """Which bytes begin a piece: white space behind anything else, end marks behind a letter, and a letter behind a lone line end."""
+    blank = (raw == 32) | (raw - 9 < 5)
+    letter = (raw | 32) - 97 < 26
+    begins = blank.copy()
+    begins[1:] &= ~blank[:-1]
+    begins[1:] |= np.logical_or.reduce([raw[1:] == mark for mark in END_MARKS]) & letter[:-1]
+    begins[2:] |= letter[2:] & (raw[1:-1] == 10) & ~blank[:-2]
+    return begins
 
 
 @lru_cache(1)
@@ -138,26 +186,31 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches that are encoded together: the larger a group, the fewer pieces it holds only once."""
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.column(1).nbytes
+        if size >= GROUP_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = encoder(path), np.array([end], "<u4").tobytes()
-        part, pos = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            low = 0
-            while low < len(ids):
-                rows, size, high = [], 0, low
-                while high < len(ids) and size < 8 << 20:
-                    rows.append(encode(texts[high].as_py() or "") + tail)
-                    size += len(rows[-1])
-                    high += 1
-                places = np.zeros(len(rows) + 1, np.int32)
-                np.cumsum([len(r) // 4 for r in rows], out=places[1:])
-                values = pa.array(np.frombuffer(b"".join(rows), "<i4"))
+        encode, part, pos = encoder(path), TaskContext.get().partitionId(), 0
+        for group in _groups(batches):
+            for batch, (places, ids) in zip(group, encode.batch([batch.column(1) for batch in group])):
+                rows = batch.num_rows
+                values = np.insert(ids, places[1:], np.int32(end))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(low, high - low), pa.array(np.full(len(rows), part, np.int32)), pa.array(np.arange(pos, pos + len(rows))),
-                     pa.ListArray.from_arrays(pa.array(places), values)], ["doc_id", "part", "pos", "ids"])
-                pos, low = pos + len(rows), high
+                    [batch.column(0), pa.array(np.full(rows, part, np.int32)), pa.array(np.arange(pos, pos + rows)),
+                     pa.ListArray.from_arrays(pa.array((places + np.arange(rows + 1)).astype(np.int32)), pa.array(values))],
+                    ["doc_id", "part", "pos", "ids"])
+                pos += rows
     return run
 
 
