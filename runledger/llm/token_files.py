@@ -33,7 +33,7 @@ TABLE_BYTES, ENTRY_BYTES = 48 << 20, 140
 END_MARKS = b".,;:!?"
 LONG_PIECE = 48
 #: Bytes of texts that are encoded together, and words that the library gets at once (it takes a kilobyte a word).
-GROUP_BYTES, WORDS = 16 << 20, 10_000
+GROUP_BYTES, WORDS = 8 << 20, 5000
 #: A byte that no text in UTF-8 has.
 APART = 0xFF
 COLUMNS = "doc_id BIGINT, part INT, pos BIGINT, ids ARRAY<INT>"
@@ -120,19 +120,23 @@ class Encoder:
             low = high
         return out
 
-    def batch(self, texts: list[pa.Array]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each array of texts: where each text's ids begin (and the last one's end), and all ids."""
+    def batch(self, texts: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each array of texts in turn: where each text's ids begin (and the last one's end), and all ids."""
         cut = [_cut(array) for array in texts]
-        pieces = pa.concat_arrays([pa.array([], pa.binary()), *(each for _, each in cut)]).dictionary_encode()
-        numbers, found = pieces.indices.to_numpy(), self._look_up(pieces)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        firsts, counts = [places for places, _ in cut], [len(pieces) for _, pieces in cut]
+        pieces = pa.concat_arrays([pa.array([], pa.binary()), *(pieces for _, pieces in cut)])
+        del cut
+        pieces = pieces.dictionary_encode()
+        found = self._look_up(pieces)
+        numbers, sizes = pieces.indices, np.fromiter(map(len, found), np.int64, len(found)) // 4
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.frombuffer(b"".join(found), "<i4")))
-        out, low = [], 0
-        for firsts, each in cut:
-            ends = np.append(0, np.cumsum(sizes[numbers[low:low + len(each)]]))
-            out.append((ends[firsts], lists.take(pieces.indices.slice(low, len(each))).flatten().to_numpy()))
-            low += len(each)
-        return out
+        del pieces, found
+        low = 0
+        for places, count in zip(firsts, counts):
+            own = numbers.slice(low, count)
+            ends = np.append(0, np.cumsum(sizes[own.to_numpy()]))
+            yield ends[places], lists.take(own).flatten().to_numpy()
+            low += count
 
     def _look_up(self, pieces: pa.DictionaryArray) -> list[bytes]:
         """The ids of each different piece."""
@@ -149,7 +153,8 @@ class Encoder:
         return found
 
     def __call__(self, text: str) -> bytes:
-        return self.batch([pa.array([text], pa.string())])[0][1].astype("<u4").tobytes()
+        (_, ids), = self.batch([pa.array([text], pa.string())])
+        return ids.astype("<u4").tobytes()
 
 
 def _cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -211,6 +216,7 @@ def _encode(path: str, end: int):
                      pa.ListArray.from_arrays(pa.array((places + np.arange(rows + 1)).astype(np.int32)), pa.array(values))],
                     ["doc_id", "part", "pos", "ids"])
                 pos += rows
+        pa.default_memory_pool().release_unused()  # the worker waits for other stages' tasks
     return run
 
 

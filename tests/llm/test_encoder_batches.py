@@ -27,3 +27,17 @@ def test_batches_equal_whole_texts():
             assert got == [encode.whole(text) for text in own]
     (places, ids), = encode.batch([pa.array([None, "a", None], pa.large_string())])
     assert places.tolist() == [0, 0, 1, 1] and len(ids) == 1
+
+
+def test_what_a_worker_holds_is_bounded(monkeypatch):
+    encode, sent = token_files.Encoder(PATH), []
+    words = encode._words
+    monkeypatch.setattr(encode, "_words", lambda new: sent.append(len(new)) or words(new))
+    for first in range(0, 320_000, 40_000):  # the table of all these words would take 55 MB
+        text = " ".join("".join(chr(97 + k // 26**p % 26) for p in range(5)) for k in range(first, first + 40_000))
+        found = encode.batch([pa.array([text]), pa.array([text])])
+        assert iter(found) is found and len({ids.tobytes() for _, ids in found}) == 1
+        assert encode.used <= 48 << 20
+    assert max(sent) <= 5000 and sum(sent) >= 320_000
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": ["x" * (3 << 20)]}) for k in range(7)]
+    assert [len(group) for group in token_files._groups(iter(batches))] == [3, 3, 1]
