@@ -1,13 +1,15 @@
 """Collocations: phrases of two to ``longest`` words, counted exactly and scored by their weakest cut.
 
+* Texts are cut into words once and stored as blocks of numbered words, which all later passes read.
 * Candidates are found level by level, Apriori-safe.  Words are counted exactly.  Longer phrases are first counted by 64-bit hashes,
-  only where both parts one word shorter may be frequent; hashes that reach the minimum set bits of a map of at most
-  ``MAP_BITS``, which is broadcast.  Collisions only let more phrases through.  Phrases that pass are named once per block.
-* Candidates are dealt by that hash into double-array tries of at most about ``TRIE_BYTES``.  A word is two digits of the trie's
-  alphabet.  Each trie is built in one task; ``SCAN_TRIES`` at a time are broadcast and run over all texts: positions that pass the maps
-  go to the one trie their phrase's hash is dealt to, numpy advances the states of a block's positions at once, digit by digit, accepting
-  states are counted by bincount per task, and Spark sums the tasks' counts.  The number of scans grows with the candidates, and what is
-  broadcast does not.
+  only where both parts one word shorter may be frequent; a task's hashes are sorted, counted and sent as one row for each range of
+  hashes.  Hashes that reach the minimum set bits of a map of at most ``MAP_BITS``, which is broadcast.  Collisions only let more
+  phrases through.
+* Phrases that pass are the candidates.  They are dealt by that hash into double-array tries of at most about ``TRIE_BYTES`` and
+  ``GROUP_WORDS``.  A word is two digits of the trie's alphabet.  Each trie is built in one task, and positions that pass the maps go to
+  the one trie their phrase is dealt to: numpy advances the states of many positions at once, digit by digit.  Up to ``SCAN_TRIES`` tries
+  (small tables) are broadcast and run over all blocks, and Spark sums the tasks' counts.  More tries stay in their tasks, and a block's
+  phrases are sent to them, equal ones once with their number.  So the number of scans does not grow with the candidates.
 * Scores are exact integers: floor(1000000 a a / (l r)) in decimals of 38 digits.
 
 Texts that are null or empty have no words; a null language is ``und``.  Repeated rows and ids count as often as they occur; doc_id is
@@ -26,17 +28,21 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.ranks import newest
-from .common import cut_lineage, in_arrow, spread
-from .textblocks import RunHash, blocks, mix, rows_of, spans
+from .common import cut_lineage, in_arrow, scratch_path, spread
+from .textblocks import RunHash, blocks, mix, spans
 
 SCALE = 1_000_000
 MAP_BITS = 1 << 27
 #: Where a hash's three places in a map begin.
 PLACES = (0, 18, 36)
-TRIE_BYTES, SCAN_TRIES = 24 << 20, 3
+TRIE_BYTES, SCAN_TRIES = 6 << 20, 4
 #: Estimated bytes of a trie for each candidate besides its text.
 NODE_BYTES = 48
-BUFFER = 1 << 21
+BUFFER = 1 << 22
+#: Bytes of a stored block's texts, and how many of all words a group has that is counted at once.
+BLOCK_BYTES, GROUP_WORDS = 8 << 20, 1 << 21
+#: Estimated bytes of a candidate's text.
+PHRASE_BYTES = 24
 END_OF_PIECE = np.array([chr(b) in ".,;:!?" or 10 <= b <= 13 for b in range(256)])
 IN_WORD = ~END_OF_PIECE & np.array([b not in (32, 9) for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
@@ -82,20 +88,109 @@ def words(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[Words]:
             np.cumsum(sizes, out=places[1:])
             text = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[IN_WORD[data]]))
             coded = text.dictionary_encode()
-            ended = np.cumsum(END_OF_PIECE[data])
-            piece = rows_of(starts, rows) * (int(ended[-1]) + 1) + ended[starts]
-            last = np.flatnonzero(np.append(piece[1:] != piece[:-1], True))
-            room = last[np.searchsorted(last, np.arange(len(piece)))] - np.arange(len(piece)) + 1
+            ends_piece = np.append(END_OF_PIECE[data], False)
+            ends_piece[rows] = True
+            piece = np.cumsum(ends_piece, dtype=np.int32)[starts]
+            after = np.append(np.flatnonzero(piece[1:] != piece[:-1]) + 1, len(piece))
+            room = np.repeat(after, np.diff(after, prepend=0)) - np.arange(len(piece))
             yield Words(lang, coded.dictionary, coded.indices.to_numpy(), room)
 
 
-def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    run = RunHash(1201)
-    for batch in batches:
-        for w in words(batch):
-            n = np.bincount(w.code, minlength=len(w.distinct))
-            yield pa.RecordBatch.from_arrays([pa.array([w.lang] * len(n)), w.distinct, pa.array(w.hashes(run).view(np.int64)), pa.array(n)],
-                                             ["lang", "word", "hash", "n"])
+BLOCKS = "lang STRING, places BINARY, data BINARY, code BINARY, room BINARY, n BIGINT"
+
+
+def _coded(longest: int) -> Callable:
+    """The words of (lang, text) as rows of :data:`BLOCKS`; of what is left of a piece no more than ``longest`` words count."""
+    room = np.min_scalar_type(longest)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for w in words(pa.concat_batches(held), BLOCK_BYTES):
+                _, places, data = w.distinct.buffers()
+                ends = np.frombuffer(places, np.int32, len(w.distinct) + 1)
+                code = w.code.astype(np.min_scalar_type(len(w.distinct)))
+                parts = [ends, np.frombuffer(data, np.uint8, ends[-1]), code, np.minimum(w.room, longest).astype(room)]
+                yield pa.RecordBatch.from_arrays([pa.array([w.lang], pa.string()), *[pa.array([x.tobytes()], pa.binary()) for x in parts],
+                                                  pa.array([len(code)])], [c.split()[0] for c in BLOCKS.split(", ")])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= 2 * BLOCK_BYTES:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+    return work
+
+
+def stored_words(rows: DataFrame, longest: int) -> DataFrame:
+    """The words of (lang, text) as a stored table of :data:`BLOCKS`, in row groups of a few blocks."""
+    path = scratch_path(rows.sparkSession, "words")
+    in_arrow(rows, _coded(longest), BLOCKS).write.options(**{"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1,
+                                                             "parquet.enable.dictionary": "false"}).parquet(path)
+    return rows.sparkSession.read.schema(BLOCKS).parquet(path)
+
+
+def words_of(batch: pa.RecordBatch) -> Iterator[Words]:
+    """The words of a batch of texts, or of :data:`BLOCKS`."""
+    if "text" in batch.schema.names:
+        yield from words(batch)
+        return
+    for lang, places, data, code, room in zip(batch.column(0).to_pylist(), *[[x.as_buffer() for x in c] for c in batch.columns[1:5]]):
+        distinct = pa.StringArray.from_buffers(places.size // 4 - 1, places, data)
+        for kind in (np.uint8, np.uint16, np.uint32):
+            if len(distinct) <= np.iinfo(kind).max:
+                break
+        numbers = np.frombuffer(code, kind)
+        yield Words(lang, distinct, numbers.astype(np.int64), np.frombuffer(room, np.dtype(f"u{room.size // len(numbers)}")))
+
+
+def blobs(values: np.ndarray, cuts: np.ndarray) -> pa.BinaryArray:
+    """The bytes of the values between each two cuts."""
+    places = (cuts * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+DEALT = "part BIGINT, lang STRING, size INT, text STRING, n BINARY"
+
+
+def dealt(lang: str, size: int, phrases: Callable, hashes: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Phrases of ``size`` words (``phrases`` of an order) and how often each occurs, dealt by their hashes: a row for each part, a phrase a line."""
+    part = np.mod(hashes.view(np.int64), parts)
+    order = np.argsort(part, kind="stable")
+    own, first = np.unique(part[order], return_index=True)
+    cuts = np.append(first, len(order))
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), phrases(order)), "\n")
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([lang] * len(own), pa.string()), pa.array([size] * len(own), pa.int32()),
+                                       lines, blobs(n[order].astype(np.int32), cuts)], [c.split()[0] for c in DEALT.split(", ")])
+
+
+def _word_counts(parts: int) -> Callable:
+    """How often each block has each word, as :data:`DEALT`."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = RunHash(1201)
+        for batch in batches:
+            for w in words_of(batch):
+                n = np.bincount(w.code, minlength=len(w.distinct))
+                yield dealt(w.lang, 1, lambda order: w.distinct.take(pa.array(order)), w.hashes(run), n, parts)  # noqa: B023
+    return work
+
+
+def _counted_words(table: pa.Table) -> pa.Table:
+    """lang, word, hash, n of the words of one part."""
+    run, out = RunHash(1201), []
+    for lang in table.column("lang").unique().to_pylist():
+        own = table.filter(pc.equal(table.column("lang"), lang))
+        lines = pa.concat_arrays([x.flatten() for x in pc.split_pattern(own.column("text"), "\n").chunks])
+        n = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in own.column("n")]).astype(np.int64)
+        added = pa.table([lines, pa.array(n)], ["word", "n"]).group_by("word", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+        names, none = pa.concat_arrays(added.column("word").chunks), np.zeros(0, np.int64)
+        hashes = Words(lang, names, none, none).hashes(run)
+        out.append(pa.table([pa.array([lang] * len(names), pa.string()), names, pa.array(hashes.view(np.int64)), added.column("n_sum")], ["lang", "word", "hash", "n"]))
+    return pa.concat_tables(out)
 
 
 # --- candidates -----------------------------------------------------------------------------------------------------------
@@ -128,8 +223,10 @@ class Levels:
         """To phrases of one word more: those whose two parts may be frequent are alive."""
         self.size += 1
         self.alive = self.maybe & np.append(self.maybe[1:], False) & (self.w.room >= self.size)
-        following = np.concatenate([self.word[self.size - 1:], np.zeros(self.size - 1, np.uint64)])[:len(self.word)]
-        self.hash = mix(mix(self.hash, self.size) ^ following, 99)
+        at = np.flatnonzero(self.alive)  # the others stay dead
+        longer = np.zeros(len(self.hash), np.uint64)
+        longer[at] = mix(mix(self.hash[at], self.size) ^ self.word[at + self.size - 1], 99)
+        self.hash = longer
 
     def judge(self, bits: np.ndarray) -> None:
         """To phrases of one word more, and which of them may be frequent by their map."""
@@ -137,54 +234,101 @@ class Levels:
         self.maybe = self.alive.copy()
         self.maybe[self.alive] = has_bit(bits, self.hash[self.alive])
 
-    def names(self) -> tuple[pa.Array, pa.Array]:
-        """The distinct phrases that may be frequent, and their hashes."""
+    def tally(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A position, the hash and the number of each of the phrases that may be frequent. Phrases of one hash stay apart."""
         at = np.flatnonzero(self.maybe)
+        hashes = self.hash[at]
+        order = np.argsort(hashes)
+        at, hashes = at[order], hashes[order]
+        first = np.ones(len(at), bool)
+        first[1:] = hashes[1:] != hashes[:-1]
+        group = np.cumsum(first) - 1
+        start = at[np.flatnonzero(first)]
+        other = np.zeros(len(at), bool)
+        for k in range(self.size):
+            other |= self.w.code[at + k] != self.w.code[start[group] + k]
+        n = np.bincount(group, ~other, minlength=len(start)).astype(np.int64)
+        if other.any():  # each position of these for itself
+            start, hashes, n = np.concatenate([start, at[other]]), np.concatenate([hashes[first], hashes[other]]), np.concatenate([n, np.ones(other.sum(), np.int64)])
+        else:
+            hashes = hashes[first]
+        return start, hashes, n
+
+    def phrases(self, at: np.ndarray) -> pa.Array:
+        """The phrases at some positions."""
         if not len(at):
-            return pa.array([], pa.string()), pa.array([], pa.int64())
-        hashes, first = np.unique(self.hash[at], return_index=True)
-        at = at[first]
-        parts = [self.w.distinct.take(pa.array(self.w.code[at + k])) for k in range(self.size)]
-        return pc.binary_join_element_wise(*parts, " "), pa.array(hashes.view(np.int64))
+            return pa.array([], pa.string())
+        return pc.binary_join_element_wise(*[self.w.distinct.take(pa.array(self.w.code[at + k])) for k in range(self.size)], " ")
 
+    def names(self) -> tuple[pa.Array, pa.Array]:
+        """The distinct phrases that may be frequent, and their hashes."""
+        at, hashes, _ = self.tally()
+        return self.phrases(at), pa.array(hashes.view(np.int64))
+
+
+def _hash_counts(maps: Broadcast, groups: int) -> Callable:
+    """Hashes of the next level's phrases and how often they occur, as a row for each range of hashes: (part, hashes, n)."""
+    edges = np.array([k * (2 ** 64 // groups) for k in range(1, groups)], np.uint64)
 
-def _level(maps: Broadcast, count: bool, name: bool) -> Callable:
-    """Names and hashes of the last level's phrases that may be frequent, hash counts of the next level's: (lang, phrase, hash, n)."""
     def tallied(held: list[np.ndarray]) -> pa.RecordBatch:
         hashes, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.string()), pa.array(hashes.view(np.int64)), pa.array(n)],
-                                          ["lang", "phrase", "hash", "n"])
+        cuts = np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(groups)), blobs(hashes, cuts), blobs(n.astype(np.uint32), cuts)], ["part", "hashes", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, held, size = RunHash(1201), [], 0
         for batch in batches:
-            for w in words(batch):
+            for w in words_of(batch):
                 level = Levels(w, run, maps.value)
-                if name:
-                    named, hashes = level.names()
-                    yield pa.RecordBatch.from_arrays([pa.array([w.lang] * len(named), pa.string()), named, hashes, pa.nulls(len(named), pa.int64())],
-                                                     ["lang", "phrase", "hash", "n"])
-                if count:
-                    level.grow()
-                    held.append(level.hash[level.alive])
-                    size += len(held[-1])
-                    if size >= BUFFER:
-                        yield tallied(held)
-                        held, size = [], 0
+                level.grow()
+                held.append(level.hash[level.alive])
+                size += len(held[-1])
+                if size >= BUFFER:
+                    yield tallied(held)
+                    held, size = [], 0
         if size:
             yield tallied(held)
     return work
 
 
-def _map(hashes: DataFrame) -> np.ndarray:
-    """A Bloom filter of the hashes as 64-bit words: 32 bits or more for each hash, MAP_BITS at most. Words with a bit come to the driver."""
-    size = max(64, min(MAP_BITS, 1 << (32 * hashes.count()).bit_length()))
+def _frequent(least: int) -> Callable:
+    """The hashes of one range that occur ``least`` times."""
+    def work(table: pa.Table) -> pa.Table:
+        hashes = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")])
+        n = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("n")])
+        order = np.argsort(hashes)
+        hashes, n = hashes[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[:len(hashes)])
+        enough = np.add.reduceat(n, first) >= least if len(first) else np.zeros(0, bool)
+        return pa.table({"hash": pa.array(hashes[first[enough]].view(np.int64))})
+    return work
+
+
+def _dealt(maps: Broadcast, parts: int) -> Callable:
+    """The phrases at the positions that pass the maps, and how often a block has each, as :data:`DEALT`."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = RunHash(1201)
+        for batch in batches:
+            for w in words_of(batch):
+                level = Levels(w, run, maps.value[:1])
+                for bits in maps.value[1:]:
+                    level.judge(bits)
+                    at, hashes, n = level.tally()
+                    yield dealt(w.lang, level.size, lambda order: level.phrases(at[order]), hashes, n, parts)  # noqa: B023
+    return work
+
+
+def _map(hashes: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the hashes as 64-bit words: 32 bits or more for each hash, MAP_BITS at most; and how many hashes there are.
+    Words with a bit come to the driver."""
+    count = hashes.count()
+    size = max(64, min(MAP_BITS, 1 << (32 * count).bit_length()))
     at = F.explode(F.array(*[F.shiftrightunsigned("hash", shift).bitwiseAND(size - 1) for shift in PLACES])).alias("at")
     words_ = hashes.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
     found = words_.toArrow()
     bits = np.zeros(size // 64, np.uint64)
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return bits
+    return bits, count
 
 
 # --- double-array tries ---------------------------------------------------------------------------------------------------
@@ -248,12 +392,16 @@ class Trie:
             out.append(self.accepted(state))
         return out
 
-    def found_at(self, w: Words, number: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-        """Numbers of the phrases of ``size`` words at some positions, by the :meth:`numbers` of their words."""
+    def reached(self, w: Words, number: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and states that are left after ``size`` words, by the :meth:`numbers` of the words."""
         state = np.zeros(len(at), np.int64)
         for k in range(size):
             at, state = self.advance(at, state, number[w.code[at + k]])
-        return self.accepted(state)
+        return at, state
+
+    def found_at(self, w: Words, number: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Numbers of the phrases of ``size`` words at some positions."""
+        return self.accepted(self.reached(w, number, at, size)[1])
 
 
 def build(phrases: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, list[tuple[str, str]]]:
@@ -320,16 +468,26 @@ def _place(parent: np.ndarray, digit: np.ndarray, nodes: int, bits: int, window:
     return slot, base_of
 
 
+def named(rows: pa.Table) -> list[tuple[str, str]]:
+    """The distinct (lang, phrase) of :data:`DEALT` rows, in order."""
+    out = []
+    for lang in sorted(rows.column("lang").unique().to_pylist()):
+        own = rows.filter(pc.equal(rows.column("lang"), lang)).column("text")
+        found = pa.chunked_array([x.flatten() for x in pc.split_pattern(own, "\n").chunks], pa.string()).unique()
+        out += [(lang, phrase) for phrase in found.take(pc.sort_indices(found)).to_pylist()]
+    return out
+
+
 BUILT = ("chunk BIGINT, number BIGINT, lang STRING, phrase STRING, base BINARY, check BINARY, accept BINARY, bits INT, langs ARRAY<STRING>, "
          "vocabulary ARRAY<STRING>")
 
 
 def _built(table: pa.Table) -> pa.Table:
-    """Each phrase with its number, and one row with the trie."""
-    table = table.combine_chunks().sort_by([("lang", "ascending"), ("phrase", "ascending")])
-    langs, phrases = table.column("lang").to_pylist(), table.column("phrase").to_pylist()
-    base, check, accept, bits, vocabulary = build(list(zip(langs, phrases)))
-    n, chunk = len(phrases), table.column("chunk")[0].as_py()
+    """Each phrase of a part with its number, and one row with the part's trie."""
+    listed = named(table)
+    base, check, accept, bits, vocabulary = build(listed)
+    n, chunk = len(listed), table.column("part")[0].as_py()
+    langs, phrases = [x[0] for x in listed], [x[1] for x in listed]
     strings = pa.list_(pa.string())
     names = [pa.array(np.full(n, chunk)), pa.array(np.arange(n)), pa.array(langs, pa.string()), pa.array(phrases, pa.string()),
              *[pa.nulls(n, pa.binary())] * 3, pa.nulls(n, pa.int32()), *[pa.nulls(n, strings)] * 2]
@@ -339,6 +497,47 @@ def _built(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([pa.RecordBatch.from_arrays(names, columns), pa.RecordBatch.from_arrays(trie, columns)])
 
 
+def _counted(least: int) -> Callable:
+    """lang, phrase, a of the phrases that occur ``least`` times, from :data:`DEALT` rows in the order of their parts: a trie of a part's
+    phrases looks all of them up."""
+    def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        listed = named(rows)
+        base, check, accept, bits, vocabulary = build(listed)
+        trie = Trie(base, check, accept, bits, [v[0] for v in vocabulary], [v[1] for v in vocabulary])
+        total = np.zeros(trie.phrases, np.int64)
+        for size in rows.column("size").unique().to_pylist():
+            for lang in rows.column("lang").unique().to_pylist():
+                own = rows.filter(pc.and_(pc.equal(rows.column("lang"), lang), pc.equal(rows.column("size"), size)))
+                if not own.num_rows:
+                    continue
+                n, done = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in own.column("n")]), 0
+                for w in words(own.select(["lang", "text"]).combine_chunks().to_batches()[0]):
+                    at, state = trie.reached(w, trie.numbers(w), np.arange(0, len(w.code), size), size)
+                    number = trie.accept[state]
+                    np.add.at(total, number[number >= 0], n[done + at[number >= 0] // size])
+                    done += len(w.code) // size
+        often = np.flatnonzero(total >= least)
+        phrases = [listed[k] for k in often]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in phrases], pa.string()), pa.array([x[1] for x in phrases], pa.string()), pa.array(total[often])],
+                                          ["lang", "phrase", "a"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for low, high in zip(cuts, cuts[1:]):
+                if held and high > low and held[0].column("part")[0].as_py() != part[low]:
+                    yield counted(held)
+                    held = []
+                if high > low:
+                    held.append(batch.slice(low, high - low))
+        if held:
+            yield counted(held)
+    return work
+
+
 def _found(shared: Broadcast, maps: Broadcast, chunks: int) -> Callable:
     """Counts of the tries' phrases: each position that passes the maps is looked up in the trie its phrase is dealt to."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +553,7 @@ def _found(shared: Broadcast, maps: Broadcast, chunks: int) -> Callable:
                 found.clear()
 
         for batch in batches:
-            for w in words(batch):
+            for w in words_of(batch):
                 level = Levels(w, run, maps.value[:1])
                 numbers = {chunk: trie.numbers(w, level.distinct, level.frequent) for chunk, trie in tries.items()}
                 for bits in maps.value[1:]:
@@ -378,39 +577,35 @@ def _found(shared: Broadcast, maps: Broadcast, chunks: int) -> Callable:
 # --- Spark ----------------------------------------------------------------------------------------------------------------
 
 
-def _candidates(rows: DataFrame, counted: DataFrame, least: int, longest: int) -> tuple[DataFrame, Broadcast]:
-    """lang, phrase, hash: all phrases of two and more words that may occur ``least`` times; and the maps of all levels."""
-    context, maps, named = rows.sparkSession.sparkContext, [_map(counted.filter(F.col("n") >= least))], None
-    while len(maps) <= longest:
-        shared, size = context.broadcast(maps), len(maps)
-        level = in_arrow(rows, _level(shared, count=size < longest, name=size > 1), "lang STRING, phrase STRING, hash BIGINT, n BIGINT")
-        found = cut_lineage(level.groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | F.col("phrase").isNotNull()))
-        names = found.filter(F.col("phrase").isNotNull()).select("lang", "phrase", "hash")
-        named = names if named is None else named.unionByName(names)
-        if size == longest:
-            break
-        maps = [*maps, _map(found.filter(F.col("phrase").isNull()))]
-    return named, shared
+def _maps(held: DataFrame, counted: DataFrame, groups: int, least: int, longest: int) -> tuple[Broadcast, int]:
+    """The maps of all levels, and about how many phrases of two and more words pass them."""
+    context = held.sparkSession.sparkContext
+    bits, _ = _map(counted.filter(F.col("n") >= least))
+    maps, passing = [bits], 0.0
+    while len(maps) < longest:
+        hashes = in_arrow(held, _hash_counts(context.broadcast(maps), groups), "part BIGINT, hashes BINARY, n BINARY")
+        bits, count = _map(cut_lineage(hashes.groupBy("part").applyInArrow(_frequent(least), "hash BIGINT")))
+        maps = [*maps, bits]
+        passing += count + GROUP_WORDS * groups * (np.bitwise_count(bits).sum() / (64 * len(bits))) ** len(PLACES)
+    return context.broadcast(maps), int(passing)
 
 
-def frequencies(rows: DataFrame, counted: DataFrame, least: int, longest: int) -> DataFrame:
+def frequencies(held: DataFrame, counted: DataFrame, groups: int, least: int, longest: int) -> DataFrame:
     """lang, phrase, a: exact counts of the phrases of two to ``longest`` words that occur at least ``least`` times."""
-    spark, (candidates, maps) = rows.sparkSession, _candidates(rows, counted, least, longest)
-    size = candidates.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + NODE_BYTES)).first()[0] or 0
-    chunks = int(-(-size // TRIE_BYTES))
-    built = cut_lineage(candidates.select("lang", "phrase", F.pmod("hash", F.lit(max(chunks, 1))).cast("bigint").alias("chunk"))
-                        .groupBy("chunk").applyInArrow(_built, BUILT))
-    sums = spark.createDataFrame([], "chunk BIGINT, number BIGINT, a BIGINT")
-    for low in range(0, chunks, SCAN_TRIES):
-        rows_ = built.filter(F.col("chunk").between(low, low + SCAN_TRIES - 1) & F.col("number").isNull()).select(
-            "chunk", "base", "check", "accept", "bits", "langs", "vocabulary").toArrow()
-        tries = {rows_.column("chunk")[k].as_py(): (*[np.frombuffer(rows_.column(c)[k].as_buffer(), np.int32) for c in ("base", "check", "accept")],
-                                                    rows_.column("bits")[k].as_py(), *[rows_.column(c)[k].values for c in ("langs", "vocabulary")]) for k in range(rows_.num_rows)}
-        if tries:
-            shards = in_arrow(rows, _found(spark.sparkContext.broadcast(tries), maps, chunks), "chunk BIGINT, number BIGINT, n BIGINT")
-            sums = sums.unionByName(cut_lineage(shards.groupBy("chunk", "number").agg(F.sum("n").alias("a"))))
+    spark = held.sparkSession
+    maps, passing = _maps(held, counted, groups, least, longest)
+    parts = max(groups, 1 + passing * (NODE_BYTES + PHRASE_BYTES) // TRIE_BYTES)
+    if parts > SCAN_TRIES:
+        rows = in_arrow(held, _dealt(maps, parts), DEALT).repartition(parts, "part").sortWithinPartitions("part")
+        return cut_lineage(in_arrow(rows, _counted(least), "lang STRING, phrase STRING, a BIGINT"))
+    built = cut_lineage(in_arrow(held, _dealt(maps, parts), DEALT).groupBy("part").applyInArrow(_built, BUILT))
+    rows = built.filter(F.col("number").isNull()).select("chunk", "base", "check", "accept", "bits", "langs", "vocabulary").toArrow()
+    tries = {rows.column("chunk")[k].as_py(): (*[np.frombuffer(rows.column(c)[k].as_buffer(), np.int32) for c in ("base", "check", "accept")],
+                                               rows.column("bits")[k].as_py(), *[rows.column(c)[k].values for c in ("langs", "vocabulary")]) for k in range(rows.num_rows)}
+    shards = in_arrow(held, _found(spark.sparkContext.broadcast(tries), maps, parts), "chunk BIGINT, number BIGINT, n BIGINT")
+    sums = cut_lineage(shards.groupBy("chunk", "number").agg(F.sum("n").alias("a")).filter(F.col("a") >= least))
     names = built.filter(F.col("number").isNotNull()).select("chunk", "number", "lang", "phrase")
-    return cut_lineage(names.join(sums.filter(F.col("a") >= least), ["chunk", "number"]).select("lang", "phrase", "a"))
+    return cut_lineage(names.join(sums, ["chunk", "number"]).select("lang", "phrase", "a"))
 
 
 def score(a: str, left: str, right: str) -> Column:
@@ -427,10 +622,11 @@ def collocations(documents: DataFrame, least: int = 10, longest: int = 3, keep:
     A phrase is dropped if a longer one that holds it occurs at least ``percent`` / 100 times as often.
     """
     rows = spread(documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    counted = cut_lineage(in_arrow(rows, _counted_words, "lang STRING, word STRING, hash BIGINT, n BIGINT")
-                          .groupBy("lang", "word", "hash").agg(F.sum("n").alias("n")))
+    held = stored_words(rows, longest)
+    groups = 1 + (held.agg(F.sum("n")).first()[0] or 0) // GROUP_WORDS
+    counted = cut_lineage(in_arrow(held, _word_counts(groups), DEALT).groupBy("part").applyInArrow(_counted_words, "lang STRING, word STRING, hash BIGINT, n BIGINT"))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-    phrases = frequencies(rows, counted, least, longest)
+    phrases = frequencies(held, counted, groups, least, longest)
     parts = phrases.unionByName(counted.filter(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.col("n").alias("a")))
 
     split = F.split("phrase", " ")
@@ -449,8 +645,8 @@ def collocations(documents: DataFrame, least: int = 10, longest: int = 3, keep:
              .withColumn("_first", F.explode(F.sequence(F.lit(1), n_words - F.col("_size") + 1)))
              .select("lang", cut(F.col("_first"), F.col("_size")).alias("phrase"), F.col("a").alias("_longer"))
              .groupBy("lang", "phrase").agg(F.max("_longer").alias("_longer")))
-    held = lowest.join(inner, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("_longer") < percent * F.col("a"), F.lit(True))).drop("_longer")
+    kept = lowest.join(inner, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("_longer") < percent * F.col("a"), F.lit(True))).drop("_longer")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    best = newest(held, ["lang"], order, keep)
+    best = newest(kept, ["lang"], order, keep)
     return (best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint"))
             .join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))

@@ -145,3 +145,42 @@ def test_words_of_one_hash_stay_apart(monkeypatch):
     trie = Trie(base, check, accept, bits, [v[0] for v in vocabulary], [v[1] for v in vocabulary])
     (w,) = block("en", ["dd aa bb cc a dd a"])
     assert sorted(np.concatenate(trie.found(w, 2)).tolist()) == [0, 1, 2]
+
+
+def test_texts_are_read_once_however_many_tries(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(lang, " ".join(f"w{k}" for k in rng.integers(0, 12, 300))) for lang in ("en", "fr") for _ in range(10)]
+    frame = spark.createDataFrame(rows, "lang STRING, text STRING").repartition(3)
+    want, read = brute(rows, 3, 3, 2000, 50), []
+    run = collocations.in_arrow
+    monkeypatch.setattr(collocations, "in_arrow", lambda df, *args: read.append(df.columns) or run(df, *args))
+    monkeypatch.setattr(collocations, "TRIE_BYTES", 2000)
+    monkeypatch.setattr(collocations, "SCAN_TRIES", 2)
+    assert mine(collocations.collocations(frame, 3, 3, 2000, 50)) == want
+    assert read.count(["lang", "text"]) == 1
+    monkeypatch.setattr(collocations, "GROUP_WORDS", 100)  # many groups of hashes and words
+    monkeypatch.setattr(collocations, "TRIE_BYTES", 1 << 20)
+    assert mine(collocations.collocations(frame, 3, 3, 2000, 50)) == want
+
+
+def test_phrases_of_one_hash_are_counted_apart(monkeypatch):
+    (w,) = block("en", ["a b c. a b. b c"])
+    run, full = collocations.RunHash(1201), np.full(1, 2 ** 64 - 1, np.uint64)
+    level = collocations.Levels(w, run, [full])
+    monkeypatch.setattr(collocations, "mix", lambda values, seed=0: np.zeros(len(values), np.uint64))
+    level.judge(full)
+    at, _, n = level.tally()
+    counts = Counter()
+    for phrase, k in zip(level.phrases(at).to_pylist(), n.tolist()):
+        counts[phrase] += k
+    assert counts == {"a b": 2, "b c": 2}
+
+
+def test_stored_blocks_hold_the_same_words():
+    for n in (1, 255, 256, 257, 70_000):
+        texts = [" ".join(f"w{k}" for k in range(n)), "é x, y"]
+        rows = pa.RecordBatch.from_arrays([pa.array(["en", "fr"]), pa.array(texts)], ["lang", "text"])
+        stored = [w for b in collocations._coded(3)(iter([rows])) for w in collocations.words_of(b)]
+        for got, want in zip(stored, words(rows), strict=True):
+            assert (got.lang, got.distinct.to_pylist(), got.code.tolist()) == (want.lang, want.distinct.to_pylist(), want.code.tolist())
+            assert got.room.tolist() == np.minimum(want.room, 3).tolist()
