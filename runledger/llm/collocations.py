@@ -38,9 +38,9 @@ PLACES = (0, 18, 36)
 TRIE_BYTES, SCAN_TRIES = 6 << 20, 4
 #: Estimated bytes of a trie for each candidate besides its text.
 NODE_BYTES = 48
-BUFFER = 1 << 22
+BUFFER = 1 << 21
 #: Bytes of a stored block's texts, and how many of all words a group has that is counted at once.
-BLOCK_BYTES, GROUP_WORDS = 8 << 20, 1 << 21
+BLOCK_BYTES, GROUP_WORDS = 4 << 20, 1 << 21
 #: Estimated bytes of a candidate's text.
 PHRASE_BYTES = 24
 END_OF_PIECE = np.array([chr(b) in ".,;:!?" or 10 <= b <= 13 for b in range(256)])
